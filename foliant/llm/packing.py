@@ -55,18 +55,12 @@ class Encoder:
 
 
 def cuts(n: int, capacity: int = CAPACITY, least: int = MIN_PIECE) -> list[int]:
-    """Piece lengths for n tokens: whole sequences, then halves, quarters ... down to a last piece under 2 * least."""
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    part = capacity // 2
-    while n >= 2 * least:
-        while part > n:
-            part //= 2
-        if n - part and n - part < least:  # a tail under least stays with its neighbour
-            break
-        out.append(part)
-        n -= part
-    return out + [n] if n else out
+    """Piece lengths for n tokens: whole sequences, then halves, quarters ... of one down to least, then a last piece under 2 * least."""
+    out, rest = [capacity] * (n // capacity), n % capacity
+    tail = 0 if rest % least == 0 else rest if rest < 2 * least else least + rest % least
+    rest -= tail
+    out += [1 << i for i in reversed(range(capacity.bit_length())) if rest >> i & 1]
+    return out + [tail] if tail else out
 
 
 class Bins:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import extraction, packing, warc, winnowing
+from . import extraction, language, packing, toxicity, warc, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,5 +36,13 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text, op7_toxicity, op9_language)}
 ORACLE_SQL: dict[str, str] = {}

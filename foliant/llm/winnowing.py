@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, neighbour_partitions, powers, ranges, window_minima
 
-#: A run of GRAM + WINDOW - 1 equal letters and digits always shares a fingerprint.
-GRAM, WINDOW = 16, 32
+#: A run of GRAM + WINDOW - 1 equal letters and digits always shares a fingerprint. In a text with few grams the
+#: window is an eighth of them, which only adds fingerprints: the least hash of a window is also that of each
+#: smaller window around it.
+GRAM, WINDOW, SHORT = 8, 24, 8
 _BASE = 0xD6E8FEB86659FD93
 _fold: list[np.ndarray] = []
 
@@ -56,7 +58,7 @@ def winnow(text: str | None, gram: int = GRAM, window: int = WINDOW) -> tuple[np
         hashes = hashes[: len(hashes) - step] * np.uint64(pow(_BASE, step, 1 << 64)) + (hashes[step:] if step == span else _gram(symbols, step)[span:][: len(hashes) - step])
         span += step
     hashes = mix(hashes)
-    chosen = window_minima((hashes >> np.uint64(32)).astype(np.uint32), min(window, len(hashes)))
+    chosen = window_minima((hashes >> np.uint64(32)).astype(np.uint32), max(1, min(window, len(hashes) // SHORT)))
     chosen = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
     return hashes[chosen], places[chosen]
 
