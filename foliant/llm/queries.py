@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import extraction, language, packing, toxicity, warc, winnowing
+from . import extraction, language, packing, substrings, toxicity, warc, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,9 +40,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip_repeats(_read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text, op7_toxicity, op9_language)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text, op7_toxicity, op8_substrings, op9_language)}
 ORACLE_SQL: dict[str, str] = {}
