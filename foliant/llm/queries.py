@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import extraction, language, packing, substrings, toxicity, warc, winnowing
+from . import extraction, jaccard, language, packing, substrings, toxicity, warc, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -48,5 +48,9 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text, op7_toxicity, op8_substrings, op9_language)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text, op7_toxicity, op8_substrings, op9_language, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
