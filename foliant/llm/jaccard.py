@@ -289,3 +289,16 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     least = texts.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = texts.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.union(texts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = WORDS + 1, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, without those linked to a row of smaller doc_id.
+
+    Rows that share the smallest doc_id of their component all stay; rows of a doc_id go together. A row
+    with a null doc_id goes if its component has another.
+    """
+    told = link_components(docs, words, percent)
+    gone = told.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
+    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"))
+    keyed = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    return keyed.join(gone, "id_", "left_anti").select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship
-from . import extraction, jaccard, language, packing, substrings, toxicity, warc, winnowing
+from . import decontamination, extraction, jaccard, language, lines, packing, substrings, toxicity, warc, winnowing
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,14 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_read(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(_read(spark, sf_dir, "pages"))
 
@@ -52,5 +60,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op6_main_text, op7_toxicity, op8_substrings, op9_language, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_winnowing, op2_packing, op3_warc, op4_lines, op5_decontamination, op6_main_text, op7_toxicity, op8_substrings, op9_language, op10_jaccard)}
 ORACLE_SQL: dict[str, str] = {}
