@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,10 +48,13 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | str) -> None:
+        """Delete written tables that nothing reads any more; Spark then also lets go of the shuffles behind them."""
         jvm = self.spark._jvm
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -138,9 +142,13 @@ def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-def presence(keys: DataFrame, key: str, bits: int = BITMAP_BITS):
-    """A broadcast bitmap with a bit for the top bits of every key: a filter of fixed size without false negatives."""
-    slot = F.shiftrightunsigned(F.col(key), 64 - bits)
+def top_bits(key: str, bits: int = BITMAP_BITS):
+    return F.shiftrightunsigned(F.col(key), 64 - bits)
+
+
+def presence(keys: DataFrame, slot, bits: int = BITMAP_BITS):
+    """A broadcast bitmap with a bit for the slot of every row (a column's top bits, if a name is given): a filter of fixed size without false negatives."""
+    slot = top_bits(slot, bits) if isinstance(slot, str) else slot
     got = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")).collect()
     whole = np.zeros(1 << (bits - 3), np.uint8)
     for row in got:  # at most 2**(bits - 15) rows
@@ -149,7 +157,10 @@ def presence(keys: DataFrame, key: str, bits: int = BITMAP_BITS):
 
 
 def present(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    slot = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    return bit_set(bitmap, (keys >> np.uint64(64 - bits)).astype(np.int64))
+
+
+def bit_set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 

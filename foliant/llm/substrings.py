@@ -3,24 +3,44 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Scratch, prefix_sums, presence, present, signed, slices, span_hash, utf8, window_minima
+from .common import BITMAP_BITS, INVERSE, MULTIPLIER, Scratch, bit_set, mix, powers, presence, present, signed, slices, span_hash, utf8, window_minima
 
 #: Length of strings that count as repeats, and of the rolling hash that cuts phrases.
 LENGTH, TRIGGER = 100, 32
+#: Starts of a piece of a phrase.
+PIECE = 8
 #: Bytes parsed at once.
 STEP = 2 << 20
 _NO_ID = -(1 << 63)
 
 
+@dataclass
+class Units:
+    """Runs of starts, the trigger each belongs to, and the hashes of its group and of itself."""
+
+    doc: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    place: np.ndarray
+    group: np.ndarray
+    unit: np.ndarray
+
+    def take(self, at: np.ndarray) -> Units:
+        return Units(*(x[at] for x in (self.doc, self.first, self.last, self.place, self.group, self.unit)))
+
+
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64))
+
+
 class Parse:
-    """Phrases of a run of texts: maximal runs of starts whose LENGTH-byte strings have the same trigger.
+    """Phrases of a run of texts: maximal runs of starts whose length-byte strings have the same trigger.
 
     A string's trigger is the place of the least rolling hash in it (rightmost on ties), so it depends on
     the string alone, every string has one, and equal strings have it at the same place. A phrase is the
@@ -28,86 +48,117 @@ class Parse:
     the parse prefix-free in that equal phrases hold equal strings and unequal strings lie in unequal phrases.
     """
 
-    def __init__(self, column: pa.Array, ids: np.ndarray, length: int, trigger: int):
-        self.data, self.bounds = utf8(column)
-        self.tag = np.array([zlib.crc32(self.data[a:b]) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)], np.int64)
-        self.ids, n = ids, len(self.data)
-        self.sums, none = prefix_sums(self.data), np.zeros(0, np.int64)
-        self.first = self.last = self.doc = none
+    def __init__(self, column: pa.Array, ids: np.ndarray, tags: np.ndarray, length: int, trigger: int):
+        data, self.bounds = utf8(column)
+        self.ids, self.tags, self.length, n = ids, tags, length, len(data)
+        self.sums, none = np.zeros(n + 1, np.uint64), np.zeros(0, np.int64)
+        np.cumsum(_TABLE[data] * powers(MULTIPLIER, n), out=self.sums[1:])
+        self.first = self.last = self.doc = self.place = none
         self.gram = self.phrase = none.view(np.uint64)
         if n < length:
             return
-        places = np.arange(n - trigger + 1)
-        grams = span_hash(self.sums, places, places + trigger)
-        chosen = window_minima((grams >> np.uint64(32)).astype(np.uint32), length - trigger + 1)
-        doc = np.searchsorted(self.bounds, np.arange(n - length + 1), side="right") - 1
-        inside = np.arange(n - length + 1) + length <= self.bounds[doc + 1]
+        rolling = (self.sums[trigger:] - self.sums[:-trigger]) * powers(INVERSE, n - trigger + 1)
+        chosen = window_minima((rolling * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(32)).astype(np.uint32), length - trigger + 1)
+        doc = np.repeat(np.arange(len(ids)), np.diff(self.bounds))
+        inside = np.zeros(len(chosen), bool)
+        inside[doc[: len(chosen)] == doc[length - 1 :]] = True
         new = np.ones(len(chosen), bool)
-        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1])
+        new[1:] = (chosen[1:] != chosen[:-1]) | (doc[1 : len(chosen)] != doc[: len(chosen) - 1]) | (inside[1:] != inside[:-1])
         start = np.flatnonzero(new)
         end = np.append(start[1:], len(chosen)) - 1
         keep = inside[start]
         self.first, self.last = start[keep], end[keep]
-        self.doc = doc[self.first]
-        self.gram = grams[chosen[self.first]]
-        # the trigger's place in the phrase belongs to the phrase: it sets which strings the phrase has
-        self.phrase = span_hash(self.sums, self.first, self.last + length)
+        self.doc, self.place = doc[self.first], chosen[self.first]
+        self.gram = mix(rolling[self.place])
+        self.phrase = mix(self.span(self.first, self.last + length) ^ self.gram)
+        rank = np.empty(len(ids), np.int64)
+        rank[np.lexsort((tags, ids))] = np.arange(len(ids))
+        self.rank = rank
+
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return span_hash(self.sums, start, end)
+
+    def phrases(self) -> Units:
+        return Units(self.doc, self.first, self.last, self.place, self.gram, self.phrase)
+
+    def pieces(self, u: Units) -> Units:
+        """Starts of phrases by their distance to the trigger, PIECE at a time; the group is what all strings of such a piece have in common."""
+        most, least = (u.place - u.first) // PIECE, (u.place - u.last) // PIECE
+        n = most - least + 1
+        of = np.repeat(np.arange(len(n)), n)
+        far = np.repeat(most, n) - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        place = u.place[of]
+        first, last = np.maximum(u.first[of], place - far * PIECE - PIECE + 1), np.minimum(u.last[of], place - far * PIECE)
+        core = self.span(place - far * PIECE, place - far * PIECE - PIECE + 1 + self.length)
+        return Units(u.doc[of], first, last, place, mix(core + far.astype(np.uint64)), self.span(first, last + self.length))
+
+    def strings(self, u: Units) -> Units:
+        n = u.last - u.first + 1
+        of = np.repeat(np.arange(len(n)), n)
+        start = u.first[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hashes = self.span(start, start + self.length)
+        return Units(u.doc[of], start, start, u.place[of], np.zeros(len(start), np.uint64), hashes)
+
+    def rows(self, u: Units) -> pa.RecordBatch:
+        """The first of equal units, with hashes; the later ones as bare runs of starts."""
+        order = np.lexsort((u.first, self.rank[u.doc]))
+        u = u.take(order)
+        _, firsts = np.unique(u.unit, return_index=True)
+        one = np.zeros(len(order), bool)
+        one[firsts] = True
+        lone, later = u.take(np.flatnonzero(one)), u.take(np.flatnonzero(~one))
+        new = np.ones(len(later.doc), bool)
+        new[1:] = (later.doc[1:] != later.doc[:-1]) | (later.first[1:] > later.last[:-1] + 1)
+        start = np.flatnonzero(new)
+        last = later.last[np.append(start[1:], len(new)) - 1] if len(new) else later.last
+        doc = np.concatenate([lone.doc, later.doc[start]])
+        base, n = self.bounds[doc], len(start)
+        first, last = np.concatenate([lone.first, later.first[start]]), np.concatenate([lone.last, last])
+        none = pa.nulls(n, pa.int64())
+        hashes = [pa.concat_arrays([pa.array(signed(x)), none]) for x in (lone.group, lone.unit)]
+        return pa.RecordBatch.from_arrays([*hashes, pa.array(self.ids[doc]), pa.array(self.tags[doc]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], _NAMES)
+
+
+#: Slot of a place in the corpus; _slot_column says the same to SQL. No product leaves 63 bits.
+def _slots(ids: np.ndarray, tags: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.mod(np.mod(ids, 1 << 24) * 2654435761 + np.mod(tags, 1 << 16) * 9973 + first * 40503, 1 << BITMAP_BITS)
 
-    def order(self) -> np.ndarray:
-        """Phrases in corpus order: by doc_id, tag, start."""
-        rank = np.empty(len(self.ids), np.int64)
-        rank[np.lexsort((self.tag, self.ids))] = np.arange(len(self.ids))
-        return np.lexsort((self.first, rank[self.doc]))
 
-    def inner(self, at: np.ndarray) -> np.ndarray:
-        """Starts counted from their document's."""
-        return at - self.bounds[self.doc]
+def _slot_column():
+    return F.pmod(F.pmod("id", F.lit(1 << 24)) * 2654435761 + F.pmod("tag", F.lit(1 << 16)) * 9973 + F.col("first").cast("long") * 40503, F.lit(1 << BITMAP_BITS))
 
 
 def _parses(batches: Iterator[pa.RecordBatch], length: int, trigger: int) -> Iterator[Parse]:
     for b in batches:
         text = b.column("text")
-        ids = b.column("id").to_numpy(zero_copy_only=False)
+        ids, tags = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
         for i, j in slices(text, STEP):
-            yield Parse(text[i:j], ids[i:j], length, trigger)
+            yield Parse(text[i:j], ids[i:j], tags[i:j], length, trigger)
 
 
-def _later(keys: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether an equal key stands earlier in the order."""
-    _, at = np.unique(keys[order], return_index=True)
-    out = np.ones(len(keys), bool)
-    out[order[at]] = False
-    return out
-
-
-_SPANS = "id long, tag long, first int, last int"
-_ROWS = f"gram long, phrase long, {_SPANS}"
-
-
-def _rows(p: Parse, which: np.ndarray, gram: np.ndarray | None) -> list[pa.Array]:
-    n, doc = len(which), p.doc[which]
-    base = p.bounds[doc]
-    return [
-        pa.nulls(n, pa.int64()) if gram is None else pa.array(signed(gram)), pa.nulls(n, pa.int64()) if gram is None else pa.array(signed(p.phrase[which])),
-        pa.array(p.ids[doc]), pa.array(p.tag[doc]), pa.array((p.first[which] - base).astype(np.int32)), pa.array((p.last[which] - base).astype(np.int32)),
-    ]
+_NAMES = ["group", "unit", "id", "tag", "first", "last"]
+_ROWS = "group long, unit long, id long, tag long, first int, last int"
 
 
-_NAMES = ["gram", "phrase", "id", "tag", "first", "last"]
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty), id (doc_id, null as smallest) and tag, which tells unlike texts of one doc_id apart and is 0 if no doc_id repeats."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
+    single = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return rows.withColumn("tag", F.lit(0).cast("long") if single else F.crc32(F.col("text").cast("binary")))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
+def repeats(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """id, tag, first, last: runs of starts whose length-byte string also starts earlier in the corpus.
 
-    Dictionary and parse take the place of suffixes: 1. trigger hashes that occur once are told from the
-    rest by a grouped count, kept as a bitmap of fixed size (what it lets through besides only costs time).
-    2. Of equal phrases all but the first in corpus order repeat. 3. Only strings of phrases that share a
-    trigger with an unlike phrase can repeat in another way; those phrases, a dictionary's worth, give a
-    hash for each string, and all but the first of equal strings repeat. Each task first settles what
-    repeats within it, so a hot phrase sends one row a step and task.
+    Three levels of units, each a dictionary with its first place in corpus order: phrases, pieces of
+    phrases, strings. At each level all but the first of equal units repeat. A unit that came first can hold
+    repeating strings only if an unlike unit shares its group (a phrase's trigger hash, the bytes that all
+    strings of a piece have in common); only such units are looked at on the next level. What to look at is
+    kept as a bitmap of fixed size; what a bitmap lets through besides costs time only. Each task first
+    settles what repeats within it, so a hot unit sends one row a step and task.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "substrings")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
+    scratch = Scratch(rows.sparkSession, "substrings")
+    rows = rows.select("id", "tag", "text")
 
     def triggers(batches):
         for p in _parses(batches, length, trigger):
@@ -116,56 +167,37 @@ def repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), pa.array(np.minimum(n, 2).astype(np.int8))], ["gram", "n"])
 
     seen = rows.mapInArrow(triggers, "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = presence(seen, "gram")
-
-    def phrases(batches):
-        for p in _parses(batches, length, trigger):
-            at = np.flatnonzero(present(repeated.value, p.gram))
-            if not len(at):
-                continue
-            order = p.order()
-            order = order[np.isin(order, at, assume_unique=True)]
-            key = p.phrase ^ p.gram * np.uint64(3)
-            later = np.zeros(len(key), bool)
-            _, firsts = np.unique(key[order], return_index=True)
-            later[order] = True
-            later[order[firsts]] = False
-            for which, gram in ((at[later[at]], None), (at[~later[at]], 1)):
-                yield pa.RecordBatch.from_arrays(_rows(p, which, p.gram[which] if gram else None), _NAMES)
-
-    parse = scratch.table(rows.mapInArrow(phrases, _ROWS), "parse")
-    place = Window.partitionBy("gram", "phrase").orderBy("id", "tag", "first")
-    ranked = parse.where("gram is not null").withColumn("place", F.row_number().over(place))
-    ranked = scratch.table(ranked, "ranked")
-    mixed = ranked.where("place = 1").groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    unlike = ranked.where("place = 1").select("gram", "phrase").join(mixed, "gram", "left_semi")
-    examined = presence(unlike, "phrase")
-
-    def strings(batches):
-        for p in _parses(batches, length, trigger):
-            at = np.flatnonzero(present(examined.value, p.phrase))
-            if not len(at):
-                continue
-            order = p.order()
-            order = order[np.isin(order, at, assume_unique=True)]
-            _, firsts = np.unique(p.phrase[order], return_index=True)
-            order = order[np.sort(firsts)]
-            size = p.last[order] - p.first[order] + 1
-            start = np.repeat(p.first[order], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            doc = np.repeat(p.doc[order], size)
-            hashes = span_hash(p.sums, start, start + length)
-            later = _later(hashes, np.arange(len(start)))
-            inner = (start - p.bounds[doc]).astype(np.int32)
-            for which, told in ((later, False), (~later, True)):
-                n = int(which.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[which])) if told else pa.nulls(n, pa.int64()), pa.array(p.ids[doc[which]]), pa.array(p.tag[doc[which]]), pa.array(inner[which])], ["string", "id", "tag", "first"])
-
-    found = scratch.table(rows.mapInArrow(strings, "string long, id long, tag long, first int"), "strings")
-    # of several rows of one string a minimum by group is the first; the others repeat
-    again = found.where("string is not null").withColumn("place", F.row_number().over(Window.partitionBy("string").orderBy("id", "tag", "first"))).where("place > 1")
-    single = found.where("string is null").unionByName(again.drop("place")).select("id", "tag", "first", F.col("first").alias("last"))
-    whole = parse.where("gram is null").select("id", "tag", "first", "last").union(ranked.where("place > 1").select("id", "tag", "first", "last"))
-    return whole.union(single)
+    marks = [presence(seen, "gram")]
+    out = None
+    for level in range(3):
+
+        def units(batches, marks=tuple(marks), level=level):
+            for p in _parses(batches, length, trigger):
+                if not len(p.gram):
+                    continue
+                u = p.phrases()
+                u = u.take(np.flatnonzero(present(marks[0].value, u.group)))
+                for step, cut in zip(range(level), (p.pieces, p.strings), strict=False):
+                    slots = _slots(p.ids[u.doc], p.tags[u.doc], u.first - p.bounds[u.doc])
+                    u = cut(u.take(np.flatnonzero(bit_set(marks[step + 1].value, slots))))
+                if len(u.doc):
+                    yield p.rows(u)
+
+        found = scratch.table(rows.mapInArrow(units, _ROWS), "units")
+        place = F.row_number().over(Window.partitionBy("group", "unit").orderBy("id", "tag", "first"))
+        ranked = scratch.table(found.where("unit is not null").withColumn("place", place), "ranked")
+        told = found.where("unit is null").union(ranked.where("place > 1").drop("place")).select("id", "tag", "first", "last")
+        if level < 2:
+            firsts = ranked.where("place = 1").select("group", "id", "tag", "first")
+            mixed = firsts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+            marks.append(presence(firsts.join(mixed, "group", "left_semi"), _slot_column()))
+            firsts = mixed = None
+        told = scratch.table(told, "told")
+        paths = found.scratch_path, ranked.scratch_path
+        found = ranked = seen = None
+        scratch.drop(*paths)
+        out = told if out is None else out.union(told)
+    return out
 
 
 def covered(firsts: list[int], lasts: list[int], length: int) -> list[tuple[int, int]]:
@@ -186,11 +218,10 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
     same text. A null text is empty; a null doc_id is smaller than all. Rows of one doc_id with unlike texts
     are in order of the texts' CRC; fully equal rows are one document, told twice. Extra columns are ignored.
     """
-    runs = repeats(docs, length, trigger)
+    rows = keyed(docs)
+    runs = repeats(rows, length, trigger)
     spans = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # at most a text's length
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("tag"))
-    joined = keyed.join(spans.hint("merge"), ["id", "tag"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(spans.hint("merge"), ["id", "tag"], "left").select("doc_id", "text", "runs")
 
     def strip(batches):
         for b in batches:
