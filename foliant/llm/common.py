@@ -13,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MULTIPLIER = 0x9E3779B97F4A7C15
-#: Bits of a presence bitmap: 32 MB, whatever the input. Beyond its capacity it lets more rows pass, never fewer.
-BITMAP_BITS = 28
+#: Bits of a presence bitmap: 16 MB, whatever the input. Beyond its capacity it lets more rows pass, never fewer.
+BITMAP_BITS = 27
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from .common import Scratch, components, mix, prefix_sums, presence, present, si
 
 WORDS, PERCENT = 4, 85
 #: Bytes handled at once; coordinates of a count vector; children of a tree node; members of a bucket's block.
-STEP, COORDINATES, FANOUT, BLOCK = 2 << 20, 32, 16, 2048
+STEP, COORDINATES, FANOUT, BLOCK = 1 << 20, 128, 16, 1024
 #: Sets smaller than 2**SINGLES have a group for each token; larger ones SPREAD groups for each of the size class's greatest size.
 SINGLES, SPREAD = 4, 0.3
 
@@ -148,43 +148,61 @@ class CountTree:
 
 
 def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b, near for pairs of a bucket in unlike components that the R-tree's bound leaves; members: key, part, left_, right_, sig, component, counts."""
+    """a, b, near for pairs of a bucket in unlike components that the bound leaves; members: key, part, left_, right_, sig, component, counts.
 
-    def found(block):
-        key, sig, component, part, points = block
-        if len(sig) < 2:
-            return
-        points = np.array(points, np.int32)
-        tree, two = CountTree(points), key[1] != key[2]
-        for i in range(len(sig)):
-            near = tree.query(points[i], percent)
-            near = near[(sig[near] > sig[i]) & (component[near] != component[i])]
-            if two:
-                near = near[part[near] != part[i]]
-            if len(near):
-                yield np.full(len(near), sig[i]), sig[near], np.minimum(points[near], points[i]).sum(1)
-
-    def run(batches):
-        held, last = [], None
+    A bucket of more than a node's worth of members is searched with an R-tree, smaller ones side by side.
+    """
 
-        def done():
-            rows = list(zip(*held, strict=True))
-            got = list(found((last, np.array(rows[0]), np.array(rows[1]), np.array(rows[2]), rows[3])))
-            held.clear()
-            return [np.concatenate(c) for c in zip(*got, strict=True)] if got else None
+    def pairs(bucket, part, two, sig, component, points):
+        """Rows are sorted by bucket; yields index pairs."""
+        new = np.flatnonzero(np.diff(bucket, prepend=-1))
+        size = np.diff(np.append(new, len(bucket)))
+        small = np.repeat(size <= FANOUT, size)
+        total = points.sum(1, dtype=np.int64)
+        for k in range(1, min(FANOUT, len(bucket))):
+            i = np.flatnonzero((bucket[k:] == bucket[:-k]) & small[k:] & (component[k:] != component[:-k]) & (~two[k:] | (part[k:] != part[:-k])))
+            near = np.minimum(points[i], points[i + k]).sum(1, dtype=np.int64)
+            keep = near >= least_overlap(total[i], total[i + k], percent)
+            yield i[keep], i[keep] + k, near[keep]
+        for start, n in zip(new, size, strict=True):
+            if n <= FANOUT or (component[start : start + n] == component[start]).all():
+                continue
+            at = slice(start, start + n)
+            tree = CountTree(points[at].astype(np.int64))
+            for i in range(start, start + n):
+                j = tree.query(points[i].astype(np.int64), percent) + start
+                j = j[(j > i) & (component[j] != component[i])]
+                if two[i]:
+                    j = j[part[j] != part[i]]
+                if len(j):
+                    yield np.full(len(j), i), j, np.minimum(points[j], points[i]).sum(1, dtype=np.int64)
 
-        def batch(c):
-            return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32())], ["a", "b", "near"])
+    def run(batches):
+        held = []
+
+        def done(rows):
+            key, left, right, part, sig, component = (np.concatenate([r[c] for r in rows]) for c in range(6))
+            points = np.concatenate([r[6] for r in rows])
+            change = np.ones(len(key), bool)
+            change[1:] = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+            got = list(pairs(np.cumsum(change), part, left != right, sig, component, points))
+            i, j, near = (np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64) for c in range(3))
+            one, other = sig[i.astype(np.int64)], sig[j.astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(near.astype(np.int32))], ["a", "b", "near"])
 
         for b in batches:
-            for key, left, right, part, sig, component, counts in zip(*(b.column(c).to_pylist() for c in ("key", "left_", "right_", "part", "sig", "component", "counts")), strict=True):
-                if (key, left, right) != last:
-                    if held and (out := done()):
-                        yield batch(out)
-                    last = key, left, right
-                held.append((sig, component, part, counts))
-        if held and (out := done()):
-            yield batch(out)
+            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left_", "right_", "part", "sig", "component")]
+            now.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), np.uint16).reshape(-1, COORDINATES))
+            if not len(now[0]):
+                continue
+            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
+            cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
+            if cut:  # the last bucket may go on
+                yield done([*held, [c[:cut] for c in now]])
+                held = []
+            held.append([c[cut:] for c in now])
+        if held:
+            yield done(held)
 
     dealt = members.repartition("key", "left_", "right_").sortWithinPartitions("key", "left_", "right_")
     return dealt.mapInArrow(run, "a long, b long, near int")
@@ -204,7 +222,7 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     Texts of equal sets are one class. Classes that share a key are candidates. In a bucket the member that
     shares most keys over all is verified against each of the others first, one edge a class; only pairs of
     classes in unlike components are then searched, by an R-tree over count vectors in blocks of bounded
-    size, and verified by their whole sets: first the nearest of each component, then the rest that are
+    size, and verified by their whole sets: the nearest of two components first, then the rest that are
     still apart. So no link between components is lost, and a group of copies gives no more rows than it has
     members. A null or empty text has no shingle and is linked with nothing; rows of one doc_id are rows of
     their own; a null doc_id counts only where its component has no other. Extra columns are ignored.
@@ -249,10 +267,10 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             parts = [s.hash[s.first[i] : s.first[i] + s.n[i]] for i in mine]
             lengths = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             flat = pa.array(signed(np.concatenate(parts)))
-            counts = np.concatenate([np.bincount((p >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES) for p in parts]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.ListArray.from_arrays(lengths, flat), pa.ListArray.from_arrays(np.arange(len(mine) + 1, dtype=np.int32) * COORDINATES, pa.array(counts))], ["sig", "tokens", "counts"])
+            counts = [np.bincount((p >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).clip(max=65535).astype(np.uint16).tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.ListArray.from_arrays(lengths, flat), pa.array(counts, pa.binary())], ["sig", "tokens", "counts"])
 
-    sets = scratch.table(rows.select("text").mapInArrow(token_sets, "sig long, tokens array<long>, counts array<int>").dropDuplicates(["sig"]), "sets")
+    sets = scratch.table(rows.select("text").mapInArrow(token_sets, "sig long, tokens array<long>, counts binary").dropDuplicates(["sig"]), "sets")
     edges = scratch.table(linked(stars, sets, percent), "edges")
 
     def labelled(edges):
@@ -273,14 +291,18 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             one, other = (labels.select(F.col("sig").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab")
             return pairs.join(one, "a", "left").join(other, "b", "left").withColumns({"a_in": F.coalesce("a_in", "a"), "b_in": F.coalesce("b_in", "b")}).where("a_in <> b_in")
 
-        first = Window.partitionBy("a", "b_in").orderBy(F.desc("near"), "b")
-        ranked = scratch.table(still_apart(pairs, labels).withColumn("place", F.row_number().over(first)).select("a", "b", "place"), "ranked")
-        more = scratch.table(linked(ranked.where("place <= 2").select("a", "b"), sets, percent), "edges")
-        edges = edges.union(more)
-        rest = ranked.where("place > 2")
-        if not rest.isEmpty():
-            rest = still_apart(rest.select("a", "b"), labelled(edges)).select("a", "b")
-            edges = edges.union(scratch.table(linked(rest, sets, percent), "edges"))
+        # of a pair of components the nearest texts first; nearer pairs mostly spare the farther ones
+        nearest = Window.partitionBy("lo", "hi").orderBy(F.desc("near"), "a", "b")
+        ranked = still_apart(pairs, labels).select("a", "b", "near", F.least("a_in", "b_in").alias("lo"), F.greatest("a_in", "b_in").alias("hi"))
+        ranked = scratch.table(ranked.withColumn("place", F.row_number().over(nearest)).select("a", "b", "place"), "ranked")
+        for low, high in ((1, 4), (5, 64), (65, None)):
+            some = ranked.where(F.col("place") >= low) if high is None else ranked.where(F.col("place").between(low, high))
+            if some.isEmpty():
+                break
+            if low > 1:
+                labels = labelled(edges)
+                some = still_apart(some, labels)
+            edges = edges.union(scratch.table(linked(some.select("a", "b"), sets, percent), "edges"))
         labels = labelled(edges)
     scratch.drop(sets, members, placed, pairs)
     texts = told.where("key is null").select("doc_id", "n", "sig")

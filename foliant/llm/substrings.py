@@ -17,7 +17,7 @@ LENGTH, TRIGGER = 100, 32
 #: Starts of a piece of a phrase.
 PIECE = 8
 #: Bytes parsed at once.
-STEP = 2 << 20
+STEP = 1 << 20
 _NO_ID = -(1 << 63)
 
 

@@ -25,7 +25,6 @@ PATTERNS = [
     ("second person insult", re.compile(r"\b(?:you|your|u)\b.{0,20}\b(?:idiot|moron|loser|trash|scum|clown|stupid|pathetic|worthless)", re.I | re.S), 1),
     ("hate verb", re.compile(r"\b(?:hate|kill|die|shut up|go away)\b", re.I), 1),
     ("masked word", re.compile(r"\b[a-z]+[*@#$]{2,}[a-z]*\b", re.I), 1),
-    ("plain prose", re.compile(r"\A(?:[^!?*@#$]{200,})\Z"), 0),
     ("no word", re.compile(r"\A[\W\d_]*\Z"), 0),
 ]
 #: The last voter fires where no lexicon entry matches, and speaks against.
