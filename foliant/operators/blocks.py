@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
-ORDER = Window.partitionBy("doc_id").orderBy("block")
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-UPTO = ORDER.rowsBetween(Window.unboundedPreceding, 0)
+def in_order():
+    return Window.partitionBy("doc_id").orderBy("block")
+
+
+def before():
+    return in_order().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def up_to():
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def line_blocks(docs: DataFrame) -> DataFrame:
@@ -25,14 +32,14 @@ def line_blocks(docs: DataFrame) -> DataFrame:
 
 def previous_context(blocks: DataFrame, most: int = 600) -> DataFrame:
     """The end of the last paragraph or list before a paragraph, list or note."""
-    last = F.last(F.when(F.col("kind").isin("para", "list"), F.right("text", F.lit(most))), ignorenulls=True).over(BEFORE)
+    last = F.last(F.when(F.col("kind").isin("para", "list"), F.right("text", F.lit(most))), ignorenulls=True).over(before())
     return blocks.withColumn("previous", F.coalesce(F.when(F.col("kind").isin("para", "list", "note"), last), F.lit("")))
 
 
 def section_path(blocks: DataFrame, levels: int = 3) -> DataFrame:
     """Titles of the open headings above a block; a heading closes those of its level and deeper, and isn't in its own path."""
     own = F.struct(F.col("block").alias("at"), F.col("text").alias("title"))
-    out = blocks.withColumns({f"h{k}": F.last(F.when(F.col("level") == k, own), ignorenulls=True).over(BEFORE) for k in range(1, levels + 1)})
+    out = blocks.withColumns({f"h{k}": F.last(F.when(F.col("level") == k, own), ignorenulls=True).over(before()) for k in range(1, levels + 1)})
     # an open heading comes after the last one of every smaller level, and of a heading's own level and deeper none is open
     titles, newest = [], F.lit(-1)
     for k in range(1, levels + 1):
@@ -46,8 +53,8 @@ def section_path(blocks: DataFrame, levels: int = 3) -> DataFrame:
 def merge_continuations(blocks: DataFrame) -> DataFrame:
     """Paragraphs cut by a column or page, joined: the earlier doesn't end a sentence, the later starts in lower case; figures and labels between don't matter."""
     main = blocks.where(~F.col("kind").isin("figure", "label"))
-    joins = (F.col("kind") == "para") & (F.lag("kind").over(ORDER) == "para") & ~F.lag("text").over(ORDER).rlike(T.TERMINAL) & F.col("text").rlike(r"^\p{Ll}")
-    grouped = main.withColumn("start", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("start").over(UPTO))
+    joins = (F.col("kind") == "para") & (F.lag("kind").over(in_order()) == "para") & ~F.lag("text").over(in_order()).rlike(T.TERMINAL) & F.col("text").rlike(r"^\p{Ll}")
+    grouped = main.withColumn("start", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("start").over(up_to()))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda x: x["text"])
 
     def add(out: Column, part: Column) -> Column:
@@ -61,12 +68,12 @@ def merge_continuations(blocks: DataFrame) -> DataFrame:
 
 def segment_ids(blocks: DataFrame) -> DataFrame:
     """Dense numbers of the blocks that are translated."""
-    return blocks.where("kind <> 'figure'").withColumn("id", F.row_number().over(ORDER) - 1)
+    return blocks.where("kind <> 'figure'").withColumn("id", F.row_number().over(in_order()) - 1)
 
 
 def first_mention(mentions: DataFrame, blocks: DataFrame) -> DataFrame:
     """mentions: doc_id, block, term. Whether a term wasn't met since the last heading of level 1 or 2; labels read but don't mark."""
-    epochs = blocks.withColumn("epoch", F.sum(F.when(F.col("level").between(1, 2), 1).otherwise(0)).over(UPTO)).select("doc_id", "block", "kind", "epoch")
+    epochs = blocks.withColumn("epoch", F.sum(F.when(F.col("level").between(1, 2), 1).otherwise(0)).over(up_to())).select("doc_id", "block", "kind", "epoch")
     rows = mentions.join(epochs, ["doc_id", "block"])
     seen = F.max(F.when(F.col("kind") != "label", 1)).over(Window.partitionBy("doc_id", "epoch", "term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("first", seen.isNull())
