@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -16,9 +18,14 @@ LEAST_WORDS, SIMILARITY, BLOCKS, BLOCK_BITS = 5, 0.8, 6, 16
 BITS = BLOCKS * BLOCK_BITS
 #: A key joins two blocks: signatures that differ in up to BLOCKS - 2 bits always share one.
 PAIRS = [*combinations(range(BLOCKS), 2)]
-#: Signatures further apart than this aren't verified.
-FAR = 30
+#: Signatures further apart than FAR aren't verified; a line within CLOSE of a leader doesn't lead itself.
+FAR, CLOSE = 10, 3
+#: Longer lines are compared bit-parallel, shorter ones by Spark's banded edit distance.
+LONG = 4000
 _NO_ID = -(1 << 63)
+_LANE = 1 << 15
+#: The eight bits of a byte, each in a 16-bit lane of two words.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
 
 
 class Lines:
@@ -39,7 +46,9 @@ class Lines:
         place = np.arange(len(owner)) - np.repeat(first, size)
         self.hash = mix(np.add.reduceat(word * powers(0xD1B54A32D192ED03, int(size.max()))[place], first))
         seeds = np.column_stack([mix(word), mix(word ^ np.uint64(0x5851F42D4C957F2D))]).view(np.uint8)[:, : BITS // 8]
-        ones = np.add.reduceat(np.unpackbits(seeds, axis=1), first, axis=0, dtype=np.int32)
+        part = np.flatnonzero(place % _LANE == 0)  # counters of 16 bits, four a word, hold so many words
+        counts = np.add.reduceat(_SPREAD[seeds].reshape(len(seeds), -1), part, axis=0).view(np.uint16).astype(np.int32)
+        ones = np.add.reduceat(counts, np.searchsorted(part, first), axis=0)
         self.sim = np.packbits(2 * ones > size[:, None], axis=1)
         blocks = self.sim.view(">u2").astype(np.uint64)
         for k, (i, j) in enumerate(PAIRS):
@@ -78,30 +87,47 @@ def distance(a: str, b: str) -> int:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: letters that one lacks, words that differ in place."""
     longer = max(len(a), len(b))
-    return min(len(a), len(b)) >= least * longer and longer - distance(a, b) >= least * longer
-
-
-def _candidates(members: DataFrame) -> DataFrame:
-    """a, b: each line of a bucket with those leaders of the bucket whose SimHash is near; a line without one leads from then on."""
+    most = longer - math.ceil(least * longer - 1e-9)
+    if longer - min(len(a), len(b)) > most:
+        return False
+    p, q = a.split(" "), b.split(" ")
+    if len(p) == len(q) and sum(max(len(x), len(y)) for x, y in zip(p, q, strict=True) if x != y) <= most:
+        return True
+    for q in (1, 3):  # an edit changes q of the q-grams at most
+        m, n = (Counter(zip(*(x[i:] for i in range(q)), strict=False)) for x in (a, b))
+        if (m & n).total() < longer - q + 1 - q * most:
+            return False
+    return distance(a, b) <= most
+
+
+def _candidates(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: each line of a bucket with those earlier leaders of like length whose SimHash is near; a line leads unless a leader is all but equal."""
 
     def run(batches):
-        last, leaders, sims, out = None, [], np.zeros((0, BITS // 8), np.uint8), ([], [])
+        last, leaders, sims, sizes, n = None, np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int64), 0
         for b in batches:
+            out = ([], [])
             found = np.frombuffer(b"".join(b.column("sim").to_pylist()), np.uint8).reshape(-1, BITS // 8)
-            for key, line, sim in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), found, strict=True):
+            for key, line, sim, size in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), found, b.column("size").to_pylist(), strict=True):
                 if key != last:
-                    last, leaders, sims = key, [line], sim[None]
-                    continue
-                near = np.flatnonzero(np.bitwise_count(sims ^ sim).sum(1) <= FAR)
-                if len(near):
-                    out[0].extend([line] * len(near))
-                    out[1].extend(leaders[i] for i in near)
+                    last, n = key, 0
                 else:
-                    leaders.append(line)
-                    sims = np.concatenate([sims, sim[None]])
+                    far = np.bitwise_count(sims[:n] ^ sim).sum(1)
+                    like = np.minimum(sizes[:n], size) >= similarity * np.maximum(sizes[:n], size)
+                    near = leaders[:n][(far <= FAR) & like]
+                    out[0].extend([line] * len(near))
+                    out[1].extend(near.tolist())
+                    if (like & (far <= CLOSE)).any():
+                        continue
+                if n == len(leaders):
+                    room = max(16, n)
+                    leaders, sizes = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (leaders, sizes))
+                    sims = np.concatenate([sims, np.zeros((room, BITS // 8), np.uint8)])
+                leaders[n], sims[n], sizes[n] = line, sim, size
+                n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
-            out = ([], [])
 
     dealt = members.repartition("key").sortWithinPartitions("key", "line")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -110,7 +136,8 @@ def _candidates(members: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, tag, number of every line that repeats an earlier one, exactly after normalising or nearly.
 
-    Connected lines are a group; its earliest line by doc_id, tag and number stays.
+    Connected lines are a group; its earliest line by doc_id, tag and number stays. A bucket's lines are
+    compared with its leaders only, so a hot bucket of all but equal lines gives a pair a line.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -162,7 +189,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     classes = scratch.table(kept.groupBy("line").agg(F.min(F.struct("id", "tag", "number")).alias("first"), F.first("sim").alias("sim"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
     members = kept.select("line", F.explode("keys").alias("key")).distinct()
     shared_keys = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = scratch.table(members.join(shared_keys, "key", "left_semi").join(classes.select("line", "sim"), "line"), "members")
+    members = scratch.table(members.join(shared_keys, "key", "left_semi").join(classes.select("line", "sim", F.length("words").alias("size")), "line"), "members")
 
     def verified(batches):
         for b in batches:
@@ -170,16 +197,12 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     one, other = (classes.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
-    edges, before = None, None
-    while True:  # lines that no leader resembles seek again among themselves
-        tried = scratch.table(_candidates(members).join(one, "a").join(other, "b").mapInArrow(verified, "a long, b long, ok boolean"), "tried")
-        edges = tried.where("ok").select("a", "b") if edges is None else edges.union(tried.where("ok").select("a", "b"))
-        alone = tried.groupBy(F.col("a").alias("line")).agg(F.max("ok").alias("ok")).where("not ok").select("line")
-        members = scratch.table(members.join(alone, "line", "left_semi"), "members")
-        n = members.count()
-        if not n or n == before:
-            break
-        before = n
+    pairs = _candidates(members, similarity).distinct().join(one, "a").join(other, "b")
+    longer = F.greatest(F.length("p"), F.length("q"))
+    pairs = pairs.withColumn("most", (longer - F.ceil(similarity * longer - 1e-9)).cast("int"))
+    short = pairs.where(longer <= LONG).where("levenshtein(p, q, most) >= 0").select("a", "b")
+    long = pairs.where(longer > LONG).mapInArrow(verified, "a long, b long, ok boolean").where("ok").select("a", "b")
+    edges = scratch.table(short.union(long), "edges")
     labels = components(scratch, edges).withColumnRenamed("node", "line")
     grouped = classes.select("line", "first").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
     grouped = scratch.table(grouped, "grouped")
