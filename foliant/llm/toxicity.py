@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,7 @@ CANDIDATES, SUPPORT, SHARE = 600, 3, 0.6
 #: Lexicon voters kept at most, and by how many of them a marked document is matched if possible.
 VOTERS, COVER = 150, 3
 THRESHOLD, GIVEN = 0.3, 0.95
+KNOWN_MOST = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Pattern voters: what they look for, and whether a match speaks for (1) or against (0) toxicity.
 PATTERNS = [
@@ -45,14 +46,19 @@ class Model:
     lexicon: dict[str, int]
     weights: np.ndarray  # of lexicon presence, patterns, matches and density
     bias: float
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)  # words met and the entries they match
 
     def votes(self, text: str) -> tuple[list[int], int, int]:
         """Voters that match, matching words, and words."""
-        lexicon, hits = self.lexicon, Counter()
+        lexicon, known, hits = self.lexicon, self.known, Counter()
         words = Counter(_WORD.findall(text.lower()))
         matched = 0
         for w, n in words.items():
-            found = [lexicon[s] for s in stems(w) if s in lexicon]
+            found = known.get(w)
+            if found is None:
+                if len(known) >= KNOWN_MOST:
+                    known.clear()
+                found = known[w] = tuple(lexicon[s] for s in stems(w) if s in lexicon)
             if found:
                 matched += n
                 hits.update(found)
