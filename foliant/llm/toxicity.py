@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, present, presence
 
 #: Labelled rows that the label model and the classifier are fitted on at most, those of the smallest hashed doc_id.
 FIT_ROWS = 20_000
@@ -173,7 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     marks = labels.where(F.col("toxic").isNotNull() & learnable()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null").where(learnable()).join(marks, "doc_id")
+    # texts without a label don't enter the join, and it is the same join at every size
+    marked = presence(marks.select(F.xxhash64("doc_id").alias("key")), "key")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null").where(learnable()).withColumn("key", F.xxhash64("doc_id"))
+
+    def labelled(batches):
+        for b in batches:
+            yield b.filter(pa.array(present(marked.value, b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)))).select(["doc_id", "text"])
+
+    known = rows.mapInArrow(labelled, "doc_id long, text string").join(marks.hint("merge"), "doc_id")
 
     def count(batches):
         for b in batches:
