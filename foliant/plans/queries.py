@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import blocks as B
+from ..operators import assembly as A, blocks as B
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -243,3 +243,68 @@ def validate_flags(spark, sf_dir):
     rows = _blocks(spark, sf_dir).withColumn("dst", F.when(k == 0, "").when(k == 1, F.col("text")).when(k == 2, F.left("text", F.lit(20))).otherwise(F.repeat("text", F.lit(3))))
     found = F.filter(F.transform(T.flags(F.col("text"), F.col("dst"), F.col("kind")), lambda f: F.regexp_replace(f, "^numbers: .*$", "numbers")), lambda f: f != "english left")
     return rows.select("doc_id", "block", F.array_join(found, ";").alias("flags"))
+
+
+_PASTED = "'# ' || role || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || 'hyphen-' || chr(10) || 'ated' || chr(10) || chr(10) || text"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, unnest(x) AS chunk, generate_subscripts(x, 1) - 1 AS block FROM (SELECT conv_id, turn, regexp_split_to_array(trim({_PASTED}, chr(10) || ' '), '\\n\\s*\\n') AS x FROM conversations)),
+l AS (SELECT *, list_filter(list_transform(string_split(chunk, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS lines FROM c), k AS (SELECT *, CASE WHEN len(list_filter(lines, lambda y: NOT regexp_matches(y, '^[-•*·]\\s+'))) = 0 THEN 'list' WHEN len(lines) = 1 AND starts_with(lines[1], '#') THEN 'heading' ELSE 'para' END AS kind FROM l)
+SELECT conv_id, turn, CAST(block AS INT) AS block, kind, CAST(CASE WHEN kind = 'heading' THEN least(4, length(lines[1]) - length(ltrim(lines[1], '#'))) ELSE 0 END AS INT) AS level,
+CASE kind WHEN 'list' THEN array_to_string(list_transform(lines, lambda y: regexp_replace(y, '^[-•*·]\\s+', '')), chr(10)) WHEN 'heading' THEN trim(ltrim(lines[1], '#')) ELSE replace(regexp_replace(array_to_string(lines, chr(10)), '(\\pL)-\\n(\\p{{Ll}})', '\\1\\2', 'g'), chr(10), ' ') END AS text FROM k""")
+def text_blocks(spark, sf_dir):
+    pasted = F.concat(F.lit("# "), F.col("role"), F.lit("\n\n- one\n- two\n\nhyphen-\nated\n\n"), F.col("text"))
+    return A.text_blocks(_table(spark, sf_dir, "conversations").select("conv_id", "turn", pasted.alias("text"))).select("conv_id", "turn", "block", "kind", "level", "text")
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_concat(range(least(conv_id % 9, conv_id % 5), greatest(conv_id % 9, conv_id % 5) + 1), [turn + 1]), lambda p: p BETWEEN 1 AND 7))), ',') AS pages FROM conversations WHERE turn < 7""")
+def page_range(spark, sf_dir):
+    spec = F.concat_ws("", (F.col("conv_id") % 9).cast("string"), F.lit("–"), (F.col("conv_id") % 5).cast("string"), F.lit(" ; "), (F.col("turn") + 1).cast("string"))
+    rows = _table(spark, sf_dir, "conversations").where("turn < 7")
+    return rows.select("conv_id", "turn", F.array_join(A.page_range(spec, F.lit(7)).cast("array<string>"), ",").alias("pages"))
+
+
+@query(f"""WITH {_REPEATED}, s AS (SELECT doc_id, size, sum(length(text)) AS w, min(block) AS f FROM blocks GROUP BY ALL), o AS (SELECT doc_id, size AS body FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1)
+SELECT b.doc_id, b.block FROM blocks b JOIN documents d USING (doc_id) JOIN o USING (doc_id) WHERE NOT ((y0 < 64 OR y0 > 736) AND size < 1.15 * body AND (regexp_matches(b.text, '(?i)^(page\\s*)?[\\divxlcdm]{{1,6}}$') OR EXISTS (SELECT 1 FROM r WHERE r.book = d.source AND r.line = trim(regexp_replace(lower(b.text), '\\d+', '#', 'g')))))""".replace("{SHARE}", "0.02"))
+def drop_margins(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    blocks = _blocks(spark, sf_dir).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id")
+    again = B.repeated_lines(blocks.select("book", F.col("doc_id").alias("page"), "text"), docs.groupBy(F.col("source").alias("book")).agg(F.count("*").alias("n")), 0.02)
+    return A.drop_margins(blocks, again).select("doc_id", "block")
+
+
+@query("""WITH {BLOCKS}, c AS (SELECT doc_id, block, unnest(x) AS cell, generate_subscripts(x, 1) AS nth FROM (SELECT doc_id, block, string_split(text, ' ') AS x FROM blocks WHERE kind = 'note')), f AS (SELECT doc_id, block, cell, min(nth) AS nth FROM c WHERE regexp_matches(cell, '[A-Za-z]{3}') GROUP BY ALL)
+SELECT doc_id, block, CAST(row_number() OVER (PARTITION BY doc_id, block ORDER BY nth) - 1 AS INT) AS pos, cell FROM f""")
+def table_cells(spark, sf_dir):
+    return A.table_cells(_blocks(spark, sf_dir).where("kind = 'note'").select("doc_id", "block", F.array(F.split("text", " ")).alias("rows")))
+
+
+@query("""WITH {BLOCKS}, a AS (SELECT m.*, CASE WHEN m.kind <> 'figure' THEN m.block ELSE coalesce((SELECT min(t.block) FROM blocks t WHERE t.doc_id = m.doc_id AND t.page = m.page AND t.kind <> 'figure' AND t.y0 >= m.y0), 2147483647) END AS anchor FROM blocks m)
+SELECT doc_id, page, block, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY anchor, CASE WHEN kind = 'figure' THEN 0 ELSE 1 END, y0, block) AS INT) AS place FROM a""")
+def interleave_media(spark, sf_dir):
+    return A.interleave_media(_blocks(spark, sf_dir)).select("doc_id", "page", "block", "place")
+
+
+@query("""WITH {BLOCKS}, s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS id FROM blocks WHERE kind <> 'figure') SELECT doc_id, CAST((page - 1) // 25 AS INT) AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS needs FROM s GROUP BY ALL""")
+def batch_needs(spark, sf_dir):
+    return A.batch_needs(B.segment_ids(_blocks(spark, sf_dir))).select("doc_id", "batch", F.array_join(F.col("needs").cast("array<string>"), ",").alias("needs"))
+
+
+@query(f"SELECT doc_id, block, flags FROM ({ORACLE_SQL['validate_flags']}) WHERE flags <> ''")
+def review_items(spark, sf_dir):
+    return validate_flags(spark, sf_dir).where("flags <> ''")
+
+
+_MARKDOWN = """{BLOCKS}, p AS (SELECT doc_id, block, kind, concat_ws(chr(10) || chr(10), CASE WHEN lag(page) OVER (PARTITION BY doc_id ORDER BY block) IS DISTINCT FROM page THEN '<!-- Trang ' || page || ' -->' END,
+CASE kind WHEN 'heading' THEN repeat('#', least(level, 3) + 1) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'note' THEN '> ' || text WHEN 'figure' THEN '![Hình — trang ' || page || '](' || printf('fig-%04d', block) || '.png)' WHEN 'para' THEN text END) AS part FROM blocks),
+md AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY block) || chr(10) AS markdown FROM p WHERE part <> '' GROUP BY doc_id)"""
+
+
+@query(f"WITH {_MARKDOWN} SELECT doc_id, sha256(markdown) AS digest FROM md")
+def render_markdown(spark, sf_dir):
+    return A.markdown(_blocks(spark, sf_dir).withColumn("dst", F.lit(""))).select("doc_id", F.sha2("markdown", 256).alias("digest"))
+
+
+@query(f"WITH {_MARKDOWN} SELECT doc_id, sha256(regexp_replace(replace(replace(markdown, '&', '&amp;'), '<', '&lt;'), '&lt;(!-- Trang \\d+ -->)', '<\\1', 'g')) AS digest FROM md")
+def escape_preview(spark, sf_dir):
+    return A.markdown(_blocks(spark, sf_dir).withColumn("dst", F.lit(""))).select("doc_id", F.sha2(A.escape_preview(F.col("markdown")), 256).alias("digest"))

@@ -60,3 +60,27 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_terms_and_pages(spark):
+    from foliant.operators import assembly as A
+
+    terms = [("cell", "", ""), ("stem cell", "", "SC"), ("c-reactive protein", "", "CRP")]
+    rows = spark.createDataFrame([("Stem cells, a cell; sc and SC.",), ("C-Reactive Protein or crp, pre-cell",), ("",)], "t string")
+    assert [r[0] for r in rows.select(A.find_terms(F.col("t"), terms)).collect()] == [["stem cell", "cell"], ["c-reactive protein"], []]
+    assert A.surface_forms("biopsy", "", "B") == {"biopsy", "biopsys", "biopsies"}
+
+    def pages(spec):
+        return spark.range(1).select(A.page_range(F.lit(spec), F.lit(9))).first()[0]
+
+    assert pages("3-1, 7;5–6 20") == [1, 2, 3, 5, 6, 7] and pages(" ") == list(range(1, 10))
+    for bad in ("x", "11-12"):
+        with pytest.raises(Exception, match="page"):
+            pages(bad)
+
+
+def test_text_blocks_of_blank_texts(spark):
+    from foliant.operators import assembly as A
+
+    rows = spark.createDataFrame([(1, None), (2, " \n\n "), (3, "a-\nb-\nC")], "id int, text string")
+    assert [(r.id, r.kind, r.text) for r in A.text_blocks(rows).collect()] == [(3, "para", "ab- C")]
