@@ -1,7 +1,10 @@
-"""Scalar text functions as Columns; all stay inside the JVM."""
+"""Scalar text functions as Columns; all but nfc() stay inside the JVM."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Fixed values that results depend on.
@@ -113,3 +116,13 @@ def flags(source: Column, target: Column, kind: Column) -> Column:
     sized = kind.isin("para", "list", "note") & (F.length(source) > 60)
     out = F.array_compact(F.array(F.when(F.size(gone) > 0, F.concat(F.lit("numbers: "), F.array_join(gone, ", "))), F.when(same, F.lit("untranslated")).when((english >= 3) & (english / total > 0.12), F.lit("english left")), F.when(sized & (ratio < 0.55), F.lit("short")).when(sized & (ratio > 2.6), F.lit("long"))))
     return F.when(strip(target) == "", F.array(F.lit("empty"))).when((kind == "cell") & (F.length(source) < 4), F.array().cast("array<string>")).otherwise(out)
+
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC; null stays null. Spark has no built-in for it, so Arrow batches go to Python."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+    return run(text)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
 from ..operators import assembly as A, blocks as B
+from ..session import ship
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -308,3 +309,10 @@ def render_markdown(spark, sf_dir):
 @query(f"WITH {_MARKDOWN} SELECT doc_id, sha256(regexp_replace(replace(replace(markdown, '&', '&amp;'), '<', '&lt;'), '&lt;(!-- Trang \\d+ -->)', '<\\1', 'g')) AS digest FROM md")
 def escape_preview(spark, sf_dir):
     return A.markdown(_blocks(spark, sf_dir).withColumn("dst", F.lit(""))).select("doc_id", F.sha2(A.escape_preview(F.col("markdown")), 256).alias("digest"))
+
+
+@query("""SELECT doc_id, sha256(nfc_normalize(coalesce(text, '') || 'e' || chr(769))) AS digest FROM documents""")
+def nfc_text(spark, sf_dir):
+    ship(spark)
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("e\u0301"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.nfc(text), 256).alias("digest"))
