@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, components, mix, powers, presence, present, signed
+from .common import Scratch, components, mix, powers, presence, present, ranges, signed
 from .tokens import Tokens, runs, tag
 
 #: Words that a line must have to count; edit similarity of duplicates; SimHash bits and blocks.
@@ -20,8 +20,10 @@ BITS = BLOCKS * BLOCK_BITS
 PAIRS = [*combinations(range(BLOCKS), 2)]
 #: Signatures further apart than FAR aren't verified; a line within CLOSE of a leader doesn't lead itself.
 FAR, CLOSE = 10, 3
-#: Longer lines are compared bit-parallel, shorter ones by Spark's banded edit distance.
-LONG = 4000
+#: Words that a walk over two lines looks ahead; characters beyond which q-grams are counted before edits.
+REACH, LONG = 6, 4000
+#: Bytes of a key when shared keys are found; keys that agree in so many only let more lines pass.
+KEY_BYTES = 5
 _NO_ID = -(1 << 63)
 _LANE = 1 << 15
 #: The eight bits of a byte, each in a 16-bit lane of two words.
@@ -29,30 +31,46 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(
 
 
 class Lines:
-    """Countable lines of a run of texts: hash of the normalised line, SimHash and block keys."""
+    """Countable lines of a run of texts: hash and length of the normalised line, and its SimHash if signed."""
 
-    def __init__(self, texts: list[str], least_words: int):
+    def __init__(self, texts: list[str], least_words: int, sign: bool = True):
         t = self.tokens = Tokens(texts)
         count = np.bincount(t.line, minlength=len(t.line_end))
         self.line = np.flatnonzero(count >= max(1, least_words))
         mine = count[t.line] >= max(1, least_words)
         word, owner = t.word[mine], t.line[mine]
         self.hash, self.sim = np.zeros(len(self.line), np.uint64), np.zeros((len(self.line), BITS // 8), np.uint8)
-        self.keys = np.zeros((len(self.line), len(PAIRS)), np.uint64)
+        self.size = np.zeros(len(self.line), np.int64)
         if not len(self.line):
             return
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         size = np.diff(np.append(first, len(owner)))
         place = np.arange(len(owner)) - np.repeat(first, size)
         self.hash = mix(np.add.reduceat(word * powers(0xD1B54A32D192ED03, int(size.max()))[place], first))
+        if not sign:
+            return
+        self.size = np.add.reduceat((t.end - t.start)[mine] + 1, first) - 1
         seeds = np.column_stack([mix(word), mix(word ^ np.uint64(0x5851F42D4C957F2D))]).view(np.uint8)[:, : BITS // 8]
         part = np.flatnonzero(place % _LANE == 0)  # counters of 16 bits, four a word, hold so many words
         counts = np.add.reduceat(_SPREAD[seeds].reshape(len(seeds), -1), part, axis=0).view(np.uint16).astype(np.int32)
         ones = np.add.reduceat(counts, np.searchsorted(part, first), axis=0)
         self.sim = np.packbits(2 * ones > size[:, None], axis=1)
-        blocks = self.sim.view(">u2").astype(np.uint64)
-        for k, (i, j) in enumerate(PAIRS):
-            self.keys[:, k] = mix((blocks[:, i] << np.uint64(16) | blocks[:, j]) + np.uint64(k << 40))
+
+
+def block_keys(sim: np.ndarray) -> np.ndarray:
+    """A key for each pair of blocks of each signature."""
+    blocks = sim.view(">u2").astype(np.uint64)
+    return np.column_stack([mix((blocks[:, i] << np.uint64(16) | blocks[:, j]) + np.uint64(k << 40)) for k, (i, j) in enumerate(PAIRS)])
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary column of the rows of a matrix of bytes."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
 def distance(a: str, b: str) -> int:
@@ -86,16 +104,31 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def walk(p: list[str], q: list[str], most: int) -> bool:
+    """Whether one pass over the words of two lines finds an edit script of at most so many characters. False proves nothing."""
+    i = j = cost = 0
+    while i < len(p) and j < len(q):
+        if p[i] == q[j]:
+            i, j = i + 1, j + 1
+            continue
+        near = ((d, s - d) for s in range(1, 2 * REACH + 1) for d in range(max(0, s - REACH), min(s, REACH) + 1))
+        d, e = next(((d, e) for d, e in near if i + d < len(p) and p[i + d : i + d + 2] == q[j + e : j + e + 2]), (len(p) - i, len(q) - j))
+        cost += max(sum(map(len, p[i : i + d])) + d, sum(map(len, q[j : j + e])) + e)
+        if cost > most:
+            return False
+        i, j = i + d, j + e
+    return cost + max(sum(map(len, p[i:])) + len(p) - i, sum(map(len, q[j:])) + len(q) - j) <= most
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: letters that one lacks, words that differ in place."""
+    """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines."""
     longer = max(len(a), len(b))
     most = longer - math.ceil(least * longer - 1e-9)
     if longer - min(len(a), len(b)) > most:
         return False
-    p, q = a.split(" "), b.split(" ")
-    if len(p) == len(q) and sum(max(len(x), len(y)) for x, y in zip(p, q, strict=True) if x != y) <= most:
+    if walk(a.split(" "), b.split(" "), most):
         return True
-    for q in (1, 3):  # an edit changes q of the q-grams at most
+    for q in (1, 3) if longer > LONG else ():  # an edit changes q of the q-grams at most
         m, n = (Counter(zip(*(x[i:] for i in range(q)), strict=False)) for x in (a, b))
         if (m & n).total() < longer - q + 1 - q * most:
             return False
@@ -109,7 +142,7 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
         last, leaders, sims, sizes, n = None, np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int64), 0
         for b in batches:
             out = ([], [])
-            found = np.frombuffer(b"".join(b.column("sim").to_pylist()), np.uint8).reshape(-1, BITS // 8)
+            found = _signatures(b.column("sim"))
             for key, line, sim, size in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), found, b.column("size").to_pylist(), strict=True):
                 if key != last:
                     last, n = key, 0
@@ -129,87 +162,104 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
                 n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
 
-    dealt = members.repartition("key").sortWithinPartitions("key", "line")
+    dealt = members.repartition(F.col("key")).sortWithinPartitions("key", "line")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _shared(blobs: DataFrame) -> DataFrame:
+    """key: the leading bytes of keys that two lines have, from packed keys of a range each (part, keys)."""
+
+    def run(batches):
+        packed = b"".join(x for b in batches for x in b.column("keys").to_pylist())  # a range's share of the keys, as wide as a partition
+        wide = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
+        wide[:, :KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BYTES)
+        keys = np.sort(wide.view(">u8").ravel().astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(keys[1:][keys[1:] == keys[:-1]])))], ["key"])
+
+    return blobs.repartitionById(ranges(blobs.sparkSession), "part").mapInArrow(run, "key long")
+
+
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, tag, number of every line that repeats an earlier one, exactly after normalising or nearly.
 
     Connected lines are a group; its earliest line by doc_id, tag and number stays. A bucket's lines are
-    compared with its leaders only, so a hot bucket of all but equal lines gives a pair a line.
+    compared with its leaders only, so a hot bucket of all but equal lines gives a pair a line. Similar lines
+    share at least half of the unlike words of one of them.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def parts(batches):
+    n_parts = ranges(spark)
+
+    def parts(batches, sign):
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("id").to_numpy(zero_copy_only=False)
             for i, j in runs(texts):
-                yield ids[i:j], texts[i:j], Lines(texts[i:j], least_words)
-
-    def all_keys(x: Lines) -> np.ndarray:
-        return np.column_stack([x.hash, x.keys])
-
-    def key_counts(batches):
-        for _, _, x in parts(batches):
-            _, at, n = np.unique(x.hash, return_index=True, return_counts=True)
-            keys, m = np.unique(np.concatenate([x.keys[at].ravel(), np.repeat(x.hash[at], np.minimum(n, 2))]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.minimum(m, 2).astype(np.int8))], ["key", "n"])
-
-    shared = presence(rows.mapInArrow(key_counts, "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key")
-
-    def marked(batches):
-        for ids, texts, x in parts(batches):
-            hit = present(shared.value, all_keys(x).ravel()).reshape(-1, 1 + len(PAIRS)) if len(x.line) else np.zeros((0, 1 + len(PAIRS)), bool)
-            at = np.flatnonzero(hit.any(1))
-            if not len(at):
-                continue
-            t = x.tokens
-            tags = np.array([tag(s) for s in texts], np.int64)
-            rank = np.empty(len(ids), np.int64)
-            rank[np.lexsort((tags, ids))] = np.arange(len(ids))
-            doc = t.line_doc[x.line[at]]
-            order = np.lexsort((x.line[at], rank[doc]))
-            at, doc = at[order], doc[order]
-            _, firsts = np.unique(x.hash[at], return_index=True)
-            first = np.zeros(len(at), bool)
-            first[firsts] = True
-            keys = [signed(x.keys[i][hit[i, 1:]]) if f else None for i, f in zip(at, first, strict=True)]
-            line = x.line[at]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(ids[doc]), pa.array(tags[doc]), pa.array(t.line_number[line].astype(np.int32)), pa.array(signed(x.hash[at])),
-                pa.array(keys, pa.list_(pa.int64())), pa.array([x.sim[i].tobytes() for i in at], pa.binary()),
-                pa.array([t.text(t.line_start[k], t.line_end[k]) if f else None for k, f in zip(line, first, strict=True)], pa.string()),
-            ], ["id", "tag", "number", "line", "keys", "sim", "words"])
-
-    found = scratch.table(rows.mapInArrow(marked, "id long, tag long, number int, line long, keys array<long>, sim binary, words string"), "found")
-    kept = found.where("words is not null")
-    classes = scratch.table(kept.groupBy("line").agg(F.min(F.struct("id", "tag", "number")).alias("first"), F.first("sim").alias("sim"), F.first("words").alias("words"), F.count("*").alias("n")), "classes")
-    members = kept.select("line", F.explode("keys").alias("key")).distinct()
-    shared_keys = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = scratch.table(members.join(shared_keys, "key", "left_semi").join(classes.select("line", "sim", F.length("words").alias("size")), "line"), "members")
+                yield ids[i:j], texts[i:j], Lines(texts[i:j], least_words, sign)
+
+    def signed_lines(batches):
+        for ids, texts, x in parts(batches, True):
+            tags, doc = np.array([tag(s) for s in texts], np.int64), x.tokens.line_doc[x.line]
+            number = x.tokens.line_number[x.line].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), _binary(x.sim), pa.array(x.size)], ["id", "tag", "number", "line", "sim", "size"])
+
+    found = scratch.table(rows.mapInArrow(signed_lines, "id long, tag long, number int, line long, sim binary, size long"), "found")
+    firsts = [F.min(F.struct("id", "tag", "number")).alias("first"), *(F.first(c).alias(c) for c in ("sim", "size"))]
+    classes = scratch.table(found.groupBy("line").agg(*firsts), "classes")
+
+    def packed(batches):
+        for b in batches:
+            keys, m = np.unique(block_keys(_signatures(b.column("sim"))), return_counts=True)
+            keys = np.repeat(keys, np.minimum(m, 2))
+            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32), np.arange(n_parts + 1))
+            lead = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            held = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([lead[cuts[k] : cuts[k + 1]].tobytes() for k in held], pa.binary())], ["part", "keys"])
+
+    shared = presence(_shared(classes.select("sim").mapInArrow(packed, "part int, keys binary")), "key")
+
+    def members(batches):
+        for b in batches:
+            sim = _signatures(b.column("sim"))
+            keys = block_keys(sim)
+            at, k = np.nonzero(present(shared.value, keys.ravel()).reshape(keys.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), b.column("line").take(pa.array(at)), _binary(sim[at]), b.column("size").take(pa.array(at))], ["key", "line", "sim", "size"])
+
+    near = _candidates(classes.select("line", "sim", "size").mapInArrow(members, "key long, line long, sim binary, size long"), similarity)
+    near = scratch.table(near, "near")
+    wanted = presence(near.select(F.col("a").alias("line")).union(near.select("b")), "line")
+
+    def spoken(batches):
+        for _, _, x in parts(batches, False):
+            at = np.flatnonzero(present(wanted.value, x.hash))
+            at = at[np.unique(x.hash[at], return_index=True)[1]]
+            t, line = x.tokens, x.line[at]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash[at])), pa.array([t.text(t.line_start[k], t.line_end[k]) for k in line], pa.string())], ["line", "words"])
+
+    words = scratch.table(rows.select("id", "text").mapInArrow(spoken, "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
 
     def verified(batches):
         for b in batches:
             ok = [similar(p, q, similarity) for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    one, other = (classes.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
-    pairs = _candidates(members, similarity).distinct().join(one, "a").join(other, "b")
-    longer = F.greatest(F.length("p"), F.length("q"))
-    pairs = pairs.withColumn("most", (longer - F.ceil(similarity * longer - 1e-9)).cast("int"))
-    short = pairs.where(longer <= LONG).where("levenshtein(p, q, most) >= 0").select("a", "b")
-    long = pairs.where(longer > LONG).mapInArrow(verified, "a long, b long, ok boolean").where("ok").select("a", "b")
-    edges = scratch.table(short.union(long), "edges")
+    one, other = (words.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
+    pairs = near.join(one, "a").join(other, "b")
+    p, q = (F.split(c, " ") for c in "pq")
+    common = 2 * F.size(F.array_intersect(p, q)) >= F.least(F.size(F.array_distinct(p)), F.size(F.array_distinct(q)))
+    pairs = pairs.where(common).mapInArrow(verified, "a long, b long, ok boolean").where("ok").select("a", "b")
+    edges = scratch.table(pairs, "edges")
+    scratch.drop(near, words)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
     grouped = classes.select("line", "first").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
     grouped = scratch.table(grouped, "grouped")
     least = grouped.groupBy("component").agg(F.min("first").alias("stays"))
     stays = grouped.join(least, "component").select("line", "stays")
-    later = kept.join(stays, "line").where(F.struct("id", "tag", "number") != F.col("stays")).select("id", "tag", "number")
-    return found.where("words is null").select("id", "tag", "number").union(later)
+    later = found.join(stays, "line").where(F.struct("id", "tag", "number") != F.col("stays")).select("id", "tag", "number")
+    later = scratch.table(later, "later")
+    scratch.drop(found, classes, edges, grouped)
+    return later
 
 
 def strip_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
