@@ -121,12 +121,19 @@ def walk(p: list[str], q: list[str], most: int) -> bool:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines."""
+    """Whether one has half of the other's unlike words or more and at most 1 - least of the longer text is edited.
+
+    Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines.
+    """
     longer = max(len(a), len(b))
     most = longer - math.ceil(least * longer - 1e-9)
     if longer - min(len(a), len(b)) > most:
         return False
-    if walk(a.split(" "), b.split(" "), most):
+    p, q = a.split(" "), b.split(" ")
+    some, others = set(p), set(q)
+    if 2 * len(some & others) < min(len(some), len(others)):
+        return False
+    if walk(p, q, most):
         return True
     for q in (1, 3) if longer > LONG else ():  # an edit changes q of the q-grams at most
         m, n = (Counter(zip(*(x[i:] for i in range(q)), strict=False)) for x in (a, b))
@@ -136,12 +143,12 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _candidates(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: each line of a bucket with those earlier leaders of like length whose SimHash is near; a line leads unless a leader is all but equal."""
+    """a, b, nearest: each line of a bucket with those earlier leaders of like length whose SimHash is near; a line leads unless a leader is all but equal."""
 
     def run(batches):
         last, leaders, sims, sizes, n = None, np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int64), 0
         for b in batches:
-            out = ([], [])
+            out = ([], [], [])
             found = _signatures(b.column("sim"))
             for key, line, sim, size in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), found, b.column("size").to_pylist(), strict=True):
                 if key != last:
@@ -149,9 +156,11 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
                 else:
                     far = np.bitwise_count(sims[:n] ^ sim).sum(1)
                     like = np.minimum(sizes[:n], size) >= similarity * np.maximum(sizes[:n], size)
-                    near = leaders[:n][(far <= FAR) & like]
-                    out[0].extend([line] * len(near))
-                    out[1].extend(near.tolist())
+                    at = np.flatnonzero((far <= FAR) & like)
+                    if len(at):
+                        out[0].extend([line] * len(at))
+                        out[1].extend(leaders[at].tolist())
+                        out[2].extend((at == at[far[at].argmin()]).tolist())
                     if (like & (far <= CLOSE)).any():
                         continue
                 if n == len(leaders):
@@ -160,10 +169,10 @@ def _candidates(members: DataFrame, similarity: float) -> DataFrame:
                     sims = np.concatenate([sims, np.zeros((room, BITS // 8), np.uint8)])
                 leaders[n], sims[n], sizes[n] = line, sim, size
                 n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "nearest"])
 
     dealt = members.repartition(F.col("key")).sortWithinPartitions("key", "line")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, nearest boolean").groupBy("a", "b").agg(F.max("nearest").alias("nearest"))
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -183,8 +192,8 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     """id, tag, number of every line that repeats an earlier one, exactly after normalising or nearly.
 
     Connected lines are a group; its earliest line by doc_id, tag and number stays. A bucket's lines are
-    compared with its leaders only, so a hot bucket of all but equal lines gives a pair a line. Similar lines
-    share at least half of the unlike words of one of them.
+    compared with its leaders only, so a hot bucket of all but equal lines gives a pair a line. The pair with
+    the nearest leader is verified first, the others only where that left two lines apart.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -245,11 +254,20 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     one, other = (words.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
-    pairs = near.join(one, "a").join(other, "b")
-    p, q = (F.split(c, " ") for c in "pq")
-    common = 2 * F.size(F.array_intersect(p, q)) >= F.least(F.size(F.array_distinct(p)), F.size(F.array_distinct(q)))
-    pairs = pairs.where(common).mapInArrow(verified, "a long, b long, ok boolean").where("ok").select("a", "b")
-    edges = scratch.table(pairs, "edges")
+
+    def holding(pairs: DataFrame) -> DataFrame:
+        told = pairs.select("a", "b").join(one, "a").join(other, "b").mapInArrow(verified, "a long, b long, ok boolean")
+        return scratch.table(told.where("ok").select("a", "b"), "edges")
+
+    edges = holding(near.where("nearest"))
+    # The other pairs matter only between lines that the nearest ones leave apart.
+    apart = near.where("not nearest")
+    if not apart.isEmpty():
+        labels = scratch.table(components(scratch, edges), "labels")
+        for c in "ab":
+            apart = apart.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
+        apart = apart.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
+        edges = edges.union(holding(apart))
     scratch.drop(near, words)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
     grouped = classes.select("line", "first").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
@@ -258,7 +276,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     stays = grouped.join(least, "component").select("line", "stays")
     later = found.join(stays, "line").where(F.struct("id", "tag", "number") != F.col("stays")).select("id", "tag", "number")
     later = scratch.table(later, "later")
-    scratch.drop(found, classes, edges, grouped)
+    scratch.drop(found, classes, grouped)
     return later
 
 
