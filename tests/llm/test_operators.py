@@ -132,6 +132,28 @@ def test_edit_distance():
         assert lines.distance(a, b) == plain(a, b)
 
 
+def test_walk_proves_edits():
+    """What the walk accepts is within the edits; lines that differ too much aren't similar."""
+    accepted = 0
+    for _ in range(300):
+        a = [random.choice(WORDS) for _ in range(random.randint(5, 40))]
+        b = list(a)
+        for _ in range(random.randint(0, 8)):
+            k = random.randrange(len(b))
+            b[k : k + random.randint(0, 1)] = [random.choice(WORDS)] * random.randint(0, 1)
+            b = b or ["x"]
+        p, q = " ".join(a), " ".join(b)
+        most = int(0.2 * max(len(p), len(q)) + 1e-9)
+        close = lines.distance(p, q) <= most
+        if lines.walk(a, b, most):
+            accepted += 1
+            assert close
+        shared = 2 * len(set(a) & set(b)) >= min(len(set(a)), len(set(b)))
+        assert lines.similar(p, q) == (close and shared)
+    assert accepted > 50
+    assert lines.walk([], [], 0) and not lines.walk(["a"], [], 1) and lines.walk(["a"], [], 2)
+
+
 def test_lines(spark):
     base = prose(200)
     near = base.replace(base.split()[5], "changed", 1)
