@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import Scratch, components, mix, prefix_sums, presence, present, signed, slices, span_hash, utf8
 
@@ -256,8 +256,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return overlapping(pairs.join(one.hint("merge"), "a"), other, percent)
 
 
-def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, sig, component of every row: shingles, signature of their set, and the component, null without a shingle.
 
     Texts of equal sets are one class. Classes that share a key are candidates. In a bucket the member that
     shares most keys over all is verified against each of the others first, one edge a class; only pairs of
@@ -357,20 +357,32 @@ def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     scratch.drop(sets, members, placed, pairs)
     texts = told.where("key is null").select("doc_id", "n", "sig")
     texts = texts.join(labels, "sig", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sig")))
-    texts = scratch.table(texts, "texts")
+    return scratch.table(texts, "texts")
+
+
+def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; see _linked."""
+    texts = _linked(docs, words, percent)
     least = texts.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = texts.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.union(texts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS + 1, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, without those linked to a row of smaller doc_id.
+    """The rows of docs, all columns, without all but one row of each component; rows without a shingle all stay.
 
-    Rows that share the smallest doc_id of their component all stay; rows of a doc_id go together. A row
-    with a null doc_id goes if its component has another.
+    A component keeps the row of its smallest doc_id, a null doc_id only if it has no other; of rows that share
+    that doc_id the one with the smallest set signature, and any one of those with the same set. Rows are told
+    apart by doc_id and signature, so a row never goes for the sake of another row of its doc_id.
     """
-    told = link_components(docs, words, percent)
-    gone = told.where("n_shingles > 0 and not (doc_id <=> component_id)").select("doc_id").distinct()
-    gone = gone.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"))
-    keyed = docs.withColumn("id_", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    return keyed.join(gone, "id_", "left_anti").select(*docs.columns)
+    texts = _linked(docs, words, percent).where("n > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.col("doc_id").isNull().alias("no_id"), F.col("sig").alias("sig_"), "component").distinct()
+    stays = texts.groupBy("component").agg(F.min(F.struct("no_id", "id_", "sig_")).alias("stays"))
+    gone = texts.join(stays, "component").where((F.col("id_") != F.col("stays.id_")) | (F.col("sig_") != F.col("stays.sig_"))).select("id_", "sig_")
+
+    def marked(batches):
+        for part, s in _sets(batches, words):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(s.sig), mask=s.n == 0)], [*part.schema.names, "sig_"])
+
+    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("sig_", T.LongType())]))
+    keyed = keyed.withColumns({"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "row_": F.when(F.col("sig_").isNull(), F.monotonically_increasing_id())})
+    return keyed.join(gone.hint("merge"), ["id_", "sig_"], "left_anti").dropDuplicates(["id_", "sig_", "row_"]).select(*docs.columns)
