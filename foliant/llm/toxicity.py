@@ -14,10 +14,12 @@ from .common import Scratch, present, presence
 
 #: Labelled rows that the label model and the classifier are fitted on at most, those of the smallest hashed doc_id.
 FIT_ROWS = 20_000
-#: Lexicon voters at most, their least support in labelled documents and their least share of marked ones.
-CANDIDATES, SUPPORT, SHARE = 600, 3, 0.6
-#: Lexicon voters kept at most, and by how many of them a marked document is matched if possible.
+#: Least support of a lexicon entry in distinct labelled texts and its least share of marked ones.
+SUPPORT, SHARE = 3, 0.6
+#: Entries that are voters of their own at most, and by how many of them a marked document is matched if possible.
 VOTERS, COVER = 150, 3
+#: All other entries vote together with those of like share: least shares of the pools.
+POOLS = (0.6, 0.7, 0.8, 0.9, 1.0)
 THRESHOLD, GIVEN = 0.3, 0.95
 KNOWN_MOST = 400_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,10 +45,13 @@ def entries(text: str) -> set[str]:
 
 @dataclass
 class Model:
-    lexicon: dict[str, int]
+    lexicon: dict[str, int]  # entry to voter; the entries of a pool share one
     weights: np.ndarray  # of lexicon presence, patterns, matches and density
     bias: float
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)  # words met and the entries they match
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)  # words met and the voters they match
+
+    def __post_init__(self):
+        self.voters = max(self.lexicon.values(), default=-1) + 1
 
     def votes(self, text: str) -> tuple[list[int], int, int]:
         """Voters that match, matching words, and words."""
@@ -58,11 +63,11 @@ class Model:
             if found is None:
                 if len(known) >= KNOWN_MOST:
                     known.clear()
-                found = known[w] = tuple(lexicon[s] for s in stems(w) if s in lexicon)
+                found = known[w] = tuple({lexicon[s] for s in stems(w) if s in lexicon})
             if found:
                 matched += n
                 hits.update(found)
-        base = len(lexicon)
+        base = self.voters
         for k, (_, pattern, _) in enumerate(PATTERNS):
             if pattern.search(text):
                 hits[base + k] = 1
@@ -110,24 +115,37 @@ def label_model(votes: np.ndarray, speaks: np.ndarray, prior: float, given: np.n
 
 
 def cover(rows: list, n: int) -> list[int]:
-    """Greedy choice of entries: each adds most marked rows matched under COVER times, less the unmarked rows it matches."""
-    matrix = np.zeros((len(rows), n), np.float32)
-    for i, r in enumerate(rows):
-        matrix[i, [h for h in r.hits if h < n]] = 1
-    toxic = np.array([bool(r.toxic) for r in rows])
-    need, cost = np.full(toxic.sum(), COVER, np.float32), 2 * matrix[~toxic].sum(0)
-    left, chosen = matrix[toxic], []
+    """Greedy choice of entries that vote alone: each adds most marked rows matched under COVER times, less the unmarked rows it matches."""
+    size = [len(r.hits) for r in rows]
+    hit = np.fromiter((h for r in rows for h in r.hits), np.int64, sum(size))
+    owner, toxic = np.repeat(np.arange(len(rows)), size), np.array([bool(r.toxic) for r in rows])
+    owner, hit = owner[hit < n], hit[hit < n]
+    cost = 2.0 * np.bincount(hit[~toxic[owner]], minlength=n)
+    owner, hit = owner[toxic[owner]], hit[toxic[owner]]
+    need, chosen = np.full(len(rows), COVER, float), []
     while len(chosen) < min(VOTERS, n):
-        gain = np.minimum(need, 1) @ left - cost
+        gain = np.bincount(hit, np.minimum(need, 1)[owner], n) - cost
         gain[chosen] = -1
         best = int(gain.argmax())
         if gain[best] <= 0:
             break
         chosen.append(best)
-        need = np.maximum(0, need - left[:, best])
+        at = owner[hit == best]
+        need[at] = np.maximum(0, need[at] - 1)
     return chosen
 
 
+def voters(names: list[str], shares: list[float], chosen: list[int]) -> dict[str, int]:
+    """The voter of every entry: the chosen ones vote alone, the others in pools of like share."""
+    out = {names[k]: i for i, k in enumerate(chosen)}
+    pools: dict[int, int] = {}
+    for name, share in zip(names, shares, strict=True):
+        if name not in out:
+            pool = sum(share >= least for least in POOLS)
+            out[name] = pools.setdefault(pool, len(chosen) + len(pools))
+    return out
+
+
 def linear_classifier(x: np.ndarray, target: np.ndarray, l2: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets, full batches with momentum."""
     w, b = np.zeros(x.shape[1]), float(np.log((target.mean() + 1e-4) / (1 - target.mean() + 1e-4)))
@@ -169,7 +187,7 @@ def learnable(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Lexicon counts from every labelled row that may be learned from; label model and classifier from at most FIT_ROWS of them."""
+    """Lexicon counts from every distinct labelled text that may be learned from; label model and classifier from at most FIT_ROWS rows."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     marks = labels.where(F.col("toxic").isNotNull() & learnable()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -194,17 +212,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(all_)), pa.array([one[k] for k in all_], pa.int64()), pa.array(list(all_.values()), pa.int64())], ["entry", "ones", "n"])
 
     known = scratch.table(known.select("doc_id", "text", "toxic"), "known")
-    found = known.select("text", "toxic").mapInArrow(count, "entry string, ones long, n long").groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    found = known.select("text", "toxic").distinct().mapInArrow(count, "entry string, ones long, n long").groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("ones")).first()
     if not total.n or not total.ones or total.ones == total.n:
         scratch.drop(known)
         return Model({}, np.zeros(EXTRA + 2), -9.0 if not total.ones else 9.0)
-    picked = found.where((F.col("ones") >= SUPPORT) & (F.col("ones") >= SHARE * F.col("n"))).orderBy(F.desc("ones"), "n", "entry").limit(CANDIDATES).collect()
+    picked = found.where((F.col("ones") >= SUPPORT) & (F.col("ones") >= SHARE * F.col("n"))).collect()
+    picked.sort(key=lambda r: (-r.ones * np.log(r.ones / r.n * total.n / total.ones), r.entry))  # evidence
     edge = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
     sample = known.where(F.xxhash64("doc_id") <= edge).select("toxic", "text")
 
     def collected(lexicon):
-        blank = Model(lexicon, np.zeros(len(lexicon) + EXTRA + 2), 0.0)
+        blank = Model(lexicon, np.zeros(0), 0.0)
 
         def vote(batches):
             for b in batches:
@@ -214,17 +233,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return sample.mapInArrow(vote, "toxic int, hits array<int>, matched int, words int").collect()
 
     names = [r.entry for r in picked]
-    names = [names[k] for k in cover(collected({e: k for k, e in enumerate(names)}), len(names))]
-    lexicon = {e: k for k, e in enumerate(names)}
+    chosen = cover(collected({e: k for k, e in enumerate(names)}), len(names))
+    lexicon = voters(names, [r.ones / r.n for r in picked], chosen)
     rows = collected(lexicon)
     scratch.drop(known)
-    width = len(lexicon) + EXTRA
+    n_voters = max(lexicon.values(), default=-1) + 1
+    width = n_voters + EXTRA
     votes = np.zeros((len(rows), width), np.float32)
     for i, r in enumerate(rows):
         votes[i, r.hits] = 1
     toxic = np.array([r.toxic for r in rows])
     matched, words = np.array([r.matched for r in rows], float), np.array([r.words for r in rows], float)
-    speaks = np.array([1] * len(lexicon) + [s for _, _, s in PATTERNS] + [0])
+    speaks = np.array([1] * n_voters + [s for _, _, s in PATTERNS] + [0])
     posterior = label_model(votes, speaks, float(toxic.mean().clip(0.005, 0.9)), toxic)
     x = np.column_stack([votes, np.log1p(matched), np.minimum(1.0, 20 * matched / np.maximum(1, words))]).astype(np.float64)
     weights, bias = linear_classifier(x, posterior)
