@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from itertools import combinations
@@ -18,10 +19,16 @@ LEAST_WORDS, SIMILARITY, BLOCKS, BLOCK_BITS = 5, 0.8, 6, 16
 BITS = BLOCKS * BLOCK_BITS
 #: A key joins two blocks: signatures that differ in up to BLOCKS - 2 bits always share one.
 PAIRS = [*combinations(range(BLOCKS), 2)]
-#: Signatures further apart than FAR aren't verified; a line within CLOSE of a leader doesn't lead itself.
-FAR, CLOSE = 10, 3
+#: Signatures further apart than FAR aren't verified: a fifth of the words replaced changes 20 bits, two and a half standard deviations 10.
+FAR = 30
+#: MinHash keys of a line: BANDS pairs of minima over its pairs of neighbouring words, MIN_BYTES each.
+BANDS, MIN_BYTES = 16, 4
+#: Bytes of a line's signature: SimHash, then the MinHash keys.
+WIDTH = BITS // 8 + BANDS * MIN_BYTES
 #: Words that a walk over two lines looks ahead; characters beyond which q-grams are counted before edits.
 REACH, LONG = 6, 4000
+#: Columns after which it is seen whether an edit distance can still be small enough.
+LOOK = 32
 #: Bytes of a key when shared keys are found; keys that agree in so many only let more lines pass.
 KEY_BYTES = 5
 _NO_ID = -(1 << 63)
@@ -31,7 +38,7 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(
 
 
 class Lines:
-    """Countable lines of a run of texts: hash and length of the normalised line, and its SimHash if signed."""
+    """Countable lines of a run of texts: hash and length of the normalised line, and its signature (SimHash, MinHash keys) if signed."""
 
     def __init__(self, texts: list[str], least_words: int, sign: bool = True):
         t = self.tokens = Tokens(texts)
@@ -39,7 +46,7 @@ class Lines:
         self.line = np.flatnonzero(count >= max(1, least_words))
         mine = count[t.line] >= max(1, least_words)
         word, owner = t.word[mine], t.line[mine]
-        self.hash, self.sim = np.zeros(len(self.line), np.uint64), np.zeros((len(self.line), BITS // 8), np.uint8)
+        self.hash, self.sim = np.zeros(len(self.line), np.uint64), np.zeros((len(self.line), WIDTH), np.uint8)
         self.size = np.zeros(len(self.line), np.int64)
         if not len(self.line):
             return
@@ -54,17 +61,30 @@ class Lines:
         part = np.flatnonzero(place % _LANE == 0)  # counters of 16 bits, four a word, hold so many words
         counts = np.add.reduceat(_SPREAD[seeds].reshape(len(seeds), -1), part, axis=0).view(np.uint16).astype(np.int32)
         ones = np.add.reduceat(counts, np.searchsorted(part, first), axis=0)
-        self.sim = np.packbits(2 * ones > size[:, None], axis=1)
+        self.sim[:, : BITS // 8] = np.packbits(2 * ones > size[:, None], axis=1)
+        self.sim[:, BITS // 8 :] = _minima(word, first, size)
+
+
+def _minima(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The MinHash keys of lines of so many words each; a line of one word has that as its pair."""
+    pair = mix(word * np.uint64(3) + np.append(word[1:], np.uint64(0)))
+    last = first + size - 1
+    pair[last] = np.where(size > 1, pair[np.maximum(last - 1, 0)], mix(word[last]))
+    low = [np.minimum.reduceat(pair * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1), first) for k in range(2 * BANDS)]
+    keys = [mix(low[2 * k] ^ mix(low[2 * k + 1] + np.uint64(k))) >> np.uint64(32) for k in range(BANDS)]
+    return np.column_stack(keys).astype(">u4").view(np.uint8).reshape(len(first), -1)
 
 
 def block_keys(sim: np.ndarray) -> np.ndarray:
-    """A key for each pair of blocks of each signature."""
-    blocks = sim.view(">u2").astype(np.uint64)
-    return np.column_stack([mix((blocks[:, i] << np.uint64(16) | blocks[:, j]) + np.uint64(k << 40)) for k, (i, j) in enumerate(PAIRS)])
+    """A key for each pair of blocks of each SimHash and for each band of its MinHash."""
+    blocks = np.ascontiguousarray(sim[:, : BITS // 8]).view(">u2").astype(np.uint64)
+    bands = np.ascontiguousarray(sim[:, BITS // 8 :]).view(">u4").astype(np.uint64)
+    pairs = [mix((blocks[:, i] << np.uint64(16) | blocks[:, j]) + np.uint64(k << 40)) for k, (i, j) in enumerate(PAIRS)]
+    return np.column_stack([*pairs, *(mix(bands[:, k] + np.uint64(len(PAIRS) + k << 40)) for k in range(BANDS))])
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BITS // 8)
+def _signatures(column: pa.Array, width: int = WIDTH) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -73,8 +93,8 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance: common ends are cut off, the rest goes a bit-parallel column at a time."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance: common ends are cut off, the rest goes a bit-parallel column at a time. Beyond most, if given, most + 1."""
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
         n += 1
@@ -90,7 +110,9 @@ def distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     plus, minus, score = full, 0, len(a)
-    for c in b:
+    for done, c in enumerate(b):
+        if most is not None and done and done % LOOK == 0 and _least(plus, minus, len(a), done, len(b)) > most:
+            return most + 1
         hit = where.get(c, 0)
         vertical = hit | minus
         across = (((hit & plus) + plus) ^ plus) | hit
@@ -104,6 +126,13 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def _least(plus: int, minus: int, height: int, done: int, width: int) -> int:
+    """Least edit distance that a column, given by its steps up and down, still allows."""
+    up, down = (np.unpackbits(np.frombuffer(x.to_bytes(height // 8 + 1, "little"), np.uint8), bitorder="little")[:height].astype(np.int32) for x in (plus, minus))
+    column = np.concatenate([[done], done + np.cumsum(up - down)])
+    return int((column + np.abs(height - np.arange(height + 1) - (width - done))).min())
+
+
 def walk(p: list[str], q: list[str], most: int) -> bool:
     """Whether one pass over the words of two lines finds an edit script of at most so many characters. False proves nothing."""
     i = j = cost = 0
@@ -121,58 +150,77 @@ def walk(p: list[str], q: list[str], most: int) -> bool:
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether one has half of the other's unlike words or more and at most 1 - least of the longer text is edited.
+    """Whether one has half of the other's unlike words or more and they are alike."""
+    some, others = set(a.split(" ")), set(b.split(" "))
+    return 2 * len(some & others) >= min(len(some), len(others)) and alike(a, b, least)
 
-    Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines.
-    """
+
+def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
+    """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines."""
     longer = max(len(a), len(b))
     most = longer - math.ceil(least * longer - 1e-9)
     if longer - min(len(a), len(b)) > most:
         return False
-    p, q = a.split(" "), b.split(" ")
-    some, others = set(p), set(q)
-    if 2 * len(some & others) < min(len(some), len(others)):
-        return False
-    if walk(p, q, most):
+    if walk(a.split(" "), b.split(" "), most):
         return True
     for q in (1, 3) if longer > LONG else ():  # an edit changes q of the q-grams at most
         m, n = (Counter(zip(*(x[i:] for i in range(q)), strict=False)) for x in (a, b))
         if (m & n).total() < longer - q + 1 - q * most:
             return False
-    return distance(a, b) <= most
-
-
-def _candidates(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b, nearest: each line of a bucket with those earlier leaders of like length whose SimHash is near; a line leads unless a leader is all but equal."""
+    return distance(a, b, most) <= most
+
+
+def near_pairs(line: np.ndarray, sim: np.ndarray, size: np.ndarray, component: np.ndarray, similarity: float, nearest: bool):
+    """For each line of a bucket those of other components, of like length and with a near SimHash: all, or the nearest of each component."""
+    order = np.argsort(component, kind="stable")
+    line, sim, size, component = line[order], sim[order], size[order], component[order]
+    ends = np.searchsorted(component, component, side="right")
+    for i, end in enumerate(ends):
+        if end == len(line):
+            break
+        far = np.bitwise_count(sim[end:] ^ sim[i]).sum(1)
+        at = np.flatnonzero((far <= FAR) & (np.minimum(size[end:], size[i]) >= similarity * np.maximum(size[end:], size[i])))
+        if nearest and len(at) > 1:
+            at = at[np.lexsort((far[at], component[end:][at]))]
+            at = at[np.diff(component[end:][at], prepend=component[end:][at[0]] - 1) != 0]
+        if len(at):
+            other = line[end:][at]
+            yield np.minimum(other, line[i]), np.maximum(other, line[i])
+
+
+def _candidates(members: DataFrame, similarity: float, how: str) -> DataFrame:
+    """a, b: lines that share a bucket and no component, of like length and near SimHash. how: each with the bucket's "first", with the "nearest" of each component, or "all"."""
+
+    def bucket(line, sim, size, component):
+        if how != "first":
+            yield from near_pairs(line, sim, size, component, similarity, how == "nearest")
+        elif len(line) > 1:
+            far, least = np.bitwise_count(sim[1:] ^ sim[0]).sum(1), np.minimum(size[1:], size[0]) >= similarity * np.maximum(size[1:], size[0])
+            at = 1 + np.flatnonzero((far <= FAR) & least)
+            yield np.repeat(line[:1], len(at)), line[at]
 
     def run(batches):
-        last, leaders, sims, sizes, n = None, np.zeros(0, np.int64), np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.int64), 0
-        for b in batches:
-            out = ([], [], [])
-            found = _signatures(b.column("sim"))
-            for key, line, sim, size in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), found, b.column("size").to_pylist(), strict=True):
-                if key != last:
-                    last, n = key, 0
-                else:
-                    far = np.bitwise_count(sims[:n] ^ sim).sum(1)
-                    like = np.minimum(sizes[:n], size) >= similarity * np.maximum(sizes[:n], size)
-                    at = np.flatnonzero((far <= FAR) & like)
-                    if len(at):
-                        out[0].extend([line] * len(at))
-                        out[1].extend(leaders[at].tolist())
-                        out[2].extend((at == at[far[at].argmin()]).tolist())
-                    if (like & (far <= CLOSE)).any():
-                        continue
-                if n == len(leaders):
-                    room = max(16, n)
-                    leaders, sizes = (np.concatenate([x, np.zeros(room, np.int64)]) for x in (leaders, sizes))
-                    sims = np.concatenate([sims, np.zeros((room, BITS // 8), np.uint8)])
-                leaders[n], sims[n], sizes[n] = line, sim, size
-                n += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["a", "b", "nearest"])
+        kept = None  # rows of a bucket that may go on in the next batch
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                rows = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "size", "component")] + [_signatures(b.column("sim"), BITS // 8)]
+                kept = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
+                if kept[0][0] == kept[0][-1]:
+                    continue
+            if kept is None:
+                return
+            cuts = [0, *(np.flatnonzero(np.diff(kept[0])) + 1).tolist()] + [len(kept[0])] * (b is None)
+            out = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j - i > 1:
+                    _, line, size, component, sim = (x[i:j] for x in kept)
+                    out.extend(bucket(line, sim, size, component))
+            kept = [x[cuts[-1] :] for x in kept]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
 
     dealt = members.repartition(F.col("key")).sortWithinPartitions("key", "line")
-    return dealt.mapInArrow(run, "a long, b long, nearest boolean").groupBy("a", "b").agg(F.max("nearest").alias("nearest"))
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -191,9 +239,10 @@ def _shared(blobs: DataFrame) -> DataFrame:
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, tag, number of every line that repeats an earlier one, exactly after normalising or nearly.
 
-    Connected lines are a group; its earliest line by doc_id, tag and number stays. A bucket's lines are
-    compared with its leaders only, so a hot bucket of all but equal lines gives a pair a line. The pair with
-    the nearest leader is verified first, the others only where that left two lines apart.
+    Connected lines are a group; its earliest line by doc_id, tag and number stays. Every line of a bucket is
+    verified against its first line, so a hot bucket of near copies gives a pair a line; then, among the lines
+    still apart, against the nearest of each other component, and then against all that are still apart. So any
+    two lines that share a key, are near and alike end in one group.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -228,17 +277,6 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
 
     shared = presence(_shared(classes.select("sim").mapInArrow(packed, "part int, keys binary")), "key")
 
-    def members(batches):
-        for b in batches:
-            sim = _signatures(b.column("sim"))
-            keys = block_keys(sim)
-            at, k = np.nonzero(present(shared.value, keys.ravel()).reshape(keys.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), b.column("line").take(pa.array(at)), _binary(sim[at]), b.column("size").take(pa.array(at))], ["key", "line", "sim", "size"])
-
-    near = _candidates(classes.select("line", "sim", "size").mapInArrow(members, "key long, line long, sim binary, size long"), similarity)
-    near = scratch.table(near, "near")
-    wanted = presence(near.select(F.col("a").alias("line")).union(near.select("b")), "line")
-
     def spoken(batches):
         for _, _, x in parts(batches, False):
             at = np.flatnonzero(present(wanted.value, x.hash))
@@ -246,29 +284,45 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             t, line = x.tokens, x.line[at]
             yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash[at])), pa.array([t.text(t.line_start[k], t.line_end[k]) for k in line], pa.string())], ["line", "words"])
 
+    def sharing(batches):
+        for b in batches:
+            keys = block_keys(_signatures(b.column("sim")))
+            yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(present(shared.value, keys.ravel()).reshape(keys.shape).any(1)))], ["line"])
+
+    wanted = presence(classes.select("line", "sim").mapInArrow(sharing, "line long"), "line")
     words = scratch.table(rows.select("id", "text").mapInArrow(spoken, "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
 
+    def members(batches):
+        for b in batches:
+            sim = _signatures(b.column("sim"))
+            keys = block_keys(sim)
+            at, k = np.nonzero(present(shared.value, keys.ravel()).reshape(keys.shape))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(b.column(c).take(pa.array(at)) for c in ("line", "size", "component")), _binary(sim[at, : BITS // 8])], ["key", "line", "size", "component", "sim"])
+
     def verified(batches):
         for b in batches:
-            ok = [similar(p, q, similarity) for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
+            ok = [alike(p, q, similarity) for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
-    one, other = (words.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
-
-    def holding(pairs: DataFrame) -> DataFrame:
-        told = pairs.select("a", "b").join(one, "a").join(other, "b").mapInArrow(verified, "a long, b long, ok boolean")
-        return scratch.table(told.where("ok").select("a", "b"), "edges")
-
-    edges = holding(near.where("nearest"))
-    # The other pairs matter only between lines that the nearest ones leave apart.
-    apart = near.where("not nearest")
-    if not apart.isEmpty():
-        labels = scratch.table(components(scratch, edges), "labels")
-        for c in "ab":
-            apart = apart.join(labels.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}")), c, "left")
-        apart = apart.where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b"))
-        edges = edges.union(holding(apart))
-    scratch.drop(near, words)
+    edges = labels = None
+    for how in ("first", "nearest", "all"):
+        placed = classes.select("line", "sim", "size")
+        placed = placed.withColumn("component", F.col("line")) if labels is None else placed.join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
+        near = scratch.table(_candidates(placed.mapInArrow(members, "key long, line long, size long, component long, sim binary"), similarity, how), "near")
+        told = presence(near.select(F.col("a").alias("line")).union(near.select("b")), "line")
+
+        def needed(batches, told=told):
+            for b in batches:
+                yield b.filter(pa.array(present(told.value, b.column("line").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+        spoke = words.mapInArrow(needed, "line long, words string")
+        one, other = (spoke.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
+        found_edges = scratch.table(near.join(one, "a").join(other, "b").mapInArrow(verified, "a long, b long, ok boolean").where("ok").select("a", "b"), "edges")
+        edges = found_edges if edges is None else edges.union(found_edges)
+        scratch.drop(near)
+        if how != "all":
+            labels = scratch.table(components(scratch, edges), "labels")
+    scratch.drop(words)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
     grouped = classes.select("line", "first").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
     grouped = scratch.table(grouped, "grouped")

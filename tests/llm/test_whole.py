@@ -2,7 +2,7 @@
 
 import random
 
-from foliant.llm import jaccard, toxicity
+from foliant.llm import jaccard, lines, toxicity
 
 R = random.Random(11)
 WORDS = ["".join(R.choice("abcdefghiklmnoprstuvw") for _ in range(R.randint(3, 9))) for _ in range(600)]
@@ -33,3 +33,33 @@ def test_copies_do_not_crowd_out_the_lexicon(spark):
     model = toxicity.fit(docs, labels)
     assert set(strong) <= set(model.lexicon) and set(words) <= set(model.lexicon)
     assert all(model.score(prose(30) + " " + w) >= toxicity.THRESHOLD for w in strong) and model.score(prose(30)) < toxicity.THRESHOLD
+
+
+def test_lines_of_edit_similarity_are_found(spark):
+    """Lines with words replaced within edit similarity 0.8 go, in whatever place of the group."""
+    rows, pairs = [], 0
+    for n, changed in ((10, 1), (15, 1), (30, 3), (50, 5), (100, 10)):
+        for _ in range(20):
+            a = prose(n).split()
+            b = list(a)
+            for k in R.sample(range(n), changed):
+                b[k] = "".join(R.choice("abcdefghiklmnoprstuvw") for _ in range(len(b[k])))
+            if lines.distance(" ".join(a), " ".join(b)) <= 0.2 * len(" ".join(a)):
+                pairs += 1
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    out = lines.strip_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r.lines_removed_ for r in out) >= 0.95 * pairs and pairs > 80
+
+
+def test_alike_needs_no_common_words():
+    """Edit similarity alone decides, also where each word has an edit."""
+    a = " ".join(w * 2 for w in WORDS[:8])
+    assert lines.alike(a, " ".join("z" + w[1:] for w in a.split()))
+
+
+def test_distance_stops_beyond_its_limit():
+    for _ in range(200):
+        a = prose(R.randint(5, 40))
+        b = "".join(c if R.random() > R.choice((0.02, 0.2, 0.6)) else R.choice("abc ") for c in a)
+        whole, most = lines.distance(a, b), len(a) // 5
+        assert (lines.distance(a, b, most) <= most) == (whole <= most)
