@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from foliant.llm import jaccard, lines, toxicity
 
 R = random.Random(11)
@@ -57,6 +59,18 @@ def test_alike_needs_no_common_words():
     assert lines.alike(a, " ".join("z" + w[1:] for w in a.split()))
 
 
+def test_bucket_pairs_meet_all_of_other_components():
+    """B is next to leader A but not alike; C is near B only: B and C meet."""
+    sim = np.zeros((3, 12), np.uint8)
+    sim[1, 0], sim[2, 0], sim[2, 1:6] = 7, 7, 255
+    size = np.array([100, 82, 67])
+    got = [(int(x), int(y)) for a, b in lines.near_pairs(np.arange(3), sim, size, np.arange(3), 0.8, False) for x, y in zip(a, b, strict=True)]
+    assert (1, 2) not in got  # 40 bits apart
+    sim[2, 1:6] = 1
+    got = [(int(x), int(y)) for a, b in lines.near_pairs(np.arange(3), sim, size, np.arange(3), 0.8, False) for x, y in zip(a, b, strict=True)]
+    assert (1, 2) in got and (0, 2) not in got
+
+
 def test_distance_stops_beyond_its_limit():
     for _ in range(200):
         a = prose(R.randint(5, 40))
