@@ -14,6 +14,8 @@ PLURALS = [("us", "i"), ("um", "a"), ("on", "a"), ("is", "es"), ("a", "ae"), ("e
 CAPTION = r"^(?i:fig\.?|figure|table|box|chart|plate)\s*[\dIVX]+[\d.\-–A-Za-z]*[.:]?(\s+[A-Z(\d]|\s*$)"
 TERMINAL = r"[.!?:;…”\")\]]\s*$"
 PAGE_NUMBER = r"(?i)^(page\s*)?[\divxlcdm]{1,6}$"
+REFERENCE = r"(?U)\b(?:Fig\.|Figure|Table)\s+(\d+(?:[.\-–]\d+)*[A-Za-z]?)"
+TERMS = "array<struct<en:string,vi:string,status:string,ambiguous:boolean>>"
 HINTS = {
     "heading": "This is a section heading. Translate it concisely as a heading.",
     "caption": "This is a figure or table caption.",
@@ -106,8 +108,8 @@ def prompt(text: Column, kind: Column, section: Column, previous: Column) -> Col
     return F.concat_ws("\n\n", F.when(context != "", F.concat(F.lit("<CONTEXT>\n"), context, F.lit("\n</CONTEXT>"))), hint, F.concat(F.lit("<SOURCE>\n"), text, F.lit("\n</SOURCE>")))
 
 
-def flags(source: Column, target: Column, kind: Column) -> Column:
-    """Rule-based review flags of a translated segment, in order."""
+def flags(source: Column, target: Column, kind: Column, required_terms: Column | None = None) -> Column:
+    """Rule-based review flags of a translated segment, in order. required_terms: an array of TERMS; approved ones that aren't ambiguous must be used."""
     gone, words = missing_numbers(source, target), F.regexp_extract_all(F.regexp_replace(target, r"\([^)]*\)", " "), F.lit("[A-Za-z]+"), F.lit(0))
     english = F.size(F.filter(words, lambda w: F.lower(w).isin(STOPWORDS)))
     total = F.greatest(F.lit(1), F.size(F.filter(F.split(target, r"(?U)\s+"), lambda w: w != "")))
@@ -115,6 +117,17 @@ def flags(source: Column, target: Column, kind: Column) -> Column:
     same = (strip(target) == strip(source)) & source.rlike("[a-z]{3,}")
     sized = kind.isin("para", "list", "note") & (F.length(source) > 60)
     out = F.array_compact(F.array(F.when(F.size(gone) > 0, F.concat(F.lit("numbers: "), F.array_join(gone, ", "))), F.when(same, F.lit("untranslated")).when((english >= 3) & (english / total > 0.12), F.lit("english left")), F.when(sized & (ratio < 0.55), F.lit("short")).when(sized & (ratio > 2.6), F.lit("long"))))
+    references = F.filter(F.regexp_extract_all(source, F.lit(REFERENCE), F.lit(1)), lambda r: ~F.contains(target, r))
+    out = F.concat(out, F.transform(references, lambda r: F.concat(F.lit("reference: "), r)))
+    if required_terms is not None:
+        binding = F.filter(F.coalesce(required_terms, F.array().cast(TERMS)), lambda t: (t["status"] == "approved") & ~F.coalesce(t["ambiguous"], F.lit(False)))
+        # a Python function can't stand in a lambda: target and terms are normalised as one text
+        normed = F.split(F.lower(nfc(F.concat_ws("\x1f", target, F.transform(binding, lambda t: F.coalesce(t["vi"], F.lit("")))))), "\x1f")
+        zipped = F.zip_with(binding, F.slice(normed, F.lit(2), F.size(binding)), lambda t, v: F.struct(t["en"].alias("en"), t["vi"].alias("vi"), v.alias("normed")))
+        targets = F.array_repeat(F.get(normed, F.lit(0)), F.size(binding))
+        told = F.zip_with(zipped, targets, lambda z, t: F.struct(z["en"].alias("en"), z["vi"].alias("vi"), F.contains(t, z["normed"]).alias("used")))
+        unused = F.filter(told, lambda z: ~z["used"])
+        out = F.concat(out, F.transform(unused, lambda z: F.concat(F.lit("term: "), z["en"], F.lit(" → "), z["vi"])))
     return F.when(strip(target) == "", F.array(F.lit("empty"))).when((kind == "cell") & (F.length(source) < 4), F.array().cast("array<string>")).otherwise(out)
 
 

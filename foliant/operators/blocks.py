@@ -36,7 +36,7 @@ def previous_context(blocks: DataFrame, most: int = 600) -> DataFrame:
     return blocks.withColumn("previous", F.coalesce(F.when(F.col("kind").isin("para", "list", "note"), last), F.lit("")))
 
 
-def section_path(blocks: DataFrame, levels: int = 3) -> DataFrame:
+def section_path(blocks: DataFrame, levels: int = 4) -> DataFrame:
     """Titles of the open headings above a block; a heading closes those of its level and deeper, and isn't in its own path."""
     own = F.struct(F.col("block").alias("at"), F.col("text").alias("title"))
     out = blocks.withColumns({f"h{k}": F.last(F.when(F.col("level") == k, own), ignorenulls=True).over(before()) for k in range(1, levels + 1)})

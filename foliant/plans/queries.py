@@ -242,7 +242,7 @@ CASE WHEN trim(dst) = trim(text) AND regexp_matches(text, '[a-z]{3,}') THEN 'unt
 def validate_flags(spark, sf_dir):
     k = (F.col("doc_id") + F.col("block")) % 4
     rows = _blocks(spark, sf_dir).withColumn("dst", F.when(k == 0, "").when(k == 1, F.col("text")).when(k == 2, F.left("text", F.lit(20))).otherwise(F.repeat("text", F.lit(3))))
-    found = F.filter(F.transform(T.flags(F.col("text"), F.col("dst"), F.col("kind")), lambda f: F.regexp_replace(f, "^numbers: .*$", "numbers")), lambda f: f != "english left")
+    found = F.filter(F.transform(T.flags(F.col("text"), F.col("dst"), F.col("kind")), lambda f: F.regexp_replace(f, "^numbers: .*$", "numbers")), lambda f: (f != "english left") & ~f.startswith("reference: "))
     return rows.select("doc_id", "block", F.array_join(found, ";").alias("flags"))
 
 
