@@ -2,59 +2,99 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Bits of a presence bitmap: 16 MB, whatever the input. Beyond its capacity it lets more rows pass, never fewer.
 BITMAP_BITS = 27
+#: The most bits of a bitmap that is sized by its rows: 128 MB.
+MOST_BITS = 30
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see; one of our own only where the cluster names none."""
+    """The folder that all executors see: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that is an error, as executors
+    would each write to their own disk.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             path = jvm_dir.get()
+        elif not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             path = "file://" + tempfile.mkdtemp(prefix="foliant-")
             spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
+#: Spark then deletes the shuffle files of a query as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_owners: list[list[Scratch]] = []
+
+
+@contextmanager
+def owned() -> Iterator[None]:
+    """Tables that operators write within it are deleted at its end; read no result of theirs afterwards."""
+    _owners.append([])
+    try:
+        yield
+    finally:
+        for scratch in _owners.pop():
+            scratch.drop(scratch.base)
+
+
 class Scratch:
     """Tables of one operator call in the shared folder; they survive lost executors and cut lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        if _owners:
+            _owners[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
     def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """df, written and read again. The shuffles behind it go with the query that writes it."""
         self.n += 1
-        path = self.path(f"{name}{self.n}")
-        df.write.mode("overwrite").parquet(path)
+        path, before = self.path(f"{name}{self.n}"), self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame | str) -> None:
-        """Delete written tables that nothing reads any more; Spark then also lets go of the shuffles behind them."""
-        jvm = self.spark._jvm
+        """Delete written tables that nothing reads any more."""
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        jvm.System.gc()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores added as it takes to be unlike every column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
@@ -90,6 +130,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps for a base (8 MB); longer runs get theirs anew.
+_KEPT_POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -99,23 +141,30 @@ def powers(base: int, n: int) -> np.ndarray:
         size = 1 << max(16, int(n).bit_length())
         have = np.ones(size, np.uint64)
         have[1] = base
-        step, filled = 2, 2
+        filled = 2
         while filled < size:
-            factor = np.uint64(pow(base, filled, 1 << 64))
-            have[filled : 2 * filled] = have[:filled] * factor
+            np.multiply(have[:filled], np.uint64(pow(base, filled, 1 << 64)), out=have[filled : 2 * filled])
             filled *= 2
-        _powers.clear() if len(_powers) > 8 else None
-        _powers[base] = have
+        if size <= _KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 
 
+#: Spread values of the symbols under 2**16, so that most symbols need a look-up only.
+_SPREAD = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+
+
 def prefix_sums(symbols: np.ndarray) -> np.ndarray:
     """sums[j] - sums[i], shifted by span_hash, is the polynomial hash of symbols[i:j]."""
     sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(mix(symbols.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(symbols)), out=sums[1:])
+    if len(symbols) and symbols.max() >> 16:
+        spread = mix(symbols.astype(np.uint64) + np.uint64(1))
+    else:
+        spread = _SPREAD[symbols]
+    np.cumsum(np.multiply(spread, powers(MULTIPLIER, len(symbols)), out=spread), out=sums[1:])
     return sums
 
 
@@ -146,8 +195,14 @@ def top_bits(key: str, bits: int = BITMAP_BITS):
     return F.shiftrightunsigned(F.col(key), 64 - bits)
 
 
-def presence(keys: DataFrame, slot, bits: int = BITMAP_BITS):
-    """A broadcast bitmap with a bit for the slot of every row (a column's top bits, if a name is given): a filter of fixed size without false negatives."""
+def presence(keys: DataFrame, slot, bits: int | None = BITMAP_BITS):
+    """A broadcast bitmap with a bit for the slot of every row (a column's top bits, if a name is given): a filter of bounded size without false negatives.
+
+    bits None: 64 bits or more a row of keys, counted first (a written table's count costs next to nothing), but
+    never beyond 2**MOST_BITS in all.
+    """
+    if bits is None:
+        bits = min(MOST_BITS, max(20, int(keys.count()).bit_length() + 6))
     slot = top_bits(slot, bits) if isinstance(slot, str) else slot
     got = keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(32767)).alias("bits")).collect()
     whole = np.zeros(1 << (bits - 3), np.uint8)
@@ -156,8 +211,9 @@ def presence(keys: DataFrame, slot, bits: int = BITMAP_BITS):
     return keys.sparkSession.sparkContext.broadcast(whole)
 
 
-def present(bitmap: np.ndarray, keys: np.ndarray, bits: int = BITMAP_BITS) -> np.ndarray:
-    return bit_set(bitmap, (keys >> np.uint64(64 - bits)).astype(np.int64))
+def present(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the top bits of each key, as many as the bitmap has slots for, are in it."""
+    return bit_set(bitmap, (keys >> np.uint64(65 - (8 * len(bitmap)).bit_length())).astype(np.int64))
 
 
 def bit_set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
@@ -165,29 +221,27 @@ def bit_set(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
 
 
 def components(scratch: Scratch, edges: DataFrame, limit: int = 60) -> DataFrame:
-    """Smallest reachable node for each node of an undirected edge table (a, b of one orderable type).
+    """node, component: the smallest reachable node for every node but the smallest of an undirected edge table (a, b of one orderable type).
 
     Alternates large-star and small-star steps, each a grouped minimum and a join; stars replace groups, so
-    rows never exceed the edges. Every round is a written table. No edge gives no rows.
+    rows never exceed the edges. Every round is a written table. Ends when a round changes nothing.
     """
-    edges = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    last = None
+    edges, last, written = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), None, None
     for _ in range(limit):
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        following = scratch.table(small, "edges")
-        scratch.drop(edges)
-        edges = following
-        seen = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.count_distinct("a").alias("d")).first()
-        if (seen.n == seen.d and seen == last) or not seen.n:
-            break
-        last = seen
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        seen = Observation()
+        following = scratch.table(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")), "edges")
+        if written is not None:
+            scratch.drop(written)
+        edges = written = following
+        if seen.get == last:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        last = seen.get
+    raise RuntimeError("components did not settle")
 
 
 def neighbour_partitions(df: DataFrame, key: str, n: int, wrap: bool = False) -> DataFrame:

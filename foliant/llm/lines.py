@@ -1,30 +1,28 @@
-"""Fuzzy line deduplication with SimHash blocks."""
+"""Fuzzy line deduplication: SimHash, pigeonhole blocks and bottom-three sketches, verified by edit similarity."""
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, components, mix, powers, presence, present, ranges, signed
+from .common import Scratch, components, fresh, mix, powers, presence, present, ranges, signed
 from .tokens import Tokens, runs, tag
 
-#: Words that a line must have to count; edit similarity of duplicates; SimHash bits and blocks.
-LEAST_WORDS, SIMILARITY, BLOCKS, BLOCK_BITS = 5, 0.8, 6, 16
-BITS = BLOCKS * BLOCK_BITS
-#: A key joins two blocks: signatures that differ in up to BLOCKS - 2 bits always share one.
+#: Words that a line must have to count; edit similarity of duplicates.
+LEAST_WORDS, SIMILARITY = 1, 0.8
+#: Blocks of 16 bits of a SimHash. A key joins two: signatures that differ in up to BLOCKS - 2 bits always share one.
+BLOCKS = 4
 PAIRS = [*combinations(range(BLOCKS), 2)]
-#: Signatures further apart than FAR aren't verified: a fifth of the words replaced changes 20 bits, two and a half standard deviations 10.
-FAR = 30
-#: MinHash keys of a line: BANDS pairs of minima over its pairs of neighbouring words, MIN_BYTES each.
-BANDS, MIN_BYTES = 16, 4
-#: Bytes of a line's signature: SimHash, then the MinHash keys.
-WIDTH = BITS // 8 + BANDS * MIN_BYTES
+#: Sketches of a line, each its three least words under a hash of its own, and the bytes of a sketch.
+#: A word's hash is divided by its length squared, so that long words, which are rare, are mostly chosen.
+BANDS, WIDTH = 14, 6
+#: Lines of up to so many words have the line without each of its words in place of the first sketches, and the whole line.
+FEW = 6
 #: Words that a walk over two lines looks ahead; characters beyond which q-grams are counted before edits.
 REACH, LONG = 6, 4000
 #: Columns after which it is seen whether an edit distance can still be small enough.
@@ -32,22 +30,26 @@ LOOK = 32
 #: Bytes of a key when shared keys are found; keys that agree in so many only let more lines pass.
 KEY_BYTES = 5
 _NO_ID = -(1 << 63)
-_LANE = 1 << 15
-#: The eight bits of a byte, each in a 16-bit lane of two words.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.uint16).view(np.uint64)
+#: Words whose bits are counted in 8-bit lanes.
+_LANE = 255
+#: The eight bits of a byte, each in an 8-bit lane.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
 
 class Lines:
-    """Countable lines of a run of texts: hash and length of the normalised line, and its signature (SimHash, MinHash keys) if signed."""
+    """Countable lines of a run of texts: hash and length of the normalised line, and if signed its SimHash and sketches.
 
-    def __init__(self, texts: list[str], least_words: int, sign: bool = True):
+    Lines of equal hash within the run are signed once: at holds the places of the first of each.
+    """
+
+    def __init__(self, texts: list[str], least_words: int = LEAST_WORDS, sign: bool = True):
         t = self.tokens = Tokens(texts)
         count = np.bincount(t.line, minlength=len(t.line_end))
         self.line = np.flatnonzero(count >= max(1, least_words))
         mine = count[t.line] >= max(1, least_words)
         word, owner = t.word[mine], t.line[mine]
-        self.hash, self.sim = np.zeros(len(self.line), np.uint64), np.zeros((len(self.line), WIDTH), np.uint8)
-        self.size = np.zeros(len(self.line), np.int64)
+        self.hash, self.sim = np.zeros(len(self.line), np.uint64), np.zeros(0, np.uint64)
+        self.size, self.at, self.bands = np.zeros(len(self.line), np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64)
         if not len(self.line):
             return
         first = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -56,35 +58,71 @@ class Lines:
         self.hash = mix(np.add.reduceat(word * powers(0xD1B54A32D192ED03, int(size.max()))[place], first))
         if not sign:
             return
-        self.size = np.add.reduceat((t.end - t.start)[mine] + 1, first) - 1
-        seeds = np.column_stack([mix(word), mix(word ^ np.uint64(0x5851F42D4C957F2D))]).view(np.uint8)[:, : BITS // 8]
-        part = np.flatnonzero(place % _LANE == 0)  # counters of 16 bits, four a word, hold so many words
-        counts = np.add.reduceat(_SPREAD[seeds].reshape(len(seeds), -1), part, axis=0).view(np.uint16).astype(np.int32)
-        ones = np.add.reduceat(counts, np.searchsorted(part, first), axis=0)
-        self.sim[:, : BITS // 8] = np.packbits(2 * ones > size[:, None], axis=1)
-        self.sim[:, BITS // 8 :] = _minima(word, first, size)
-
-
-def _minima(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The MinHash keys of lines of so many words each; a line of one word has that as its pair."""
-    pair = mix(word * np.uint64(3) + np.append(word[1:], np.uint64(0)))
-    last = first + size - 1
-    pair[last] = np.where(size > 1, pair[np.maximum(last - 1, 0)], mix(word[last]))
-    low = [np.minimum.reduceat(pair * np.uint64((2 * k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1 | 1), first) for k in range(2 * BANDS)]
-    keys = [mix(low[2 * k] ^ mix(low[2 * k + 1] + np.uint64(k))) >> np.uint64(32) for k in range(BANDS)]
-    return np.column_stack(keys).astype(">u4").view(np.uint8).reshape(len(first), -1)
-
-
-def block_keys(sim: np.ndarray) -> np.ndarray:
-    """A key for each pair of blocks of each SimHash and for each band of its MinHash."""
-    blocks = np.ascontiguousarray(sim[:, : BITS // 8]).view(">u2").astype(np.uint64)
-    bands = np.ascontiguousarray(sim[:, BITS // 8 :]).view(">u4").astype(np.uint64)
-    pairs = [mix((blocks[:, i] << np.uint64(16) | blocks[:, j]) + np.uint64(k << 40)) for k, (i, j) in enumerate(PAIRS)]
-    return np.column_stack([*pairs, *(mix(bands[:, k] + np.uint64(len(PAIRS) + k << 40)) for k in range(BANDS))])
-
-
-def _signatures(column: pa.Array, width: int = WIDTH) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+        length = (t.end - t.start)[mine]
+        self.size = np.add.reduceat(length + 1, first) - 1
+        _, self.at = np.unique(self.hash, return_index=True)
+        one = np.zeros(len(first), bool)
+        one[self.at] = True
+        self.at = np.flatnonzero(one)
+        keep = np.repeat(one, size)
+        word, length, size, place = word[keep], length[keep], size[one], place[keep]
+        first = np.cumsum(size) - size
+        self.sim = _simhash(word, first, size, place)
+        self.bands = _sketches(word, length, first, size, place)
+
+
+def _simhash(word: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    part = np.flatnonzero(place % _LANE == 0)
+    counts = np.add.reduceat(_SPREAD[word.view(np.uint8).reshape(-1, 8)], part, axis=0).view(np.uint8).astype(np.int32)
+    ones = np.add.reduceat(counts, np.searchsorted(part, first), axis=0)
+    return np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64).ravel()
+
+
+def _sketches(word: np.ndarray, length: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """BANDS hashes a line: of its three least words under each of as many hash functions; the same words in any order give the same."""
+    line, inverse = np.repeat(np.arange(len(first)), size), (1 / length.astype(np.float32) ** 2).astype(np.float32)
+    low, high = word.astype(np.uint32), (word >> np.uint64(32)).astype(np.uint32)
+    out = np.empty((len(first), BANDS), np.uint64)
+    for k in range(BANDS):
+        u = (low ^ np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
+        u = ((u ^ (u >> np.uint32(15))) + high * np.uint32(2 * k + 1)) * np.uint32(0xC2B2AE35)
+        value = ((u ^ (u >> np.uint32(16))) | np.uint32(1)).astype(np.float32) * inverse
+        key = np.full(len(first), k, np.uint64)
+        for r in range(3):
+            least = np.minimum.reduceat(value, first)
+            key = mix(key * np.uint64(31) + least.view(np.uint32).astype(np.uint64))
+            if r < 2:
+                value[value == least[line]] = np.inf
+        out[:, k] = key
+    short = np.flatnonzero(size <= FEW)
+    if len(short):  # as sums of word hashes, so that a word left out and a word replaced agree
+        mine = np.flatnonzero((size <= FEW)[line])
+        total = np.add.reduceat(mix(word), first)
+        chars = np.add.reduceat(length, first)
+        rest = total[line[mine]] - mix(word[mine])
+        allowed = (2 * length[mine] <= chars[line[mine]]) & (size[line[mine]] > 1)  # the word left out is half of the line at most
+        out[line[mine[allowed]], place[mine[allowed]]] = mix(rest[allowed] + np.uint64(0xFEED))
+        out[short, FEW] = mix(total[short] + np.uint64(0xFEED))
+    return out
+
+
+def block_keys(sim: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """A key for each pair of blocks of each SimHash and for each sketch. A short line's keys without a word may stand in any place, so they bear no place."""
+    blocks = [(sim >> np.uint64(16 * i)) & np.uint64(0xFFFF) for i in range(BLOCKS)]
+    pairs = [mix((blocks[i] << np.uint64(16) | blocks[j]) + np.uint64((k + 1) << 40)) for k, (i, j) in enumerate(PAIRS)]
+    return np.column_stack([*pairs, mix(bands.ravel() & np.uint64((1 << 8 * WIDTH) - 1)).reshape(bands.shape)])
+
+
+def _pack(bands: np.ndarray) -> np.ndarray:
+    """The low WIDTH bytes of each sketch, a row a line."""
+    return np.ascontiguousarray(bands).view(np.uint8).reshape(len(bands), -1, 8)[:, :, :WIDTH].reshape(len(bands), -1)
+
+
+def _unpack(column: pa.Array) -> np.ndarray:
+    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS, WIDTH)
+    out = np.zeros((len(rows), BANDS, 8), np.uint8)
+    out[:, :, :WIDTH] = rows
+    return out.view(np.uint64).reshape(len(rows), BANDS)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -93,6 +131,10 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return block_keys(batch.column("sim").to_numpy(zero_copy_only=False).view(np.uint64), _unpack(batch.column("bands")))
+
+
 def distance(a: str, b: str, most: int | None = None) -> int:
     """Edit distance: common ends are cut off, the rest goes a bit-parallel column at a time. Beyond most, if given, most + 1."""
     n = 0
@@ -149,12 +191,6 @@ def walk(p: list[str], q: list[str], most: int) -> bool:
     return cost + max(sum(map(len, p[i:])) + len(p) - i, sum(map(len, q[j:])) + len(q) - j) <= most
 
 
-def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
-    """Whether one has half of the other's unlike words or more and they are alike."""
-    some, others = set(a.split(" ")), set(b.split(" "))
-    return 2 * len(some & others) >= min(len(some), len(others)) and alike(a, b, least)
-
-
 def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines."""
     longer = max(len(a), len(b))
@@ -170,188 +206,178 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     return distance(a, b, most) <= most
 
 
-def near_pairs(line: np.ndarray, sim: np.ndarray, size: np.ndarray, component: np.ndarray, similarity: float, nearest: bool):
-    """For each line of a bucket those of other components, of like length and with a near SimHash: all, or the nearest of each component."""
-    order = np.argsort(component, kind="stable")
-    line, sim, size, component = line[order], sim[order], size[order], component[order]
-    ends = np.searchsorted(component, component, side="right")
-    for i, end in enumerate(ends):
-        if end == len(line):
-            break
-        far = np.bitwise_count(sim[end:] ^ sim[i]).sum(1)
-        at = np.flatnonzero((far <= FAR) & (np.minimum(size[end:], size[i]) >= similarity * np.maximum(size[end:], size[i])))
-        if nearest and len(at) > 1:
-            at = at[np.lexsort((far[at], component[end:][at]))]
-            at = at[np.diff(component[end:][at], prepend=component[end:][at[0]] - 1) != 0]
-        if len(at):
-            other = line[end:][at]
-            yield np.minimum(other, line[i]), np.maximum(other, line[i])
-
-
-def _candidates(members: DataFrame, similarity: float, how: str) -> DataFrame:
-    """a, b: lines that share a bucket and no component, of like length and near SimHash. how: each with the bucket's "first", with the "nearest" of each component, or "all"."""
-
-    def bucket(line, sim, size, component):
-        if how != "first":
-            yield from near_pairs(line, sim, size, component, similarity, how == "nearest")
-        elif len(line) > 1:
-            far, least = np.bitwise_count(sim[1:] ^ sim[0]).sum(1), np.minimum(size[1:], size[0]) >= similarity * np.maximum(size[1:], size[0])
-            at = 1 + np.flatnonzero((far <= FAR) & least)
-            yield np.repeat(line[:1], len(at)), line[at]
+def _slots(ids: np.ndarray, tags: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """A hash of a line's place."""
+    return mix(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) ^ mix(tags.astype(np.uint64) << np.uint64(32) | numbers.astype(np.uint64)))
 
-    def run(batches):
-        kept = None  # rows of a bucket that may go on in the next batch
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                rows = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "line", "size", "component")] + [_signatures(b.column("sim"), BITS // 8)]
-                kept = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
-                if kept[0][0] == kept[0][-1]:
-                    continue
-            if kept is None:
-                return
-            cuts = [0, *(np.flatnonzero(np.diff(kept[0])) + 1).tolist()] + [len(kept[0])] * (b is None)
-            out = []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if j - i > 1:
-                    _, line, size, component, sim = (x[i:j] for x in kept)
-                    out.extend(bucket(line, sim, size, component))
-            kept = [x[cuts[-1] :] for x in kept]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])
-
-    dealt = members.repartition(F.col("key")).sortWithinPartitions("key", "line")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def _shared(blobs: DataFrame) -> DataFrame:
-    """key: the leading bytes of keys that two lines have, from packed keys of a range each (part, keys)."""
+
+def _shared(classes: DataFrame) -> DataFrame:
+    """key: the leading bytes of keys that two lines have. Keys travel packed, a range of keys to a task."""
+    n_parts = ranges(classes.sparkSession)
+
+    def packed(batches):
+        for b in batches:
+            keys = np.sort(_keys(b), axis=None)
+            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32), np.arange(n_parts + 1))
+            lead = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+            held = np.flatnonzero(np.diff(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([lead[cuts[k] : cuts[k + 1]].tobytes() for k in held], pa.binary())], ["part", "keys"])
 
     def run(batches):
-        packed = b"".join(x for b in batches for x in b.column("keys").to_pylist())  # a range's share of the keys, as wide as a partition
-        wide = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
-        wide[:, :KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BYTES)
-        keys = np.sort(wide.view(">u8").ravel().astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(keys[1:][keys[1:] == keys[:-1]])))], ["key"])
+        held, seen = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        for b in batches:  # a range's unlike keys and those met twice, as many as its share of the lines
+            wide = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.uint8).reshape(-1, KEY_BYTES)
+            keys = np.zeros((len(wide), 8), np.uint8)
+            keys[:, :KEY_BYTES] = wide
+            keys = np.sort(np.concatenate([held, keys.view(">u8").ravel().astype(np.uint64)]))
+            again = keys[1:] == keys[:-1]
+            seen = np.union1d(seen, keys[1:][again])
+            held = keys[np.concatenate([[True], ~again])] if len(keys) else keys
+        yield pa.RecordBatch.from_arrays([pa.array(signed(seen))], ["key"])
+
+    return classes.select("sim", "bands").mapInArrow(packed, "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(run, "key long")
+
 
-    return blobs.repartitionById(ranges(blobs.sparkSession), "part").mapInArrow(run, "key long")
+def _fits(a: str, b: str, similarity: float) -> Column:
+    """Whether lines of these sizes can be alike."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
+
+
+def _others(members: DataFrame, buckets: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+    """a, b: lines of one bucket and unlike components, of like length: all, or for each line the nearest by SimHash of each component.
+
+    Only lines outside the component of the bucket's first line look for partners, and not the first line
+    itself, which has met them. So a bucket that is one component costs nothing, and a hot bucket meets a
+    join that Spark can split.
+    """
+    own = F.coalesce("component", "line").alias("component")
+    placed = members.join(labels, "line", "left").select("key", "line", "size", "sim", own)
+    firsts = buckets.select("key", F.col("first.line").alias("line")).join(labels, "line", "left").select("key", F.col("line").alias("first"), own.alias("main"))
+    mixed = placed.join(firsts, "key").where("line <> first")
+    one = mixed.where("component <> main").select("key", "line", "size", "sim", "component").toDF("key", "a", "a_size", "a_sim", "a_in")
+    two = mixed.select("key", "main", "line", "size", "sim", "component").toDF("key", "main", "b", "b_size", "b_sim", "b_in")
+    # two lines that both look meet once
+    met = two.join(one, "key").where((F.col("a_in") != F.col("b_in")) & ((F.col("b_in") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("a_size", "b_size", similarity))
+    if nearest:
+        far = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim")))
+        met = met.groupBy("a", "b_in").agg(F.min(F.struct(far.alias("far"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """id, tag, number of every line that repeats an earlier one, exactly after normalising or nearly.
 
-    Connected lines are a group; its earliest line by doc_id, tag and number stays. Every line of a bucket is
-    verified against its first line, so a hot bucket of near copies gives a pair a line; then, among the lines
-    still apart, against the nearest of each other component, and then against all that are still apart. So any
-    two lines that share a key, are near and alike end in one group.
+    Connected lines are a group; its earliest line by doc_id, tag and number stays. Lines that share a key are
+    a bucket. Every line of a bucket is verified against its first line, so a group of near copies gives a
+    pair a line; then each line against the nearest of each other component of its bucket; and then all that
+    are still apart. So any two lines that share a key and are alike end in one group.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
+    scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    n_parts = ranges(spark)
-
-    def parts(batches, sign):
+    def signed_lines(batches):
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("id").to_numpy(zero_copy_only=False)
             for i, j in runs(texts):
-                yield ids[i:j], texts[i:j], Lines(texts[i:j], least_words, sign)
+                x = Lines(texts[i:j], least_words)
+                tags, doc = np.array([tag(s) for s in texts[i:j]], np.int64), x.tokens.line_doc[x.line]
+                number = x.tokens.line_number[x.line].astype(np.int32)
+                of = np.full(len(x.line), -1, np.int64)
+                of[x.at] = np.arange(len(x.at))
+                sign = pa.array(of, mask=of < 0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), pa.array(x.size), pa.array(signed(x.sim)).take(sign), _binary(_pack(x.bands)).take(sign)], ["id", "tag", "number", "line", "size", "sim", "bands"])
+
+    found = scratch.table(rows.mapInArrow(signed_lines, "id long, tag long, number int, line long, size long, sim long, bands binary"), "found")
+    place = F.min(F.struct("id", "tag", "number")).alias("place")
+    classes = found.groupBy("line").agg(place, F.count("*").alias("n"), *(F.first(c, ignorenulls=True).alias(c) for c in ("size", "sim", "bands")))
+    classes = scratch.table(classes, "classes")
+    shared = presence(scratch.table(_shared(classes), "shared"), "key", None)
 
-    def signed_lines(batches):
-        for ids, texts, x in parts(batches, True):
-            tags, doc = np.array([tag(s) for s in texts], np.int64), x.tokens.line_doc[x.line]
-            number = x.tokens.line_number[x.line].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), _binary(x.sim), pa.array(x.size)], ["id", "tag", "number", "line", "sim", "size"])
-
-    found = scratch.table(rows.mapInArrow(signed_lines, "id long, tag long, number int, line long, sim binary, size long"), "found")
-    firsts = [F.min(F.struct("id", "tag", "number")).alias("first"), *(F.first(c).alias(c) for c in ("sim", "size"))]
-    classes = scratch.table(found.groupBy("line").agg(*firsts), "classes")
-
-    def packed(batches):
+    def sharing(batches):
         for b in batches:
-            keys, m = np.unique(block_keys(_signatures(b.column("sim"))), return_counts=True)
-            keys = np.repeat(keys, np.minimum(m, 2))
-            cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32), np.arange(n_parts + 1))
-            lead = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
-            held = np.flatnonzero(np.diff(cuts))
-            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([lead[cuts[k] : cuts[k + 1]].tobytes() for k in held], pa.binary())], ["part", "keys"])
-
-    shared = presence(_shared(classes.select("sim").mapInArrow(packed, "part int, keys binary")), "key")
+            keys = _keys(b)
+            at, k = np.nonzero(present(shared.value, keys.ravel()).reshape(keys.shape))
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(b.column(c).take(rows) for c in ("line", "size", "sim"))], ["key", "line", "size", "sim"])
 
-    def spoken(batches):
-        for _, _, x in parts(batches, False):
-            at = np.flatnonzero(present(wanted.value, x.hash))
-            at = at[np.unique(x.hash[at], return_index=True)[1]]
-            t, line = x.tokens, x.line[at]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash[at])), pa.array([t.text(t.line_start[k], t.line_end[k]) for k in line], pa.string())], ["line", "words"])
+    members = scratch.table(classes.select("line", "size", "sim", "bands").mapInArrow(sharing, "key long, line long, size long, sim long"), "members")
+    buckets = members.groupBy("key").agg(F.min(F.struct("line", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    buckets = scratch.table(buckets.select("key", "first"), "buckets")
+    star = members.select("key", F.col("line").alias("a"), "size").join(buckets, "key").where((F.col("a") != F.col("first.line")) & _fits("size", "first.size", similarity))
+    near = scratch.table(star.select(F.least("a", "first.line").alias("a"), F.greatest("a", "first.line").alias("b")).distinct(), "near")
 
-    def sharing(batches):
+    def places(batches):
         for b in batches:
-            keys = block_keys(_signatures(b.column("sim")))
-            yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(present(shared.value, keys.ravel()).reshape(keys.shape).any(1)))], ["line"])
+            slots = _slots(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag", "number")))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(slots))], ["slot"])
 
-    wanted = presence(classes.select("line", "sim").mapInArrow(sharing, "line long"), "line")
-    words = scratch.table(rows.select("id", "text").mapInArrow(spoken, "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
+    spoken_for = classes.select("line", "place.*").join(members.join(buckets, "key", "left_semi").select("line"), "line", "left_semi")
+    wanted = presence(scratch.table(spoken_for.mapInArrow(places, "slot long"), "places"), "slot", None)
 
-    def members(batches):
+    def spoken(batches):
         for b in batches:
-            sim = _signatures(b.column("sim"))
-            keys = block_keys(sim)
-            at, k = np.nonzero(present(shared.value, keys.ravel()).reshape(keys.shape))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(b.column(c).take(pa.array(at)) for c in ("line", "size", "component")), _binary(sim[at, : BITS // 8])], ["key", "line", "size", "component", "sim"])
+            texts, ids = b.column("text").to_pylist(), b.column("id").to_numpy(zero_copy_only=False)
+            for i, j in runs(texts):
+                split = [s.split("\n") for s in texts[i:j]]
+                n = np.array([len(x) for x in split])
+                doc = np.repeat(np.arange(len(n)), n)
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                tags = np.array([tag(s) for s in texts[i:j]], np.int64)
+                at = np.flatnonzero(present(wanted.value, _slots(ids[i:j][doc], tags[doc], number)))
+                x = Lines([split[d][k] for d, k in zip(doc[at].tolist(), number[at].tolist(), strict=True)], least_words, False)
+                t = x.tokens
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array([t.text(t.line_start[k], t.line_end[k]) for k in x.line], pa.string())], ["line", "words"])
+
+    words = scratch.table(rows.mapInArrow(spoken, "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
 
     def verified(batches):
         for b in batches:
             ok = [alike(p, q, similarity) for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    edges = labels = None
-    for how in ("first", "nearest", "all"):
-        placed = classes.select("line", "sim", "size")
-        placed = placed.withColumn("component", F.col("line")) if labels is None else placed.join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("component", F.coalesce("component", "line"))
-        near = scratch.table(_candidates(placed.mapInArrow(members, "key long, line long, size long, component long, sim binary"), similarity, how), "near")
-        told = presence(near.select(F.col("a").alias("line")).union(near.select("b")), "line")
-
-        def needed(batches, told=told):
-            for b in batches:
-                yield b.filter(pa.array(present(told.value, b.column("line").to_numpy(zero_copy_only=False).view(np.uint64))))
-
-        spoke = words.mapInArrow(needed, "line long, words string")
-        one, other = (spoke.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
-        found_edges = scratch.table(near.join(one, "a").join(other, "b").mapInArrow(verified, "a long, b long, ok boolean").where("ok").select("a", "b"), "edges")
-        edges = found_edges if edges is None else edges.union(found_edges)
-        scratch.drop(near)
-        if how != "all":
-            labels = scratch.table(components(scratch, edges), "labels")
-    scratch.drop(words)
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def alike_pairs(near):
+        one, other = (words.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
+        return scratch.table(near.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long"), "edges")
+
+    edges = alike_pairs(near)
+    for nearest in (True, False):
+        labels = components(scratch, edges).withColumnRenamed("node", "line")
+        tried, near = near, _others(members, buckets, labels, similarity, nearest)
+        near = scratch.table(near if nearest else near.join(tried, ["a", "b"], "left_anti"), "near")
+        edges = edges.union(alike_pairs(near))
+    scratch.drop(words, members)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
-    grouped = classes.select("line", "first").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
+    grouped = classes.select("line", "place", "n").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
     grouped = scratch.table(grouped, "grouped")
-    least = grouped.groupBy("component").agg(F.min("first").alias("stays"))
-    stays = grouped.join(least, "component").select("line", "stays")
-    later = found.join(stays, "line").where(F.struct("id", "tag", "number") != F.col("stays")).select("id", "tag", "number")
-    later = scratch.table(later, "later")
-    scratch.drop(found, classes, grouped)
+    least = grouped.groupBy("component").agg(F.min("place").alias("stays"), F.sum("n").alias("lines")).where("lines > 1")
+    stays = scratch.table(grouped.select("line", "component").join(least, "component").select("line", "stays"), "stays")
+    later = found.select("id", "tag", "number", "line").join(stays, "line").where(F.struct("id", "tag", "number") != F.col("stays"))
+    later = scratch.table(later.select("id", "tag", "number"), "later")
+    scratch.drop(found, classes, grouped, stays)
     return later
 
 
-def strip_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, all columns, without lines that repeat; line_count_ and lines_removed_ are added.
+def strip_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY, counts: tuple[str, str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, without lines that repeat; counts names columns for lines and removed lines.
 
     Lines end at a line feed. A normalised line is its words (runs of letters and digits) in lower case with
-    digits alike; lines of fewer than least_words words always stay. A null text stays null and has no line.
-    A null doc_id sorts first, rows of one doc_id by the CRC of their texts; fully equal rows are one
-    document told twice and lose the same lines. A text may become empty; no row is dropped.
+    digits alike; lines of fewer than least_words words, and those without a word, always stay. A null text
+    stays null and has no line. A null doc_id sorts first, rows of one doc_id by the CRC of their texts; fully
+    equal rows are one document told twice and lose the same lines. A text may become empty; no row is
+    dropped. A line of any length is compared whole. An empty table gives an empty one, and columns of docs
+    may have any names.
     """
-    drops = duplicate_lines(docs, least_words, similarity).groupBy(F.col("id").alias("id_"), F.col("tag").alias("tag_")).agg(F.collect_set("number").alias("numbers_"))  # at most a text's lines
+    id_, tag_, numbers_ = fresh(docs, "id", "tag", "numbers")
+    drops = duplicate_lines(docs.select("doc_id", "text"), least_words, similarity).groupBy(F.col("id").alias(id_), F.col("tag").alias(tag_)).agg(F.collect_set("number").alias(numbers_))  # at most a text's lines
     key, crc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    joined = docs.withColumns({"id_": key, "tag_": crc}).join(drops.hint("merge"), ["id_", "tag_"], "left")
+    joined = docs.withColumns({id_: key, tag_: crc}).join(drops.hint("shuffle_hash"), [id_, tag_], "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("numbers_").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("numbers_", i)), "\n"))
-    counted = joined.withColumns({"line_count_": F.coalesce(F.size(lines), F.lit(0)), "lines_removed_": F.coalesce(F.size("numbers_"), F.lit(0))})
-    return counted.withColumn("text", kept).select(*docs.columns, "line_count_", "lines_removed_")
+    kept = F.when(F.col(numbers_).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers_, i)), "\n"))
+    more = [] if counts is None else [F.coalesce(F.size(lines), F.lit(0)).alias(counts[0]), F.coalesce(F.size(numbers_), F.lit(0)).alias(counts[1])]
+    return joined.select(*(kept.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns), *more)
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, kept_sha256 of every row."""
-    out = strip_lines(docs.select("doc_id", "text"))
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line_count_").alias("n_lines"), F.col("lines_removed_").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, n_lines, n_removed, kept_sha256 of every row; see strip_lines."""
+    out = strip_lines(docs.select("doc_id", "text"), counts=("n_lines", "n_removed"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

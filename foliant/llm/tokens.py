@@ -60,7 +60,7 @@ def tag(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def runs(texts: list[str], most: int = 1 << 21):
+def runs(texts: list[str], most: int = 1 << 19):
     """Index ranges of texts of so many code points together, one text at least."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -118,62 +118,6 @@ def test_warc_round_trip(spark):
     assert {r.payload_digest for r in got if r.payload_bytes == 6} == {base64.b32encode(hashlib.sha1(b"<p>one").digest()).decode()}
 
 
-def test_edit_distance():
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
-
-    for _ in range(500):
-        a, b = ("".join(random.choice("abc") for _ in range(random.randint(0, 12))) for _ in range(2))
-        assert lines.distance(a, b) == plain(a, b)
-
-
-def test_walk_proves_edits():
-    """What the walk accepts is within the edits; lines that differ too much aren't similar."""
-    accepted = 0
-    for _ in range(300):
-        a = [random.choice(WORDS) for _ in range(random.randint(5, 40))]
-        b = list(a)
-        for _ in range(random.randint(0, 8)):
-            k = random.randrange(len(b))
-            b[k : k + random.randint(0, 1)] = [random.choice(WORDS)] * random.randint(0, 1)
-            b = b or ["x"]
-        p, q = " ".join(a), " ".join(b)
-        most = int(0.2 * max(len(p), len(q)) + 1e-9)
-        close = lines.distance(p, q) <= most
-        if lines.walk(a, b, most):
-            accepted += 1
-            assert close
-        shared = 2 * len(set(a) & set(b)) >= min(len(set(a)), len(set(b)))
-        assert lines.similar(p, q) == (close and shared)
-    assert accepted > 50
-    assert lines.walk([], [], 0) and not lines.walk(["a"], [], 1) and lines.walk(["a"], [], 2)
-
-
-def test_lines(spark):
-    base = prose(200)
-    near = base.replace(base.split()[5], "changed", 1)
-    rows = [(1, f"{base}\nshort line\n{prose(20)}"), (2, f"{base.upper()}!\nshort line"), (3, f"{prose(25)}\n{near}"), (4, None), (5, "")]
-    got = {r.doc_id: r for r in lines.strip_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].text == rows[0][1] and got[2].text == "short line" and got[4].text is None and got[5].text == ""
-    assert got[3].text == rows[2][1].split("\n")[0]
-
-
-def test_near_signatures_share_a_key():
-    import numpy as np
-
-    sim = np.random.default_rng(3).integers(0, 256, 12).astype(np.uint8)
-    for flips in range(lines.BLOCKS - 1):
-        bits = np.unpackbits(sim)
-        bits[random.sample(range(lines.BITS), flips)] ^= 1
-        one, two = (x.view(">u2") for x in (sim, np.packbits(bits)))
-        assert any(one[i] == two[i] and one[j] == two[j] for i, j in lines.PAIRS)
-
-
 def test_leaks(spark):
     item = "A train leaves at 10 km per hour from Paris and meets Anna after 20 minutes near the old harbour."
     again = "A train leaves at 35 km per hour from Rome and meets Boris after 45 minutes near the old harbour."
