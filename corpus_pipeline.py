@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import decontamination, jaccard, lines, packing, toxicity
-from foliant.llm.common import Scratch
+from foliant.llm.common import Scratch, owned
 from foliant.llm.queries import vocabulary
 from foliant.session import ship
 
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that repeat an earlier one; n_chars follows the text."""
     ship(spark)
-    out = lines.strip_lines(docs).drop("line_count_", "lines_removed_")
+    out = lines.strip_lines(docs)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -55,5 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written before the next reads it."""
     docs, scratch = _read(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        before = docs
+        with owned():
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        if name != STAGES[0][0]:
+            scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
