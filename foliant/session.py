@@ -24,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     context.addPyFile(target)
     _sent.add(context.applicationId)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors see: spark.checkpoint.dir, or one of a local session's own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
