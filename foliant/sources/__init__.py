@@ -1 +1 @@
-
+"""Reading and writing: glossaries, exchange with agents, saved states."""

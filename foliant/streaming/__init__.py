@@ -1 +1 @@
-
+"""Assembly of translations as they arrive."""
