@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import assembly as A, blocks as B
+from ..operators import assembly as A, blocks as B, rendering as R
 from ..session import ship
 
 QUERIES: dict = {}
@@ -16,12 +16,17 @@ BLOCKS = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text
 kinds AS (SELECT *, (doc_id * 7 + block * 3) % 10 AS m, (doc_id * 13 + block * 29) % 100 AS spot FROM lines WHERE text <> ''),
 blocks AS (SELECT doc_id, CAST(block AS INT) AS block, text, CASE m WHEN 0 THEN 'heading' WHEN 1 THEN 'list' WHEN 2 THEN 'figure' WHEN 3 THEN 'note' WHEN 4 THEN 'label' ELSE 'para' END AS kind,
   CAST(CASE WHEN m = 0 THEN 1 + (doc_id + block) % 3 ELSE 0 END AS INT) AS level, CAST(1 + block // 4 AS INT) AS page, CAST(8 + (doc_id * 3 + block) % 6 AS INT) AS size,
-  CASE WHEN spot % 2 = 0 THEN 50 ELSE 310 END AS x0, CAST(40 + spot * 7 AS INT) AS y0, CASE WHEN spot % 5 = 0 THEN 480 ELSE 230 END AS width FROM kinds)"""
+  CASE WHEN spot % 2 = 0 THEN 50 ELSE 310 END AS x0, CAST(40 + spot * 7 AS INT) AS y0, CASE WHEN spot % 5 = 0 THEN 480 ELSE 230 END AS width,
+  CAST(1 + length(text) // 90 AS INT) AS lines, (doc_id * 5 + block * 11) % 10 / 10 AS bold, x0 + width AS x1, y0 + 12 * lines AS y1 FROM kinds)"""
 
 
-def query(sql: str):
+def query(sql: str | None):
+    """Register a query with its SQL; None where SQL can't express it."""
+
     def add(f):
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql.replace("{BLOCKS}", BLOCKS)
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql.replace("{BLOCKS}", BLOCKS)
         return f
 
     return add
@@ -50,10 +55,12 @@ def section_path(spark, sf_dir):
 
 
 @query("""WITH {BLOCKS}, m AS (SELECT *, lag(kind) OVER w AS pk, lag(text) OVER w AS pt FROM blocks WHERE kind NOT IN ('figure', 'label') WINDOW w AS (PARTITION BY doc_id ORDER BY block)),
-g AS (SELECT *, sum(CASE WHEN kind = 'para' AND pk = 'para' AND NOT regexp_matches(pt, '[.!?:;…”")\\]]\\s*$') AND regexp_matches(text, '^\\p{Ll}') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block) AS run FROM m)
-SELECT doc_id, min(block) AS block, CAST(count(*) AS INT) AS n_parts FROM g GROUP BY doc_id, run UNION ALL SELECT doc_id, block, 1 FROM blocks WHERE kind IN ('figure', 'label')""")
+g AS (SELECT *, sum(CASE WHEN kind = 'para' AND pk = 'para' AND NOT regexp_matches(pt, '[.!?:;…”")\\]]\\s*$') AND regexp_matches(text, '^\\p{Ll}') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block) AS run FROM m),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY block DESC) = 1 AS ends FROM g)
+SELECT doc_id, min(block) AS block, arg_min(page, block) AS page, CAST(count(*) AS INT) AS n_parts, sha256(string_agg(CASE WHEN ends THEN text WHEN regexp_matches(text, '\\p{L}-$') THEN left(text, length(text) - 1) ELSE text || ' ' END, '' ORDER BY block)) AS digest FROM e GROUP BY doc_id, run
+UNION ALL SELECT doc_id, block, page, 1, sha256(text) FROM blocks WHERE kind IN ('figure', 'label')""")
 def merge_continuations(spark, sf_dir):
-    return B.merge_continuations(_blocks(spark, sf_dir)).select("doc_id", "block", "n_parts")
+    return B.merge_continuations(_blocks(spark, sf_dir)).select("doc_id", "block", "page", "n_parts", F.sha2("text", 256).alias("digest"))
 
 
 @query("""WITH {BLOCKS} SELECT doc_id, block, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS INT) AS id FROM blocks WHERE kind <> 'figure'""")
@@ -83,7 +90,7 @@ def weighted_mode(spark, sf_dir):
 
 
 _LEVELS = """{BLOCKS}, s AS (SELECT doc_id, size, sum(length(text)) AS w, min(block) AS f FROM blocks GROUP BY ALL), o AS (SELECT doc_id, size AS body FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1),
-c AS (SELECT DISTINCT doc_id, size FROM blocks JOIN o USING (doc_id) WHERE size >= 1.15 * body AND length(text) < 200), l AS (SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS INT) AS lv FROM c QUALIFY lv <= 3)"""
+c AS (SELECT DISTINCT doc_id, size FROM blocks JOIN o USING (doc_id) WHERE size >= 1.15 * body AND length(text) < 200 AND lines <= 4), l AS (SELECT doc_id, size, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY size DESC) AS INT) AS lv FROM c QUALIFY lv <= 3)"""
 
 
 @query(f"WITH {_LEVELS} SELECT doc_id, size, lv AS level FROM l")
@@ -91,20 +98,22 @@ def heading_levels(spark, sf_dir):
     return B.heading_levels(_blocks(spark, sf_dir)).select("doc_id", "size", "level")
 
 
-@query(f"""WITH {_LEVELS} SELECT doc_id, block, CASE WHEN lv IS NOT NULL AND length(text) < 200 THEN 'heading' WHEN regexp_matches(text, '^(?i:fig\\.?|figure|table|box|chart|plate)\\s*[\\dIVX]+[\\d.\\-–A-Za-z]*[.:]?(\\s+[A-Z(\\d]|\\s*$)') THEN 'caption'
-WHEN regexp_matches(text, '^[•●○◦▪■□▸►‣–*·] ') THEN 'list' WHEN size < 0.85 * body AND length(text) < 400 THEN 'note' ELSE 'para' END AS kind FROM blocks JOIN o USING (doc_id) LEFT JOIN l USING (doc_id, size)""")
+@query(f"""WITH {_LEVELS}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), k AS (SELECT doc_id, block, text, lv, coalesce(n, 0) AS n, CASE WHEN lv IS NOT NULL AND length(text) < 200 THEN 'size' WHEN regexp_matches(text, '^(?i:fig\\.?|figure|table|box|chart|plate)\\s*[\\dIVX]+[\\d.\\-–A-Za-z]*[.:]?(\\s+[A-Z(\\d]|\\s*$)') THEN 'caption'
+WHEN bold > 0.8 AND length(text) < 100 AND lines <= 2 AND NOT regexp_matches(rtrim(text, ':'), '[.!?:;…”")\\]]\\s*$') THEN 'bold'
+WHEN regexp_matches(text, '^[•●○◦▪■□▸►‣–*·] ') THEN 'list' WHEN size < 0.85 * body AND length(text) < 400 THEN 'note' ELSE 'para' END AS rule FROM blocks JOIN o USING (doc_id) LEFT JOIN l USING (doc_id, size) LEFT JOIN n USING (doc_id))
+SELECT doc_id, block, CASE WHEN rule IN ('size', 'bold') THEN 'heading' ELSE rule END AS kind, CAST(CASE rule WHEN 'size' THEN lv WHEN 'bold' THEN least(4, n + 1) ELSE 0 END AS INT) AS level, sha256(CASE WHEN rule = 'list' THEN trim(regexp_replace(text, '^[•●○◦▪■□▸►‣–*·]\\s*', '')) ELSE text END) AS digest FROM k""")
 def classify_blocks(spark, sf_dir):
-    return B.classify(_blocks(spark, sf_dir)).select("doc_id", "block", "kind")
+    return B.classify(_blocks(spark, sf_dir)).select("doc_id", "block", "kind", "level", F.sha2("text", 256).alias("digest"))
 
 
-_REPEATED = """{BLOCKS}, n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), k AS (SELECT d.source, b.doc_id, trim(regexp_replace(lower(b.text), '\\d+', '#', 'g')) AS line FROM blocks b JOIN documents d USING (doc_id) WHERE length(b.text) < 120),
+_REPEATED = """{BLOCKS}, n AS (SELECT source, count(*) AS n FROM documents GROUP BY source), k AS (SELECT d.source, b.doc_id, trim(regexp_replace(lower(b.text), '\\d+', '#', 'g')) AS line FROM blocks b JOIN documents d USING (doc_id) WHERE length(b.text) < 120 AND (y0 < 64 OR y1 > 736)),
 r AS (SELECT source AS book, line, count(DISTINCT doc_id) AS pages FROM k JOIN n USING (source) WHERE line <> '' AND n >= 3 GROUP BY source, line, n HAVING count(DISTINCT doc_id) >= greatest(3, floor(n * {SHARE})))"""
 
 
 @query(f"WITH {_REPEATED} SELECT * FROM r".replace("{SHARE}", "0.02"))
 def repeated_lines(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    lines = _blocks(spark, sf_dir).join(docs.select("doc_id", "source"), "doc_id").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
+    lines = _blocks(spark, sf_dir).where(B.in_margin()).join(docs.select("doc_id", "source"), "doc_id").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), "text")
     return B.repeated_lines(lines, docs.groupBy(F.col("source").alias("book")).agg(F.count("*").alias("n")), 0.02).select("book", "line", "pages")
 
 
@@ -182,15 +191,17 @@ def fmt_duration(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", T.duration(F.col("event_id") * 37 % 9001).alias("took"))
 
 
-@query("""SELECT item_id, regexp_replace(regexp_replace(t, '\\b(?:Fig\\.|Figure)\\s+(\\d)', 'Hình \\1', 'g'), '\\bTable\\s+(\\d)', 'Bảng \\1', 'g') AS fixed FROM (SELECT item_id, 'See Fig. ' || item_id || ' and Table  ' || item_id || '. Figure it. ' || text AS t FROM benchmark)""")
+@query("""SELECT item_id, nfc_normalize(regexp_replace(regexp_replace(t, '\\b(?:Fig\\.|Figure)\\s+(\\d)', 'Hình \\1', 'g'), '\\bTable\\s+(\\d)', 'Bảng \\1', 'g')) AS fixed FROM (SELECT item_id, 'e' || chr(769) || ' See Fig. ' || item_id || ' and Table  ' || item_id || '. Figure it. ' || text AS t FROM benchmark)""")
 def fix_refs(spark, sf_dir):
+    ship(spark)
     n = F.col("item_id").cast("string")
-    return _table(spark, sf_dir, "benchmark").select("item_id", T.fix_references(F.concat(F.lit("See Fig. "), n, F.lit(" and Table  "), n, F.lit(". Figure it. "), F.col("text"))).alias("fixed"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", T.fix_references(F.concat(F.lit("e\u0301 See Fig. "), n, F.lit(" and Table  "), n, F.lit(". Figure it. "), F.col("text"))).alias("fixed"))
 
 
 @query("""SELECT conv_id, turn, trim(text, chr(10) || ' ') AS cleaned FROM conversations""")
 def clean_output(spark, sf_dir):
-    raw = F.concat(F.lit("<think>a\nb</think>\n<SOURCE>Translation: \""), F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), F.lit("\"</SOURCE>\n"))
+    said, k = F.trim(F.regexp_replace("text", r"^\s+|\s+$", "")), F.col("turn") % 4
+    raw = F.when(k == 0, F.concat(F.lit("<think>a\nb</think>\n<SOURCE>Translation: \""), said, F.lit("\"</SOURCE>\n"))).when(k == 1, F.concat(F.lit("```text\n"), said, F.lit("\n```"))).when(k == 2, F.concat(F.lit("<THINK>x</THINK><TRANSLATION>\n Bản dịch : '"), said, F.lit("'"))).otherwise(F.concat(F.lit("  “"), said, F.lit("“ ")))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_output(raw).alias("cleaned"))
 
 
@@ -210,23 +221,29 @@ def agent_assemble(spark, sf_dir):
     return blocks.join(latest, ["doc_id", "block"], "left").select("doc_id", "block", F.coalesce(F.nullif(F.col("dst"), F.lit("")), F.col("text")).alias("text"))
 
 
-@query("""WITH {BLOCKS}, q AS (SELECT *, coalesce(CASE WHEN kind IN ('para', 'list', 'note') THEN last_value(CASE WHEN kind IN ('para', 'list') THEN right(text, 600) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, '') AS previous FROM blocks)
-SELECT doc_id, block, sha256(concat_ws(chr(10) || chr(10), CASE WHEN previous <> '' THEN '<CONTEXT>' || chr(10) || 'Previous paragraph: ' || previous || chr(10) || '</CONTEXT>' END,
-CASE kind WHEN 'heading' THEN 'This is a section heading. Translate it concisely as a heading.' WHEN 'list' THEN 'This is a bulleted list. Keep exactly one output line per input line, in the same order.' WHEN 'note' THEN 'This is a side note or footnote.' WHEN 'label' THEN 'This is a short label printed inside a figure. Translate it as briefly as possible.' END,
-'<SOURCE>' || chr(10) || text || chr(10) || '</SOURCE>')) AS key FROM q""")
+_HINTS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.HINTS.items())
+_PROMPT = """concat_ws(chr(10) || chr(10), CASE WHEN section <> '' OR previous <> '' THEN '<CONTEXT>' || chr(10) || concat_ws(chr(10), CASE WHEN section <> '' THEN 'Section: ' || section END, CASE WHEN previous <> '' THEN 'Previous paragraph: ' || previous END) || chr(10) || '</CONTEXT>' END,
+{TERMS} CASE kind {HINTS} END, '<SOURCE>' || chr(10) || text || chr(10) || '</SOURCE>')""".replace("{HINTS}", _HINTS)
+_CONTEXT = f"""p AS ({ORACLE_SQL['previous_context']}), s AS ({ORACLE_SQL['section_path']}), q AS (SELECT b.*, p.previous, s.section FROM blocks b JOIN p USING (doc_id, block) JOIN s USING (doc_id, block))"""
+
+
+@query(f"""WITH {{BLOCKS}}, {_CONTEXT}, t AS (SELECT *, CASE WHEN block % 3 = 0 THEN '' ELSE '- ' || left(text, 5) || ' -> x' || CASE WHEN block % 3 = 2 THEN CASE WHEN level = 0 THEN ' (only if this meaning fits: m)' ELSE ' (if this meaning fits)' END WHEN doc_id % 2 = 0 THEN ' (' || left(text, 5) || ')' ELSE '' END END AS told FROM q)
+SELECT doc_id, block, sha256({_PROMPT.replace("{TERMS}", "CASE WHEN told <> '' THEN '<TERMS>' || chr(10) || told || chr(10) || '</TERMS>' END,")}) AS key FROM t""")
 def build_prompt(spark, sf_dir):
-    rows = B.previous_context(_blocks(spark, sf_dir))
-    return rows.select("doc_id", "block", T.cache_key(T.prompt(F.col("text"), F.col("kind"), F.lit(""), F.col("previous"))).alias("key"))
+    rows, k = B.previous_context(B.section_path(_blocks(spark, sf_dir))), F.col("block") % 3
+    term = F.struct(F.left("text", F.lit(5)).alias("en"), F.lit("x").alias("vi"), (k == 2).alias("ambiguous"), F.when(F.col("level") == 0, "m").otherwise("").alias("note"), (F.col("doc_id") % 2 == 0).alias("first"))
+    terms = F.filter(F.array(term), lambda t: k != 0)
+    return rows.select("doc_id", "block", T.cache_key(T.prompt(F.col("text"), F.col("kind"), F.col("section"), F.col("previous"), terms)).alias("key"))
 
 
-@query("""WITH {BLOCKS} SELECT doc_id, block, regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]{2,}') AS worth FROM blocks WHERE kind = 'label'""")
-def worth_listing(spark, sf_dir):
-    return _blocks(spark, sf_dir).where("kind = 'label'").select("doc_id", "block", T.worth_listing(F.col("text")).alias("worth"))
+_UNITS = ", ".join(f"'{u}'" for u in T.UNITS)
 
 
-@query("""SELECT item_id, text FROM benchmark WHERE contains(lower(text), 'the') ORDER BY lower(text), item_id LIMIT 500""")
-def term_search(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").where(F.lower("text").contains("the")).orderBy(F.lower("text"), "item_id").limit(500).select("item_id", "text")
+@query(f"""SELECT doc_id, pos, word, len(list_filter(regexp_extract_all(word, '\\p{{L}}{{2,}}'), lambda w: lower(w) NOT IN ({_UNITS}))) > 0 AS worth
+FROM (SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS word FROM (SELECT doc_id, string_split(left(text, 60) || ' 12 mm A1 5 mg/dl MHz µg', ' ') AS x FROM documents))""".replace("AS pos,", "::INT AS pos,").replace("- 1::INT", "- 1"))
+def worth_listing(spark, sf_dir):
+    words = F.posexplode(F.split(F.concat(F.left("text", F.lit(60)), F.lit(" 12 mm A1 5 mg/dl MHz µg")), " ")).alias("pos", "word")
+    return _table(spark, sf_dir, "documents").select("doc_id", words).select("doc_id", "pos", "word", T.worth_listing(F.col("word")).alias("worth"))
 
 
 @query("""WITH t AS (SELECT lower(text) AS k, text, 1 AS p, item_id AS i FROM benchmark UNION ALL SELECT lower(text), '!' || text, 2, item_id FROM benchmark WHERE item_id % 4 = 0) SELECT k AS key, text FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY p DESC, i DESC) = 1""")
@@ -236,14 +253,39 @@ def glossary_override(spark, sf_dir):
     return core.unionByName(own).groupBy("key").agg(F.max_by("text", F.struct("p", "item_id")).alias("text"))
 
 
-@query("""WITH {BLOCKS}, x AS (SELECT *, CASE (doc_id + block) % 4 WHEN 0 THEN '' WHEN 1 THEN text WHEN 2 THEN left(text, 20) ELSE repeat(text, 3) END AS dst FROM blocks)
-SELECT doc_id, block, array_to_string(CASE WHEN dst = '' THEN ['empty'] ELSE list_filter([CASE WHEN len(list_filter(list_distinct(regexp_extract_all(text, '\\d+')), lambda n: NOT list_contains(regexp_extract_all(dst, '\\d+'), n))) > 0 THEN 'numbers' END,
-CASE WHEN trim(dst) = trim(text) AND regexp_matches(text, '[a-z]{3,}') THEN 'untranslated' END, CASE WHEN kind IN ('para', 'list', 'note') AND length(text) > 60 AND length(dst) / length(text) < 0.55 THEN 'short' WHEN kind IN ('para', 'list', 'note') AND length(text) > 60 AND length(dst) / length(text) > 2.6 THEN 'long' END], lambda f: f IS NOT NULL) END, ';') AS flags FROM x""")
+_STOPS = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+#: Sources with a reference, targets that fail each rule in turn, one required term.
+_PAIRS = """x AS (SELECT doc_id, block, page, CASE WHEN block % 7 = 0 THEN 'cell' ELSE kind END AS kind, CASE WHEN block % 7 = 0 THEN left(text, 3 + block % 3) WHEN block % 5 = 0 THEN 'Fig. 2.1 and Table 3a: ' || text || ' 7,5' ELSE text END AS src FROM blocks),
+d AS (SELECT *, CASE (doc_id + block) % 6 WHEN 0 THEN ' ' WHEN 1 THEN src WHEN 2 THEN left(src, 20) WHEN 3 THEN repeat(src, 3) WHEN 4 THEN 'the vi1 of (the) and with' ELSE replace(src, 'e', 'x') || ' Vi1 2.1' END AS dst FROM x)"""
+
+
+def flags_sql(required: str = "") -> str:
+    """The rules in SQL over src, dst, kind; required: a condition under which the term "en1" must be used as "vi1"."""
+    strip = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    numbers = lambda c: f"list_distinct(list_transform(regexp_extract_all({c}, '\\d+(?:[.,]\\d+)*'), lambda n: replace(n, ',', '.')))"
+    gone = f"list_transform(list_sort(list_transform(list_filter({numbers('src')}, lambda n: NOT list_contains({numbers('dst')}, n)), lambda n: {{'k': -length(n), 'n': n}})), lambda z: z.n)[:5]"
+    english = f"len(list_filter(regexp_extract_all(regexp_replace(dst, '\\([^)]*\\)', ' ', 'g'), '[A-Za-z]+'), lambda w: lower(w) IN ({_STOPS})))"
+    total = "greatest(1, len(list_filter(regexp_split_to_array(dst, '\\s+'), lambda w: w <> '')))"
+    sized, ratio = "kind IN ('para', 'list', 'note') AND length(src) > 60", "length(dst) / length(src)"
+    percent = f"CAST(CAST(round_even({ratio} * 100, 0) AS INT) AS VARCHAR)"
+    short, long = (text.replace("%d%%", "~").split("~") for text in (T.SHORT, T.LONG))
+    term = f"CASE WHEN {required} AND NOT contains(lower(nfc_normalize(dst)), 'vi1') THEN ['{T.TERM_UNUSED}en1 → Vi1'] ELSE [] END" if required else "[]"
+    first = f"""[CASE WHEN len({gone}) > 0 THEN '{T.NUMBERS_GONE}' || array_to_string({gone}, ', ') END, CASE WHEN {strip('dst')} = {strip('src')} AND regexp_matches(src, '[a-z]{{3,}}') THEN '{T.SAME}' WHEN {english} >= 3 AND {english} / {total} > 0.12 THEN '{T.ENGLISH_LEFT}' END,
+    CASE WHEN {sized} AND {ratio} < 0.55 THEN '{short[0]}' || {percent} || '%{short[1]}' WHEN {sized} AND {ratio} > 2.6 THEN '{long[0]}' || {percent} || '%{long[1]}' END]"""
+    references = f"list_transform(list_filter(regexp_extract_all(src, '\\b(?:Fig\\.|Figure|Table)\\s+(\\d+(?:[.\\-–]\\d+)*[A-Za-z]?)', 1), lambda r: NOT contains(dst, r)), lambda r: '{T.REFERENCE_GONE}' || r)"
+    return f"CASE WHEN {strip('dst')} = '' THEN ['{T.EMPTY}'] WHEN kind = 'cell' AND length(src) < 4 THEN [] ELSE list_concat(list_filter({first}, lambda f: f IS NOT NULL), {references}, {term}) END"
+
+
+@query(f"WITH {{BLOCKS}}, {_PAIRS} SELECT doc_id, block, page, kind, sha256(src) AS src, sha256(dst) AS dst, array_to_string({flags_sql('block % 2 = 0 AND doc_id % 3 > 0')}, ';') AS flags FROM d")
 def validate_flags(spark, sf_dir):
-    k = (F.col("doc_id") + F.col("block")) % 4
-    rows = _blocks(spark, sf_dir).withColumn("dst", F.when(k == 0, "").when(k == 1, F.col("text")).when(k == 2, F.left("text", F.lit(20))).otherwise(F.repeat("text", F.lit(3))))
-    found = F.filter(F.transform(T.flags(F.col("text"), F.col("dst"), F.col("kind")), lambda f: F.regexp_replace(f, "^numbers: .*$", "numbers")), lambda f: (f != "english left") & ~f.startswith("reference: "))
-    return rows.select("doc_id", "block", F.array_join(found, ";").alias("flags"))
+    ship(spark)
+    k, text, block = (F.col("doc_id") + F.col("block")) % 6, F.col("text"), F.col("block")
+    rows = _blocks(spark, sf_dir).withColumns({"src": F.when(block % 7 == 0, F.substring(text, F.lit(1), 3 + block % 3)).when(block % 5 == 0, F.concat(F.lit("Fig. 2.1 and Table 3a: "), text, F.lit(" 7,5"))).otherwise(text), "kind": F.when(block % 7 == 0, "cell").otherwise(F.col("kind"))})
+    src = F.col("src")
+    rows = rows.withColumn("dst", F.when(k == 0, " ").when(k == 1, src).when(k == 2, F.left(src, F.lit(20))).when(k == 3, F.repeat(src, F.lit(3))).when(k == 4, "the vi1 of (the) and with").otherwise(F.concat(F.replace(src, F.lit("e"), F.lit("x")), F.lit(" Vi1 2.1"))))
+    term = F.struct(F.lit("en1").alias("en"), F.lit("Vi1").alias("vi"), F.when(F.col("doc_id") % 3 > 0, "approved").otherwise("draft").alias("status"), (block % 2 == 1).alias("ambiguous"))
+    rows = rows.withColumn("flags", F.array_join(T.flags(src, F.col("dst"), F.col("kind"), F.array(term)), ";"))  # before src and dst get other meanings
+    return rows.select("doc_id", "block", "page", "kind", F.sha2("src", 256).alias("src"), F.sha2("dst", 256).alias("dst"), "flags")
 
 
 _PASTED = "'# ' || role || chr(10) || chr(10) || '- one' || chr(10) || '- two' || chr(10) || chr(10) || 'hyphen-' || chr(10) || 'ated' || chr(10) || chr(10) || text"
@@ -266,11 +308,11 @@ def page_range(spark, sf_dir):
 
 
 @query(f"""WITH {_REPEATED}, s AS (SELECT doc_id, size, sum(length(text)) AS w, min(block) AS f FROM blocks GROUP BY ALL), o AS (SELECT doc_id, size AS body FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1)
-SELECT b.doc_id, b.block FROM blocks b JOIN documents d USING (doc_id) JOIN o USING (doc_id) WHERE NOT ((y0 < 64 OR y0 > 736) AND size < 1.15 * body AND (regexp_matches(b.text, '(?i)^(page\\s*)?[\\divxlcdm]{{1,6}}$') OR EXISTS (SELECT 1 FROM r WHERE r.book = d.source AND r.line = trim(regexp_replace(lower(b.text), '\\d+', '#', 'g')))))""".replace("{SHARE}", "0.02"))
+SELECT b.doc_id, b.block FROM blocks b JOIN documents d USING (doc_id) JOIN o USING (doc_id) WHERE NOT ((y0 < 64 OR y1 > 736) AND size < 1.15 * body AND (regexp_matches(b.text, '(?i)^(page\\s*)?[\\divxlcdm]{{1,6}}$') OR EXISTS (SELECT 1 FROM r WHERE r.book = d.source AND r.line = trim(regexp_replace(lower(b.text), '\\d+', '#', 'g')))))""".replace("{SHARE}", "0.02"))
 def drop_margins(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     blocks = _blocks(spark, sf_dir).join(docs.select("doc_id", F.col("source").alias("book")), "doc_id")
-    again = B.repeated_lines(blocks.select("book", F.col("doc_id").alias("page"), "text"), docs.groupBy(F.col("source").alias("book")).agg(F.count("*").alias("n")), 0.02)
+    again = B.repeated_lines(blocks.where(B.in_margin()).select("book", F.col("doc_id").alias("page"), "text"), docs.groupBy(F.col("source").alias("book")).agg(F.count("*").alias("n")), 0.02)
     return A.drop_margins(blocks, again).select("doc_id", "block")
 
 
@@ -286,29 +328,63 @@ def interleave_media(spark, sf_dir):
     return A.interleave_media(_blocks(spark, sf_dir)).select("doc_id", "page", "block", "place")
 
 
-@query("""WITH {BLOCKS}, s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS id FROM blocks WHERE kind <> 'figure') SELECT doc_id, CAST((page - 1) // 25 AS INT) AS batch, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS needs FROM s GROUP BY ALL""")
+@query("""WITH {BLOCKS}, s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS id FROM blocks WHERE kind <> 'figure'), t AS (SELECT doc_id, id, page FROM s UNION ALL SELECT doc_id, id, page + 1 FROM s WHERE id % 5 = 0),
+n AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id ORDER BY page) - 1) // 3 AS batch FROM t) SELECT doc_id, CAST(batch AS INT) AS batch, array_to_string(list_sort(list(DISTINCT id)), ',') AS needs FROM n GROUP BY ALL""")
 def batch_needs(spark, sf_dir):
-    return A.batch_needs(B.segment_ids(_blocks(spark, sf_dir))).select("doc_id", "batch", F.array_join(F.col("needs").cast("array<string>"), ",").alias("needs"))
+    segments = B.segment_ids(_blocks(spark, sf_dir))
+    segments = segments.withColumn("pages", F.when(F.col("id") % 5 == 0, F.array("page", F.col("page") + 1)).otherwise(F.array("page")))
+    return A.batch_needs(segments, 3).select("doc_id", "batch", F.array_join(F.col("needs").cast("array<string>"), ",").alias("needs"))
 
 
-@query(f"SELECT doc_id, block, flags FROM ({ORACLE_SQL['validate_flags']}) WHERE flags <> ''")
+@query(f"SELECT doc_id, block, page, kind, src, dst, flags FROM ({ORACLE_SQL['validate_flags']}) WHERE flags <> ''")
 def review_items(spark, sf_dir):
     return validate_flags(spark, sf_dir).where("flags <> ''")
 
 
-_MARKDOWN = """{BLOCKS}, p AS (SELECT doc_id, block, kind, concat_ws(chr(10) || chr(10), CASE WHEN lag(page) OVER (PARTITION BY doc_id ORDER BY block) IS DISTINCT FROM page THEN '<!-- Trang ' || page || ' -->' END,
-CASE kind WHEN 'heading' THEN repeat('#', least(level, 3) + 1) || ' ' || text WHEN 'list' THEN '- ' || text WHEN 'note' THEN '> ' || text WHEN 'figure' THEN '![Hình — trang ' || page || '](' || printf('fig-%04d', block) || '.png)' WHEN 'para' THEN text END) AS part FROM blocks),
-md AS (SELECT doc_id, string_agg(part, chr(10) || chr(10) ORDER BY block) || chr(10) AS markdown FROM p WHERE part <> '' GROUP BY doc_id)"""
+#: Blocks with tables (a note in an even place), scans, flags, translations and figure texts; and their Markdown.
+_RICH = """{BLOCKS}, rich AS (SELECT * REPLACE (CASE WHEN kind = 'note' AND block % 2 = 0 THEN 'table' ELSE kind END AS kind, CASE WHEN kind = 'figure' AND block % 3 = 0 THEN 'scan' WHEN kind = 'note' AND block % 5 = 0 THEN '[Trang ' || text ELSE text END AS text), CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'x ' || text END AS dst, text AS plain FROM blocks)"""
+_MARKDOWN = _RICH + """, tab AS (SELECT doc_id, block, list_transform(string_split(plain, '. '), lambda r: list_transform(string_split(r, ' '), lambda c: replace(CASE WHEN regexp_matches(c, '[A-Za-z]{3}') AND doc_id % 2 = 1 THEN '|' || c ELSE c END, '|', chr(92) || '|'))) AS rows FROM rich WHERE kind = 'table'),
+wide AS (SELECT *, list_max(list_transform(rows, lambda r: len(r))) AS w FROM tab), tl AS (SELECT doc_id, block, list_transform(rows, lambda r: '| ' || array_to_string(list_concat(r, list_transform(range(w - len(r)), lambda i: '')), ' | ') || ' |') AS told, '|' || repeat(' --- |', w) AS rule FROM wide),
+tm AS (SELECT doc_id, block, array_to_string(list_concat(told[:1], [rule], told[2:]), chr(10)) AS tm FROM tl),
+p AS (SELECT doc_id, block, kind, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 3 > 0 AND lag(page) OVER (PARTITION BY doc_id ORDER BY block) IS DISTINCT FROM page THEN '<!-- Trang ' || page || ' -->' END,
+CASE kind WHEN 'table' THEN tm WHEN 'figure' THEN concat_ws(chr(10) || chr(10), CASE WHEN text = 'scan' THEN '> *Trang ' || page || ' là ảnh scan — chưa đọc được chữ (OCR), giữ nguyên ảnh trang.*' END, CASE WHEN block % 2 = 0 THEN CASE WHEN text = 'scan' THEN '![Trang ' ELSE '![Hình — trang ' END || page || '](fig-' || block || ')' END,
+  CASE WHEN block % 4 = 0 THEN '> **Chữ trong hình**' || chr(10) || '>' || chr(10) || '> - Aorta → động mạch' || chr(10) || '> - Vein' END) WHEN 'label' THEN NULL
+ELSE CASE WHEN kind = 'note' AND starts_with(text, '[Trang ') THEN '> *' || text || '*' ELSE concat_ws(chr(10) || chr(10), CASE kind WHEN 'heading' THEN repeat('#', least(level, 3) + 1) || ' ' || coalesce(nullif(dst, ''), text) WHEN 'list' THEN '- ' || coalesce(nullif(dst, ''), text) WHEN 'note' THEN '> ' || coalesce(nullif(dst, ''), text) ELSE coalesce(nullif(dst, ''), text) END,
+  CASE WHEN kind <> 'heading' THEN '> *Bản gốc:* ' || text END, CASE WHEN block % 6 = 0 THEN '<!-- ⚠ Cần kiểm tra: a; b -->' END) END END) AS part FROM rich LEFT JOIN tm USING (doc_id, block)),
+md AS (SELECT doc_id, regexp_replace('# T' || doc_id || chr(10) || chr(10) || '> ' || CASE WHEN doc_id % 3 > 0 THEN 'Dịch từ **' || source || '** · ' ELSE '' END || 'Trang 1 · Máy dịch: m  ' || chr(10) || '> Bản dịch máy — cần đối chiếu bản gốc trước khi dùng cho mục đích chuyên môn.' || chr(10) || chr(10) || parts, '\\s+$', '') || chr(10) AS markdown
+FROM (SELECT doc_id, coalesce(string_agg(part, chr(10) || chr(10) ORDER BY block) FILTER (part <> ''), '') AS parts FROM p GROUP BY doc_id) JOIN documents USING (doc_id))"""
+
+
+def rich_blocks(spark, sf_dir) -> DataFrame:
+    """The blocks of _RICH with rows, flags, links and items."""
+    kind, block, text = F.col("kind"), F.col("block"), F.col("text")
+    rows = _blocks(spark, sf_dir).withColumns({"plain": text, "kind": F.when((kind == "note") & (block % 2 == 0), "table").otherwise(kind), "text": F.when((kind == "figure") & (block % 3 == 0), "scan").when((kind == "note") & (block % 5 == 0), F.concat(F.lit("[Trang "), text)).otherwise(text)})
+    items = F.from_json(F.lit('[{"en": "Aorta", "vi": "động mạch"}, {"en": "Vein", "vi": "vein "}]'), "array<struct<en:string,vi:string>>")
+    return rows.withColumns({
+        "dst": F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("x "), text)), "rows": F.transform(F.split("plain", r"\. "), lambda r: F.split(r, " ")), "flags": F.when(block % 6 == 0, F.array(F.lit("a"), F.lit("b"))),
+        "link": F.when(block % 2 == 0, F.format_string("fig-%d", "block")), "items": F.when(block % 4 == 0, items),
+    })
+
+
+def rich_markdown(spark, sf_dir) -> DataFrame:
+    rows = rich_blocks(spark, sf_dir)
+    tables = rows.where("kind = 'table'")
+    cells = A.table_cells(tables).select("doc_id", "block", F.col("cell").alias("text"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("|"), "cell")).otherwise("").alias("dst"))
+    done = A.translated_cells(tables, cells).withColumnRenamed("rows", "done")
+    rows = rows.join(done, ["doc_id", "block"], "left").withColumn("rows", F.col("done")).drop("done")
+    told = F.col("doc_id") % 3 > 0
+    heads = _table(spark, sf_dir, "documents").select("doc_id", R.header(F.concat(F.lit("T"), F.col("doc_id").cast("string")), F.when(told, F.col("source")), F.lit("Trang 1"), F.lit("m"), F.lit("")).alias("head"), told.alias("paged"))
+    return R.markdown(rows, heads, keep_source=True)
 
 
 @query(f"WITH {_MARKDOWN} SELECT doc_id, sha256(markdown) AS digest FROM md")
 def render_markdown(spark, sf_dir):
-    return A.markdown(_blocks(spark, sf_dir).withColumn("dst", F.lit(""))).select("doc_id", F.sha2("markdown", 256).alias("digest"))
+    return rich_markdown(spark, sf_dir).select("doc_id", F.sha2("markdown", 256).alias("digest"))
 
 
-@query(f"WITH {_MARKDOWN} SELECT doc_id, sha256(regexp_replace(replace(replace(markdown, '&', '&amp;'), '<', '&lt;'), '&lt;(!-- Trang \\d+ -->)', '<\\1', 'g')) AS digest FROM md")
+@query(f"WITH {_MARKDOWN} SELECT doc_id, sha256(regexp_replace(replace(replace(markdown, '&', '&amp;'), '<', '&lt;'), '&lt;(!-- (?:Trang \\d+|⚠ Cần kiểm tra: a; b) -->)', '<\\1', 'g')) AS digest FROM md")
 def escape_preview(spark, sf_dir):
-    return A.markdown(_blocks(spark, sf_dir).withColumn("dst", F.lit(""))).select("doc_id", F.sha2(A.escape_preview(F.col("markdown")), 256).alias("digest"))
+    return rich_markdown(spark, sf_dir).select("doc_id", F.sha2(A.escape_preview(F.col("markdown")), 256).alias("digest"))
 
 
 @query("""SELECT doc_id, sha256(nfc_normalize(coalesce(text, '') || 'e' || chr(769))) AS digest FROM documents""")
