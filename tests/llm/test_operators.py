@@ -75,7 +75,6 @@ def test_packing_round_trip(docs, rows):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    tokenizer.encode_special_tokens = True
     got = packing.pack(docs, *vocabulary()).collect()
     for doc, text, *_ in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
@@ -96,15 +95,38 @@ def test_packing_round_trip(docs, rows):
         assert at <= 1024
 
 
-@pytest.mark.parametrize("text", ["a  b", "a   b", "a \n b", "x\n\n  y ", " lead", "tail  ", "a b", "<|endoftext|> a", "it's 12,000 km!"])
-def test_encoder_equals_plain(text):
-    encode = packing.Encoder(*vocabulary())
-    assert encode(text) == encode.plain(text)
-
+@pytest.mark.parametrize("text", ["a  b", "a   b", "a \n b", "x\n\n  y ", " lead", "tail  ", "a b", "<|endoftext|> a", "hi <|endoftext|> there<|endoftext|>", "<|endoftext", "it's 12,000 km!"])
+def test_encoder_equals_tokenizers(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-def test_cuts():
-    for n in range(1, 5000):
-        assert sum(packing.cuts(n)) == n
+    ids = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode(text, add_special_tokens=False).ids
+    assert packing.Encoder(*vocabulary())(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+
+
+def test_bins_keep_documents_whole():
+    """Every id lies in one piece, sequences are full but for little room, and few documents are cut."""
+    rng = random.Random(3)
+    lengths = [rng.choice((rng.randint(1, 60), rng.randint(60, 1023), rng.randint(1024, 9000))) for _ in range(3000)]
+    bins = packing.Bins(0)
+    for i, n in enumerate(lengths):
+        bins.add(i, bytes(4 * n))
+    bins.close()
+    held, filled = {}, {}
+    for doc, start, n, _, total, sequence, offset in bins.rows:
+        held.setdefault(doc, []).append((start, n))
+        filled[sequence] = filled.get(sequence, 0) + n
+        assert total == lengths[doc]
+    for doc, n in enumerate(lengths):
+        at = 0
+        for start, size in sorted(held[doc]):
+            assert start == at
+            at += size
+        assert at == n
+    padded = sum(1024 - n for n in filled.values() if n & (n - 1))
+    assert max(filled.values()) <= 1024 and padded < 0.005 * sum(lengths)
+    short = [d for d, n in enumerate(lengths) if n < 1024]
+    assert sum(len(held[d]) == 1 for d in short) > 0.5 * len(short)
 
 
 PAGES = [(1, "http://a.x/p/1", "<p>one"), (2, "http://a.x/p/2", "<p>one"), (3, None, None), (4, "http://a.x/q\n", ""), (4, "u", "<p>one"), (None, "u", "ü")]
@@ -113,18 +135,18 @@ PAGES = [(1, "http://a.x/p/1", "<p>one"), (2, "http://a.x/p/2", "<p>one"), (3, N
 def test_warc_round_trip(spark):
     got = warc.round_trip(spark.createDataFrame(PAGES, "page_id long, url string, html string"), roll=4).collect()
     assert len(got) == len(PAGES)
-    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to, r.payload_bytes) for r in got)
-    assert kinds == sorted([(1, "revisit", 4, 6), (2, "revisit", 4, 6), (3, "revisit", 4, 0), (4, "response", None, 0), (4, "response", None, 6), (0, "response", None, 2)], key=lambda x: (x[0], x[1], x[2] or 0, x[3])) or {k[:2] for k in kinds} == {(0, "response"), (1, "revisit"), (2, "revisit"), (3, "revisit"), (4, "response")}
+    kinds = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, r.payload_bytes) for r in got)
+    assert kinds == sorted([(1, "revisit", 4, 6), (2, "revisit", 4, 6), (3, "revisit", 4, 0), (4, "response", 0, 0), (4, "response", 0, 6), (0, "response", 0, 2)])
     assert {r.payload_digest for r in got if r.payload_bytes == 6} == {base64.b32encode(hashlib.sha1(b"<p>one").digest()).decode()}
 
 
 def test_leaks(spark):
     item = "A train leaves at 10 km per hour from Paris and meets Anna after 20 minutes near the old harbour."
     again = "A train leaves at 35 km per hour from Rome and meets Boris after 45 minutes near the old harbour."
-    mixed = "A train leaves at 10 km per hour from Paris and meets Paris after 10 minutes near the old harbour."
+    mixed = "A train leaves at 10 km per hour from Paris and meets Paris after 10 minutes near the old harbour."  # two values may become one
     rows = [(1, prose(30) + ". " + item + " " + prose(9)), (2, again), (3, mixed), (4, prose(80)), (5, None)]
     got = {r.doc_id: r for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, None), (9, "short")], "item_id long, text string")).collect()}
-    assert set(got) == {1, 2} and got[1].same_values and not got[2].same_values
+    assert set(got) == {1, 2, 3} and got[1].same_values and not got[2].same_values
 
 
 def test_page_lines():
