@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import mix, neighbour_partitions, powers, ranges, window_minima
 
-#: A run of GRAM + WINDOW - 1 equal letters and digits always shares a fingerprint. In a text with few grams the
-#: window is an eighth of them, which only adds fingerprints: the least hash of a window is also that of each
-#: smaller window around it.
-GRAM, WINDOW, SHORT = 8, 24, 8
+#: A run of GRAM + WINDOW - 1 equal letters and digits always shares a fingerprint. A text with fewer grams than a
+#: window is one window.
+GRAM, WINDOW = 8, 16
 _BASE = 0xD6E8FEB86659FD93
 _fold: list[np.ndarray] = []
 
@@ -35,8 +34,9 @@ def winnow(text: str | None, gram: int = GRAM, window: int = WINDOW) -> tuple[np
 
     Grams run over letters and digits in lower case; other code points are skipped, and positions refer to
     the text as given. Of every window of consecutive grams the smallest hash is kept, the rightmost on
-    ties. A text of fewer letters and digits than a gram has one fingerprint of what it has (its code points
-    if none is a letter or digit); an empty or null text has none.
+    ties; a text with fewer grams than a window is one window. A text of fewer letters and digits than a gram
+    has one fingerprint of what it has (its code points if none is a letter or digit); an empty or null text
+    has none.
     """
     points = code_points(text or "")
     table = fold_table()
@@ -58,7 +58,7 @@ def winnow(text: str | None, gram: int = GRAM, window: int = WINDOW) -> tuple[np
         hashes = hashes[: len(hashes) - step] * np.uint64(pow(_BASE, step, 1 << 64)) + (hashes[step:] if step == span else _gram(symbols, step)[span:][: len(hashes) - step])
         span += step
     hashes = mix(hashes)
-    chosen = window_minima((hashes >> np.uint64(32)).astype(np.uint32), max(1, min(window, len(hashes) // SHORT)))
+    chosen = window_minima((hashes >> np.uint64(32)).astype(np.uint32), min(window, len(hashes)))
     chosen = chosen[np.flatnonzero(np.diff(chosen, prepend=-1))]
     return hashes[chosen], places[chosen]
 
@@ -104,15 +104,17 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
 def neighbour_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """Fingerprints of every text and of its edit with the next document's beginning.
 
-    Next is by ascending doc_id, after the last the first; of rows with equal doc_id by text. A null doc_id
-    comes first, a null text is empty. A single document is its own next one. Columns other than doc_id and
-    text are ignored. One shuffle of the texts by doc_id range; only a range's first rows go twice.
+    Next is by ascending doc_id, after the last the first; of rows with equal doc_id by a hash of the text, so
+    that a key that many rows share is dealt out too. A null doc_id comes first, a null text is empty. A single
+    document is its own next one; an empty table has no row. Columns other than doc_id and text are ignored. A
+    long text is taken whole. One shuffle of the texts by key range; only a range's first rows go twice.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key_"))
+    text, order = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).bitwiseXOR(F.lit(-(1 << 63)))
+    key = F.concat(F.lpad(F.hex(order), 16, "0"), F.lpad(F.hex(F.xxhash64(text)), 16, "0"))  # as text in the order of the numbers
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), key.alias("key_"))
     dealt = neighbour_partitions(rows, "key_", ranges(docs.sparkSession), wrap=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []  # rows of equal key, for ties
         before, out = None, []
 
         def known(text):
@@ -126,20 +128,11 @@ def neighbour_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
             return doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), encode(hashes, places), encode(e_hashes, e_places), likeness(own, np.unique(e_hashes)), likeness(own, following[3])
 
         def ordered():
-            last, closed = None, False
+            """Own rows by key, then the first row after them; a range's earlier neighbour isn't needed."""
             for b in batches:
-                for doc, text, key, role in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "key_", "role_")), strict=True):
-                    if role < 0 or closed:
-                        continue
-                    if held and (key, role) != last:
-                        yield from sorted(held, key=lambda x: x[1])
-                        held.clear()
-                        if role > 0 and last and last[1] > 0:
-                            closed = True
-                            continue
-                    last = key, role
-                    held.append((doc, text, role))
-            yield from sorted(held, key=lambda x: x[1])
+                for doc, text, role in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "role_")), strict=True):
+                    if role >= 0:
+                        yield doc, text, role
 
         size = 0
         for doc, text, role in ordered():
