@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .common import BITMAP_BITS, INVERSE, MULTIPLIER, Scratch, bit_set, mix, powers, presence, present, signed, slices, span_hash, utf8, window_minima
 
@@ -16,14 +16,15 @@ from .common import BITMAP_BITS, INVERSE, MULTIPLIER, Scratch, bit_set, mix, pow
 LENGTH, TRIGGER = 100, 32
 #: Starts of a piece of a phrase.
 PIECE = 8
-#: Bytes parsed at once.
-STEP = 1 << 20
+#: Bytes parsed at once; the base of the second hash.
+STEP, SECOND = 1 << 19, 0xC2B2AE3D27D4EB4F
+_SECOND_INVERSE = pow(SECOND, -1, 1 << 64)
 _NO_ID = -(1 << 63)
 
 
 @dataclass
 class Units:
-    """Runs of starts, the trigger each belongs to, and the hashes of its group and of itself."""
+    """Runs of starts, the trigger each belongs to, and the hashes of its group and (two, 128 bits in all) of itself."""
 
     doc: np.ndarray
     first: np.ndarray
@@ -31,9 +32,10 @@ class Units:
     place: np.ndarray
     group: np.ndarray
     unit: np.ndarray
+    check: np.ndarray
 
     def take(self, at: np.ndarray) -> Units:
-        return Units(*(x[at] for x in (self.doc, self.first, self.last, self.place, self.group, self.unit)))
+        return Units(*(x[at] for x in (self.doc, self.first, self.last, self.place, self.group, self.unit, self.check)))
 
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
@@ -52,9 +54,12 @@ class Parse:
         data, self.bounds = utf8(column)
         self.ids, self.tags, self.length, n = ids, tags, length, len(data)
         self.sums, none = np.zeros(n + 1, np.uint64), np.zeros(0, np.int64)
-        np.cumsum(_TABLE[data] * powers(MULTIPLIER, n), out=self.sums[1:])
+        spread = _TABLE[data]
+        np.cumsum(spread * powers(MULTIPLIER, n), out=self.sums[1:])
+        self.sums2 = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.multiply(spread, powers(SECOND, n), out=spread), out=self.sums2[1:])
         self.first = self.last = self.doc = self.place = none
-        self.gram = self.phrase = none.view(np.uint64)
+        self.gram = self.phrase = self.check = none.view(np.uint64)
         if n < length:
             return
         rolling = (self.sums[trigger:] - self.sums[:-trigger]) * powers(INVERSE, n - trigger + 1)
@@ -71,6 +76,7 @@ class Parse:
         self.doc, self.place = doc[self.first], chosen[self.first]
         self.gram = mix(rolling[self.place])
         self.phrase = mix(self.span(self.first, self.last + length) ^ self.gram)
+        self.check = self.second(self.first, self.last + length)
         rank = np.empty(len(ids), np.int64)
         rank[np.lexsort((tags, ids))] = np.arange(len(ids))
         self.rank = rank
@@ -78,8 +84,11 @@ class Parse:
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return span_hash(self.sums, start, end)
 
+    def second(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self.sums2[end] - self.sums2[start]) * powers(_SECOND_INVERSE, len(self.sums2))[start])
+
     def phrases(self) -> Units:
-        return Units(self.doc, self.first, self.last, self.place, self.gram, self.phrase)
+        return Units(self.doc, self.first, self.last, self.place, self.gram, self.phrase, self.check)
 
     def pieces(self, u: Units) -> Units:
         """Starts of phrases by their distance to the trigger, PIECE at a time; the group is what all strings of such a piece have in common."""
@@ -90,22 +99,22 @@ class Parse:
         place = u.place[of]
         first, last = np.maximum(u.first[of], place - far * PIECE - PIECE + 1), np.minimum(u.last[of], place - far * PIECE)
         core = self.span(place - far * PIECE, place - far * PIECE - PIECE + 1 + self.length)
-        return Units(u.doc[of], first, last, place, mix(core + far.astype(np.uint64)), self.span(first, last + self.length))
+        return Units(u.doc[of], first, last, place, mix(core + far.astype(np.uint64)), self.span(first, last + self.length), self.second(first, last + self.length))
 
     def strings(self, u: Units) -> Units:
         n = u.last - u.first + 1
         of = np.repeat(np.arange(len(n)), n)
         start = u.first[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hashes = self.span(start, start + self.length)
-        return Units(u.doc[of], start, start, u.place[of], np.zeros(len(start), np.uint64), hashes)
+        end = start + self.length
+        return Units(u.doc[of], start, start, u.place[of], np.zeros(len(start), np.uint64), self.span(start, end), self.second(start, end))
 
     def rows(self, u: Units) -> pa.RecordBatch:
         """The first of equal units, with hashes; the later ones as bare runs of starts."""
         order = np.lexsort((u.first, self.rank[u.doc]))
         u = u.take(order)
-        _, firsts = np.unique(u.unit, return_index=True)
-        one = np.zeros(len(order), bool)
-        one[firsts] = True
+        same = np.lexsort((np.arange(len(order)), u.check, u.unit))
+        one = np.ones(len(order), bool)
+        one[same[1:]] = (u.unit[same[1:]] != u.unit[same[:-1]]) | (u.check[same[1:]] != u.check[same[:-1]])
         lone, later = u.take(np.flatnonzero(one)), u.take(np.flatnonzero(~one))
         new = np.ones(len(later.doc), bool)
         new[1:] = (later.doc[1:] != later.doc[:-1]) | (later.first[1:] > later.last[:-1] + 1)
@@ -115,7 +124,7 @@ class Parse:
         base, n = self.bounds[doc], len(start)
         first, last = np.concatenate([lone.first, later.first[start]]), np.concatenate([lone.last, last])
         none = pa.nulls(n, pa.int64())
-        hashes = [pa.concat_arrays([pa.array(signed(x)), none]) for x in (lone.group, lone.unit)]
+        hashes = [pa.concat_arrays([pa.array(signed(x)), none]) for x in (lone.group, lone.unit, lone.check)]
         return pa.RecordBatch.from_arrays([*hashes, pa.array(self.ids[doc]), pa.array(self.tags[doc]), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))], _NAMES)
 
 
@@ -136,15 +145,14 @@ def _parses(batches: Iterator[pa.RecordBatch], length: int, trigger: int) -> Ite
             yield Parse(text[i:j], ids[i:j], tags[i:j], length, trigger)
 
 
-_NAMES = ["group", "unit", "id", "tag", "first", "last"]
-_ROWS = "group long, unit long, id long, tag long, first int, last int"
+_NAMES = ["group", "unit", "check", "id", "tag", "first", "last"]
+_ROWS = "group long, unit long, check long, id long, tag long, first int, last int"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty), id (doc_id, null as smallest) and tag, which tells unlike texts of one doc_id apart and is 0 if no doc_id repeats."""
+    """doc_id, text (null as empty), id (doc_id, null as smallest) and tag, which tells unlike texts of one doc_id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"))
-    single = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    return rows.withColumn("tag", F.lit(0).cast("long") if single else F.crc32(F.col("text").cast("binary")))
+    return rows.withColumn("tag", F.crc32(F.col("text").cast("binary")))
 
 
 def repeats(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
@@ -166,8 +174,8 @@ def repeats(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Da
                 grams, n = np.unique(p.gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), pa.array(np.minimum(n, 2).astype(np.int8))], ["gram", "n"])
 
-    seen = rows.mapInArrow(triggers, "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    marks = [presence(seen, "gram")]
+    seen = rows.mapInArrow(triggers, "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    marks = [presence(scratch.table(seen, "seen"), "gram", None)]
     out = None
     for level in range(3):
 
@@ -184,18 +192,16 @@ def repeats(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Da
                     yield p.rows(u)
 
         found = scratch.table(rows.mapInArrow(units, _ROWS), "units")
-        place = F.row_number().over(Window.partitionBy("group", "unit").orderBy("id", "tag", "first"))
-        ranked = scratch.table(found.where("unit is not null").withColumn("place", place), "ranked")
-        told = found.where("unit is null").union(ranked.where("place > 1").drop("place")).select("id", "tag", "first", "last")
+        units_ = ["group", "unit", "check"]
+        firsts = found.where("unit is not null").groupBy(*units_).agg(F.min(F.struct("id", "tag", "first")).alias("one"), F.count("*").alias("n"))
+        firsts = scratch.table(firsts, "firsts")
+        # a unit met once needs no join
+        later = found.where("unit is not null").join(firsts.where("n > 1").select(*units_, "one").hint("shuffle_hash"), units_).where(F.struct("id", "tag", "first") != F.col("one"))
+        told = scratch.table(found.where("unit is null").select("id", "tag", "first", "last").union(later.select("id", "tag", "first", "last")), "told")
         if level < 2:
-            firsts = ranked.where("place = 1").select("group", "id", "tag", "first")
             mixed = firsts.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-            marks.append(presence(firsts.join(mixed, "group", "left_semi"), _slot_column()))
-            firsts = mixed = None
-        told = scratch.table(told, "told")
-        paths = found.scratch_path, ranked.scratch_path
-        found = ranked = seen = None
-        scratch.drop(*paths)
+            marks.append(presence(firsts.join(mixed, "group", "left_semi").select("one.*"), _slot_column()))
+        scratch.drop(found, firsts)
         out = told if out is None else out.union(told)
     return out
 
@@ -221,7 +227,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
     rows = keyed(docs)
     runs = repeats(rows, length, trigger)
     spans = runs.groupBy("id", "tag").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # at most a text's length
-    joined = rows.join(spans.hint("merge"), ["id", "tag"], "left").select("doc_id", "text", "runs")
+    joined = rows.join(spans.hint("shuffle_hash"), ["id", "tag"], "left").select("doc_id", "text", "runs")
 
     def strip(batches):
         for b in batches:
