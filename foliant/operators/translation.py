@@ -151,3 +151,18 @@ def counters(segments: DataFrame) -> DataFrame:
     empty = F.coalesce("dst", F.lit("")) == ""
     cached = F.col("cached") if "cached" in segments.columns else F.lit(False)
     return segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if(~empty).alias("done"), F.count_if(cached).alias("cached"), F.count_if(F.size("flags") > 0).alias("flagged"), F.count_if(empty).alias("missing"))
+
+
+def review_report(segments: DataFrame, most: int = 300) -> DataFrame:
+    """The first segments with flags by doc_id and id, as many as the report shows."""
+    return segments.where(F.size("flags") > 0).orderBy("doc_id", "id").limit(most)
+
+
+def job_list(jobs: DataFrame, kind: str | None = None) -> DataFrame:
+    """jobs: id, kind, created. Those of a kind, or all, the latest first, then by id."""
+    return (jobs if kind is None else jobs.where(F.col("kind") == kind)).orderBy(F.desc("created"), "id")
+
+
+def cache_size(cache: DataFrame) -> DataFrame:
+    """rows: how many translations the cache holds, as told before it is cleared."""
+    return cache.agg(F.count("*").alias("rows"))

@@ -371,6 +371,35 @@ def task_counters(spark, sf_dir):
     return X.counters(_agent(spark, sf_dir))
 
 
+@query(f"""WITH {{BLOCKS}}, {_AGENT}, c AS (SELECT *, CASE WHEN dst = '' THEN 1 ELSE len({flags_sql()}) END AS n FROM (SELECT * REPLACE (nfc_normalize(regexp_replace(dst, '\\b(?:Fig\\.|Figure)\\s+(\\d)', 'Hình \\1', 'g')) AS dst) FROM asm))
+SELECT doc_id, id, kind FROM c WHERE n > 0 ORDER BY doc_id, id LIMIT 300""")
+def review_report(spark, sf_dir):
+    ship(spark)
+    return X.review_report(_agent(spark, sf_dir)).select("doc_id", "id", "kind")
+
+
+@query("""SELECT event_id AS id, event_type AS kind, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS created FROM events WHERE event_type = 'view'""")
+def job_list(spark, sf_dir):
+    jobs = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("created"))
+    return X.job_list(jobs, "view")
+
+
+@query("""SELECT count(*) AS "rows" FROM (SELECT DISTINCT sha256(text) FROM conversations)""")
+def cache_size(spark, sf_dir):
+    return X.cache_size(_table(spark, sf_dir, "conversations").select(T.cache_key(F.col("text")).alias("key")).distinct())
+
+
+@query(None)
+def extracted_blocks(spark, sf_dir):
+    """All steps of extraction after each other; a plain version of the whole is in the tests."""
+    docs, blocks = _table(spark, sf_dir, "documents"), _blocks(spark, sf_dir)
+    raw = blocks.where("kind <> 'figure'").join(docs.select("doc_id", F.col("source").alias("book")), "doc_id").drop("kind", "level")
+    edges = raw.where(B.in_margin()).select("book", F.col("doc_id").alias("page"), "text")
+    repeated = B.repeated_lines(edges, docs.groupBy(F.col("source").alias("book")).agg(F.count("*").alias("n")), 0.02)
+    media = blocks.where("kind = 'figure'").withColumn("text", F.lit(""))
+    return A.extracted_blocks(raw, media, repeated).select("doc_id", "block", "kind", "page", "level", "n_parts", F.sha2("text", 256).alias("digest"))
+
+
 #: What the stub makes of a paragraph, heading, label or note; a list keeps its lines.
 _STUB = """t AS (SELECT doc_id, block, kind, text AS src, regexp_replace(text, '[A-Za-z]+', 'từ', 'g') AS raw FROM blocks WHERE kind IN ('heading', 'label', 'list') AND doc_id % 4 = 0),
 u AS (SELECT *, regexp_replace(regexp_replace(raw, '^\\s+|\\s+$', '', 'g'), '^\\s*(bản dịch|translation|dịch|vietnamese)\\s*:\\s*', '', 'i') AS said FROM t),
