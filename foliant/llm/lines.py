@@ -67,10 +67,17 @@ class Lines:
         keep = np.repeat(one, size)
         word, length, size, place = word[keep], length[keep], size[one], place[keep]
         first = np.cumsum(size) - size
-        self.sim = _simhash(word, first, size, place)
+        self.sim = _simhash(_pairs(word, first, size), first, size, place)
         self.bands = _sketches(word, length, first, size, place)
 
 
+def _pairs(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of neighbouring words, the last one's with the line's first: common words alone make unlike lines near."""
+    following = np.append(word[1:], np.uint64(0))
+    following[first + size - 1] = word[first]
+    return mix(word * np.uint64(3) + following)
+
+
 def _simhash(word: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
     part = np.flatnonzero(place % _LANE == 0)
     counts = np.add.reduceat(_SPREAD[word.view(np.uint8).reshape(-1, 8)], part, axis=0).view(np.uint8).astype(np.int32)
@@ -113,26 +120,26 @@ def block_keys(sim: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return np.column_stack([*pairs, mix(bands.ravel() & np.uint64((1 << 8 * WIDTH) - 1)).reshape(bands.shape)])
 
 
-def _pack(bands: np.ndarray) -> np.ndarray:
-    """The low WIDTH bytes of each sketch, a row a line."""
-    return np.ascontiguousarray(bands).view(np.uint8).reshape(len(bands), -1, 8)[:, :, :WIDTH].reshape(len(bands), -1)
+#: Columns that hold the low WIDTH bytes of each sketch.
+_PACKED = [f"b{i}" for i in range(-(-BANDS * WIDTH // 8))]
 
 
-def _unpack(column: pa.Array) -> np.ndarray:
-    rows = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS, WIDTH)
-    out = np.zeros((len(rows), BANDS, 8), np.uint8)
-    out[:, :, :WIDTH] = rows
-    return out.view(np.uint64).reshape(len(rows), BANDS)
+def _pack(bands: np.ndarray) -> np.ndarray:
+    """The low WIDTH bytes of each sketch, a row of 64-bit words a line."""
+    out = np.zeros((len(bands), 8 * len(_PACKED)), np.uint8)
+    out[:, : BANDS * WIDTH] = np.ascontiguousarray(bands).view(np.uint8).reshape(len(bands), -1, 8)[:, :, :WIDTH].reshape(len(bands), -1)
+    return out.view(np.int64)
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """A binary column of the rows of a matrix of bytes."""
-    n, width = rows.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+def _unpack(batch: pa.RecordBatch) -> np.ndarray:
+    words = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _PACKED])
+    out = np.zeros((len(words), BANDS, 8), np.uint8)
+    out[:, :, :WIDTH] = words.view(np.uint8)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH)
+    return out.view(np.uint64).reshape(len(words), BANDS)
 
 
 def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    return block_keys(batch.column("sim").to_numpy(zero_copy_only=False).view(np.uint64), _unpack(batch.column("bands")))
+    return block_keys(batch.column("sim").to_numpy(zero_copy_only=False).view(np.uint64), _unpack(batch))
 
 
 def distance(a: str, b: str, most: int | None = None) -> int:
@@ -206,6 +213,84 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     return distance(a, b, most) <= most
 
 
+def alike_rows(p: list[str], q: list[str], least: float = SIMILARITY) -> np.ndarray:
+    """alike() of many pairs: edit distances side by side, a bit-parallel column of all pairs of a chunk at a time; pairs that can't be alike any more are left out."""
+    out, sizes = np.zeros(len(p), bool), np.array([[len(x) for x in p], [len(x) for x in q]], np.int64).reshape(2, -1)
+    longer = sizes.max(0, initial=0)
+    most = longer - np.ceil(least * longer - 1e-9).astype(np.int64)
+    fits = longer - sizes.min(0, initial=1 << 40) <= most
+    for i in np.flatnonzero(fits & (longer > LONG)):
+        out[i] = alike(p[i], q[i], least)
+    order = np.flatnonzero(fits & (longer <= LONG))
+    order = order[np.argsort(longer[order], kind="stable")]
+    while len(order):  # the longest pairs first, as many as _CELLS allows
+        n = int(max(1, min(len(order), _CELLS // (longer[order[-1]] + 64))))
+        at, order = order[-n:], order[:-n]
+        out[at] = _within([p[i] for i in at], [q[i] for i in at], most[at])
+    return out
+
+
+#: Characters of a chunk of pairs, and words of its table of places.
+_CELLS, _MASKS = 1 << 20, 1 << 21
+
+
+def _within(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether the edit distance of each pair is at most so many."""
+    n, size, width = len(p), np.array([len(x) for x in p]), np.array([len(x) for x in q])
+    points = np.frombuffer("".join([*p, *q]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs, codes = np.unique(points, return_inverse=True)
+    split, words = int(size.sum()), (int(size.max(initial=0)) + 63) // 64
+    ok = np.maximum(size, width) <= most
+    live = np.flatnonzero((size > 0) & (width > 0) & ~ok)
+    ok[(size == 0) | (width == 0)] = (np.maximum(size, width) <= most)[(size == 0) | (width == 0)]
+    if not len(live):
+        return ok
+    if n > 1 and n * (len(signs) + 1) * words > _MASKS:
+        half = n // 2
+        return np.concatenate([_within(p[:half], q[:half], most[:half]), _within(p[half:], q[half:], most[half:])])
+    row = np.repeat(np.arange(n), size)
+    place = np.arange(split) - np.repeat(np.cumsum(size) - size, size)
+    bits = np.uint64(1) << (place & 63).astype(np.uint64)
+    key = (row * (len(signs) + 1) + codes[:split]) * words + (place >> 6)  # a sign's places in a text, 64 a word; the last sign stands nowhere
+    used, slot = np.unique(key, return_inverse=True)
+    by = np.argsort(slot, kind="stable")
+    masks = np.zeros(n * (len(signs) + 1) * words, np.uint64)
+    masks[used] = np.bitwise_or.reduceat(bits[by], np.searchsorted(slot[by], np.arange(len(used))))
+    text = np.full((int(width.max()), n), len(signs), np.int64)
+    column = np.arange(len(points) - split) - np.repeat(np.cumsum(width) - width, width)
+    text[column, np.repeat(np.arange(n), width)] = codes[split:]
+    ones, one, high = ~np.uint64(0), np.uint64(1), np.uint64(63)
+    plus, minus = np.full((words, len(live)), ones), np.zeros((words, len(live)), np.uint64)
+    score, last, bit = size[live].copy(), (size[live] - 1) >> 6, ((size[live] - 1) & 63).astype(np.uint64)
+    ends = np.bincount(width[live], minlength=len(text) + 1) > 0
+    for j in range(len(text)):
+        ended = ends[j]
+        if j % LOOK == 0 or ended:
+            ended = width[live] == j
+            ok[live[ended]] = score[ended] <= most[live[ended]]
+            keep = ~(ended | (score - (width[live] - j) > most[live]))
+            live, score, last, bit = live[keep], score[keep], last[keep], bit[keep]
+            plus, minus = plus[:, keep], minus[:, keep]
+            if not len(live):
+                return ok
+        base = (live * (len(signs) + 1) + text[j, live]) * words
+        up, down, least = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64), int(last.min())
+        for w in range(int(last.max()) + 1):
+            hit = masks[base + w]
+            vertical = hit | minus[w]
+            hit |= down
+            across = (((hit & plus[w]) + plus[w]) ^ plus[w]) | hit
+            rise, fall = minus[w] | ~(across | plus[w]), plus[w] & across
+            if w >= least:
+                end = last == w
+                score[end] += ((rise[end] >> bit[end]) & one).astype(np.int64) - ((fall[end] >> bit[end]) & one).astype(np.int64)
+            shifted, sunk = (rise << one) | up, (fall << one) | down
+            up, down = rise >> high, fall >> high
+            plus[w], minus[w] = sunk | ~(vertical | shifted), shifted & vertical
+    ok[live] = score <= most[live]
+    return ok
+
+
 def _slots(ids: np.ndarray, tags: np.ndarray, numbers: np.ndarray) -> np.ndarray:
     """A hash of a line's place."""
     return mix(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) ^ mix(tags.astype(np.uint64) << np.uint64(32) | numbers.astype(np.uint64)))
@@ -235,7 +320,7 @@ def _shared(classes: DataFrame) -> DataFrame:
             held = keys[np.concatenate([[True], ~again])] if len(keys) else keys
         yield pa.RecordBatch.from_arrays([pa.array(signed(seen))], ["key"])
 
-    return classes.select("sim", "bands").mapInArrow(packed, "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(run, "key long")
+    return classes.select("sim", *_PACKED).mapInArrow(packed, "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(run, "key long")
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
@@ -243,21 +328,20 @@ def _fits(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def _others(members: DataFrame, buckets: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
+def _others(crowded: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
     """a, b: lines of one bucket and unlike components, of like length: all, or for each line the nearest by SimHash of each component.
 
-    Only lines outside the component of the bucket's first line look for partners, and not the first line
-    itself, which has met them. So a bucket that is one component costs nothing, and a hot bucket meets a
-    join that Spark can split.
+    crowded: members of buckets of three or more, with the bucket's first line, which has met all others. Only
+    lines outside its component look for partners. So a bucket that is one component costs nothing, and a hot
+    bucket meets a join that Spark can split.
     """
-    own = F.coalesce("component", "line").alias("component")
-    placed = members.join(labels, "line", "left").select("key", "line", "size", "sim", own)
-    firsts = buckets.select("key", F.col("first.line").alias("line")).join(labels, "line", "left").select("key", F.col("line").alias("first"), own.alias("main"))
-    mixed = placed.join(firsts, "key").where("line <> first")
-    one = mixed.where("component <> main").select("key", "line", "size", "sim", "component").toDF("key", "a", "a_size", "a_sim", "a_in")
-    two = mixed.select("key", "main", "line", "size", "sim", "component").toDF("key", "main", "b", "b_size", "b_sim", "b_in")
+    mains = labels.select(F.col("line").alias("first"), F.col("component").alias("main"))
+    placed = crowded.join(labels.hint("shuffle_hash"), "line", "left").join(mains.hint("shuffle_hash"), "first", "left")
+    placed = placed.where("line <> first").select("key", "line", "size", "sim", F.coalesce("component", "line").alias("component"), F.coalesce("main", "first").alias("main"))
+    one = placed.where("component <> main").select("key", "line", "size", "sim", "component").toDF("key", "a", "a_size", "a_sim", "a_in")
+    two = placed.select("key", "main", "line", "size", "sim", "component").toDF("key", "main", "b", "b_size", "b_sim", "b_in")
     # two lines that both look meet once
-    met = two.join(one, "key").where((F.col("a_in") != F.col("b_in")) & ((F.col("b_in") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("a_size", "b_size", similarity))
+    met = two.join(one.hint("shuffle_hash"), "key").where((F.col("a_in") != F.col("b_in")) & ((F.col("b_in") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("a_size", "b_size", similarity))
     if nearest:
         far = F.bit_count(F.col("a_sim").bitwiseXOR(F.col("b_sim")))
         met = met.groupBy("a", "b_in").agg(F.min(F.struct(far.alias("far"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
@@ -284,12 +368,15 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
                 number = x.tokens.line_number[x.line].astype(np.int32)
                 of = np.full(len(x.line), -1, np.int64)
                 of[x.at] = np.arange(len(x.at))
-                sign = pa.array(of, mask=of < 0)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), pa.array(x.size), pa.array(signed(x.sim)).take(sign), _binary(_pack(x.bands)).take(sign)], ["id", "tag", "number", "line", "size", "sim", "bands"])
-
-    found = scratch.table(rows.mapInArrow(signed_lines, "id long, tag long, number int, line long, size long, sim long, bands binary"), "found")
-    place = F.min(F.struct("id", "tag", "number")).alias("place")
-    classes = found.groupBy("line").agg(place, F.count("*").alias("n"), *(F.first(c, ignorenulls=True).alias(c) for c in ("size", "sim", "bands")))
+                sign, packed = pa.array(of, mask=of < 0), _pack(x.bands)
+                slots = _slots(ids[i:j][doc], tags[doc], number)
+                own = [pa.array(ids[i:j][doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), pa.array(signed(slots)), pa.array(x.size)]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c).take(sign) for c in (signed(x.sim), *np.ascontiguousarray(packed.T)))], names)
+
+    names = ["id", "tag", "number", "line", "slot", "size", "sim", *_PACKED]
+    kinds = ", ".join(f"{n} int" if n == "number" else f"{n} long" for n in names)
+    found = scratch.table(rows.mapInArrow(signed_lines, kinds), "found")
+    classes = found.groupBy("line").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("slot", "size", "sim", *_PACKED)))
     classes = scratch.table(classes, "classes")
     shared = presence(scratch.table(_shared(classes), "shared"), "key", None)
 
@@ -300,19 +387,17 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             rows = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(b.column(c).take(rows) for c in ("line", "size", "sim"))], ["key", "line", "size", "sim"])
 
-    members = scratch.table(classes.select("line", "size", "sim", "bands").mapInArrow(sharing, "key long, line long, size long, sim long"), "members")
-    buckets = members.groupBy("key").agg(F.min(F.struct("line", "size")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.table(buckets.select("key", "first"), "buckets")
-    star = members.select("key", F.col("line").alias("a"), "size").join(buckets, "key").where((F.col("a") != F.col("first.line")) & _fits("size", "first.size", similarity))
-    near = scratch.table(star.select(F.least("a", "first.line").alias("a"), F.greatest("a", "first.line").alias("b")).distinct(), "near")
-
-    def places(batches):
-        for b in batches:
-            slots = _slots(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag", "number")))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(slots))], ["slot"])
-
-    spoken_for = classes.select("line", "place.*").join(members.join(buckets, "key", "left_semi").select("line"), "line", "left_semi")
-    wanted = presence(scratch.table(spoken_for.mapInArrow(places, "slot long"), "places"), "slot", None)
+    members = scratch.table(classes.select("line", "size", "sim", *_PACKED).mapInArrow(sharing, "key long, line long, size long, sim long"), "members")
+    buckets = scratch.table(members.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    leaders = members.join(buckets.hint("shuffle_hash"), "key")
+    crowded = scratch.table(leaders.where("n > 2").select("key", "line", "size", "sim", "first"), "crowded")
+    star = leaders.where("line <> first").select("line", "size", "first").distinct()
+    star = star.join(classes.select(F.col("line").alias("first"), F.col("size").alias("first_size")).hint("shuffle_hash"), "first").where(_fits("size", "first_size", similarity))
+    near = scratch.table(star.select(F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b")).distinct(), "near")
+    scratch.drop(members)
+    speaking = near.select(F.col("a").alias("line")).union(near.select("b")).union(crowded.select("line")).distinct()
+    wanted = presence(scratch.table(classes.select("line", "slot").join(speaking.hint("shuffle_hash"), "line", "left_semi").select("slot"), "places"), "slot", None)
+    scratch.drop(classes)
 
     def spoken(batches):
         for b in batches:
@@ -332,28 +417,40 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
 
     def verified(batches):
         for b in batches:
-            ok = [alike(p, q, similarity) for p, q in zip(b.column("p").to_pylist(), b.column("q").to_pylist(), strict=True)]
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            ok = alike_rows(b.column("p").to_pylist(), b.column("q").to_pylist(), similarity)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     def alike_pairs(near):
-        one, other = (words.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
+        told = presence(near.select(F.explode(F.array("a", "b")).alias("line")), "line", None)
+
+        def needed(batches):
+            for b in batches:
+                yield b.filter(pa.array(present(told.value, b.column("line").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+        spoke = words.mapInArrow(needed, words.schema)
+        one, other = (spoke.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
         return scratch.table(near.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long"), "edges")
 
     edges = alike_pairs(near)
     for nearest in (True, False):
         labels = components(scratch, edges).withColumnRenamed("node", "line")
-        tried, near = near, _others(members, buckets, labels, similarity, nearest)
+        tried, near = near, _others(crowded, labels, similarity, nearest)
         near = scratch.table(near if nearest else near.join(tried, ["a", "b"], "left_anti"), "near")
         edges = edges.union(alike_pairs(near))
-    scratch.drop(words, members)
+    scratch.drop(words, crowded)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
-    grouped = classes.select("line", "place", "n").join(labels, "line", "left").withColumn("component", F.coalesce("component", "line"))
-    grouped = scratch.table(grouped, "grouped")
-    least = grouped.groupBy("component").agg(F.min("place").alias("stays"), F.sum("n").alias("lines")).where("lines > 1")
-    stays = scratch.table(grouped.select("line", "component").join(least, "component").select("line", "stays"), "stays")
-    later = found.select("id", "tag", "number", "line").join(stays, "line").where(F.struct("id", "tag", "number") != F.col("stays"))
+    place, own = F.struct("id", "tag", "number"), F.coalesce("component", "line").alias("component")
+    earliest = found.select("id", "tag", "number", "line").groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    grouped = scratch.table(earliest.join(labels.hint("shuffle_hash"), "line", "left").select("line", own, "id", "n"), "grouped")
+    least = grouped.groupBy("component").agg(F.min("id").alias("least"), F.sum("n").alias("lines")).where("lines > 1")
+    least = scratch.table(least, "least")
+    stays = scratch.table(grouped.select("line", "component").join(least.hint("shuffle_hash"), "component").select("line", "component", "least"), "stays")
+    scratch.drop(grouped, least)
+    placed = found.select("id", "tag", "number", "line").join(stays.hint("shuffle_hash"), "line")
+    first = scratch.table(placed.where("id = least").groupBy("component").agg(F.min(place).alias("stays")), "first")  # of the least doc_id the first line
+    later = placed.join(first.hint("shuffle_hash"), "component").where(place != F.col("stays"))
     later = scratch.table(later.select("id", "tag", "number"), "later")
-    scratch.drop(found, classes, grouped, stays)
+    scratch.drop(found, stays, first)
     return later
 
 
