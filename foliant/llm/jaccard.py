@@ -7,17 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, components, mix, prefix_sums, presence, present, signed, slices, span_hash, utf8
+from .common import Scratch, components, fresh, mix, prefix_sums, presence, present, signed, slices, span_hash, utf8
 
 WORDS, PERCENT = 4, 85
-#: Bytes handled at once; coordinates of a count vector; children of a tree node; members of a bucket's block.
-STEP, COORDINATES, FANOUT, BLOCK = 1 << 20, 128, 16, 1024
+_NO_ID = -(1 << 63)
+#: Bytes handled at once; coordinates of a count vector; children of a tree node; members of a bucket that look for partners together.
+STEP, COORDINATES, FANOUT, BLOCK = 1 << 18, 128, 16, 1024
 #: Sets smaller than 2**SINGLES have a group for each token; larger ones SPREAD groups for each of the size class's greatest size.
 SINGLES, SPREAD = 4, 0.3
-#: Bytes of each token's hash that verification compares: of two texts of 20,000 words one in 15,000 gains or loses a token.
-KEPT = 5
 
 
 class Sets:
@@ -66,8 +65,8 @@ class Sets:
         _, at = np.unique(self.sig[full], return_index=True)
         return full[np.sort(at)]
 
-    def keys(self, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row and key of the groups that stand for each row.
+    def keys(self, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row and key of the groups that stand for each row, and the rows that fill fewer groups than the guarantee takes.
 
         Tokens are hashed into as many groups as the size class has. Sets that link differ in at most d
         tokens, hence in at most d groups; so of the first d + 1 groups that aren't empty, of whichever set
@@ -78,7 +77,7 @@ class Sets:
         power = np.floor(np.log2(np.maximum(self.n, 1))).astype(np.int64)
         power += (1 << (power + 1)) <= self.n
         power -= (1 << power) > np.maximum(self.n, 1)
-        out_rows, out_keys = [], []
+        out_rows, out_keys, odd = [], [], np.zeros(0, np.int64)
         for step in (0, 1):
             mine = rows if not step else rows[self.n[rows] >= t * 2.0 ** (power[rows] + 1)]
             if not len(mine):
@@ -101,18 +100,28 @@ class Sets:
             place = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
             most = ((size + np.floor(size / t + 1e-9)) * (1 - t) / (1 + t) + 1e-9).astype(np.int64)
             keep = place <= most[owner]
+            if not step:
+                odd = mine[per <= most]
             owner = owner[keep]
             out_rows.append(mine[owner])
             out_keys.append(mix(content[keep] + mix((group[keep] * 64 + scheme[owner]).astype(np.uint64))))
         none = np.zeros(0, np.int64)
-        return np.concatenate([none, *out_rows]), np.concatenate([none.view(np.uint64), *out_keys])
+        return np.concatenate([none, *out_rows]), np.concatenate([none.view(np.uint64), *out_keys]), odd
 
+    def least(self, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row and key of each row's least tokens: sets that link have one of them in common, however few groups they fill."""
+        size = self.n[rows]
+        take = size - -(-percent * size // 100) + 1  # linked sets share percent of the larger one's tokens or more
+        which = np.repeat(np.arange(len(rows)), take)
+        at = np.repeat(self.first[rows] - (np.cumsum(take) - take), take) + np.arange(take.sum())
+        return rows[which], mix(self.hash[at] ^ np.uint64(0x0DD0DD))
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, Sets]]:
+
+def _sets(batches: Iterator[pa.RecordBatch], words: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, Sets]]:
     for b in batches:
-        for i, j in slices(b.column("text"), STEP):
+        for i, j in slices(b.column(text), STEP):
             part = b.slice(i, j - i)
-            yield part, Sets(part.column("text"), words)
+            yield part, Sets(part.column(text), words)
 
 
 def least_overlap(a, b, percent: int):
@@ -150,65 +159,81 @@ class CountTree:
         return below[below < n]
 
 
-def bucket_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b, near for pairs of a bucket in unlike components that the bound leaves; members: key, part, left_, right_, sig, component, counts.
+def block_pairs(points: np.ndarray, looks: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of unlike components, one of which looks, that the bound leaves; the tree holds those that look."""
+    own = np.flatnonzero(looks)
+    tree = CountTree(points[own])
+    for i in range(len(points)):
+        j = own[tree.query(points[i], percent)]
+        j = j[(component[j] != component[i]) & (~looks[i] | (j > i))]
+        if len(j):
+            yield np.full(len(j), i), j
 
-    A bucket of more than a node's worth of members is searched with an R-tree, smaller ones side by side.
-    """
 
-    def pairs(bucket, part, two, sig, component, points):
-        """Rows are sorted by bucket; yields index pairs."""
-        new = np.flatnonzero(np.diff(bucket, prepend=-1))
-        size = np.diff(np.append(new, len(bucket)))
-        small = np.repeat(size <= FANOUT, size)
-        total = points.sum(1, dtype=np.int64)
-        for k in range(1, min(FANOUT, len(bucket))):
-            i = np.flatnonzero((bucket[k:] == bucket[:-k]) & small[k:] & (component[k:] != component[:-k]) & (~two[k:] | (part[k:] != part[:-k])))
-            near = np.minimum(points[i], points[i + k]).sum(1, dtype=np.int64)
-            keep = near >= least_overlap(total[i], total[i + k], percent)
-            yield i[keep], i[keep] + k, near[keep]
-        for start, n in zip(new, size, strict=True):
-            if n <= FANOUT or (component[start : start + n] == component[start]).all():
-                continue
-            at = slice(start, start + n)
-            tree = CountTree(points[at].astype(np.int64))
-            for i in range(start, start + n):
-                j = tree.query(points[i].astype(np.int64), percent) + start
-                j = j[(j > i) & (component[j] != component[i])]
-                if two[i]:
-                    j = j[part[j] != part[i]]
-                if len(j):
-                    yield np.full(len(j), i), j, np.minimum(points[j], points[i]).sum(1, dtype=np.int64)
+def leaf_pairs(bucket: np.ndarray, points: np.ndarray, looks: np.ndarray, component: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many buckets of at most FANOUT rows at once: a tree of one leaf, whose entries are bounded one after the other."""
+    total = points.sum(1)
+    for k in range(1, min(FANOUT, len(bucket))):
+        i = np.flatnonzero((bucket[k:] == bucket[:-k]) & (looks[k:] | looks[:-k]) & (component[k:] != component[:-k]))
+        i = i[np.minimum(points[i], points[i + k]).sum(1) >= least_overlap(total[i], total[i + k], percent)]
+        yield i, i + k
+
+
+def nearest_pairs(i: np.ndarray, j: np.ndarray, near: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Places of the pairs that are the nearest of either row with the other's component."""
+    keep = np.zeros(len(i), bool)
+    for one, other in ((i, j), (j, i)):
+        order = np.lexsort((-near, component[other], one))
+        first = np.ones(len(order), bool)
+        first[1:] = (one[order[1:]] != one[order[:-1]]) | (component[other[order[1:]]] != component[other[order[:-1]]])
+        keep[order[first]] = True
+    return np.flatnonzero(keep)
+
+
+def bucket_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """a, b, near for pairs of a bucket in unlike components that the count bound leaves; members: key, block, looks, sig, component, counts.
+
+    A bucket's rows that look for partners are dealt into blocks of BLOCK; each block meets all of its bucket.
+    nearest: of the pairs of a row with a component only the one with the greatest bound.
+    """
 
     def run(batches):
-        held = []
+        held = None
 
         def done(rows):
-            key, left, right, part, sig, component = (np.concatenate([r[c] for r in rows]) for c in range(6))
-            points = np.concatenate([r[6] for r in rows])
-            change = np.ones(len(key), bool)
-            change[1:] = (key[1:] != key[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-            got = list(pairs(np.cumsum(change), part, left != right, sig, component, points))
-            i, j, near = (np.concatenate([g[c] for g in got]) if got else np.zeros(0, np.int64) for c in range(3))
-            one, other = sig[i.astype(np.int64)], sig[j.astype(np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other)), pa.array(near.astype(np.int32))], ["a", "b", "near"])
+            key, block, sig, component, looks, points = rows
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (block[1:] != block[:-1])])
+            bucket, start = np.cumsum(new), np.flatnonzero(new)
+            size = np.diff(np.append(start, len(key)))
+            small = np.repeat(size <= FANOUT, size)
+            at = np.flatnonzero(small)
+            got = [(at[i], at[j]) for i, j in leaf_pairs(bucket[at], points[at], looks[at], component[at], percent)]
+            for first, n in zip(start[size > FANOUT], size[size > FANOUT], strict=True):
+                part = slice(first, first + n)
+                got += [(i + first, j + first) for i, j in block_pairs(points[part], looks[part], component[part], percent)]
+            i, j = (np.concatenate([g[c] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for c in range(2))
+            near = np.minimum(points[i], points[j]).sum(1)
+            if nearest and len(i):
+                keep = nearest_pairs(i, j, near, component)
+                i, j, near = i[keep], j[keep], near[keep]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j])), pa.array(near.astype(np.int64))], ["a", "b", "near"])
 
         for b in batches:
-            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "left_", "right_", "part", "sig", "component")]
-            now.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), np.uint16).reshape(-1, COORDINATES))
-            if not len(now[0]):
+            now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "sig", "component", "looks")]
+            now.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64))
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if not len(held[0]):
                 continue
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[2] == now[2][-1])
-            cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
-            if cut:  # the last bucket may go on
-                yield done([*held, [c[:cut] for c in now]])
-                held = []
-            held.append([c[cut:] for c in now])
-        if held:
+            same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+            if cut:  # the last block may go on
+                yield done([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
             yield done(held)
 
-    dealt = members.repartition("key", "left_", "right_").sortWithinPartitions("key", "left_", "right_")
-    return dealt.mapInArrow(run, "a long, b long, near int")
+    dealt = members.repartition("key", "block").sortWithinPartitions("key", "block")
+    return dealt.mapInArrow(run, "a long, b long, near long")
 
 
 def among(sets: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -222,15 +247,20 @@ def among(sets: DataFrame, sigs: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, sets.schema)
 
 
-def packed(hashes: np.ndarray) -> bytes:
-    """The low KEPT bytes of each hash."""
-    return np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
+def _arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+
 
+def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose count vectors' summed minima reach the least overlap."""
+
+    def run(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64) for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array(np.minimum(one, other).sum(1) >= least_overlap(one.sum(1), other.sum(1), percent)))
 
-def unpacked(tokens: bytes) -> np.ndarray:
-    out = np.zeros((len(tokens) // KEPT, 8), np.uint8)
-    out[:, :KEPT] = np.frombuffer(tokens, np.uint8).reshape(-1, KEPT)
-    return out.view(np.uint64).ravel()
+    one, other = (vectors.select(F.col("sig").alias(c), F.col("counts").alias(v)) for c, v in ("ax", "by"))
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def overlapping(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
@@ -238,132 +268,144 @@ def overlapping(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for p, q in zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist(), strict=True):
-                whole = np.sort(np.concatenate([unpacked(p), unpacked(q)]))
+            p, q = _arrays(batch.column("a_tokens"), np.uint64), _arrays(batch.column("b_tokens"), np.uint64)
+            ok = np.zeros(len(p), bool)
+            for i in range(len(p)):
+                whole = np.sort(np.concatenate([p[i], q[i]]))
                 common = int((whole[1:] == whole[:-1]).sum())
-                ok.append(100 * common >= percent * (len(whole) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                ok[i] = 100 * common >= percent * (len(whole) - common)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    both = one.join(other.hint("merge"), "b").select("a", "b", "a_tokens", "b_tokens")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose whole sets link."""
-    sets = among(sets.select("sig", "tokens"), pairs.select(F.explode(F.array("a", "b")).alias("sig")))
-    one, other = (sets.select(F.col("sig").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in "ab")
-    return overlapping(pairs.join(one.hint("merge"), "a"), other, percent)
+    return one.join(other.hint("merge"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, sig, component of every row: shingles, signature of their set, and the component, null without a shingle.
 
-    Texts of equal sets are one class. Classes that share a key are candidates. In a bucket the member that
-    shares most keys over all is verified against each of the others first, one edge a class; only pairs of
-    classes in unlike components are then searched, by an R-tree over count vectors in blocks of bounded
-    size, and verified by their whole sets: the nearest of two components first, then the rest that are
-    still apart. So no link between components is lost, and a group of copies gives no more rows than it has
-    members. A null or empty text has no shingle and is linked with nothing; rows of one doc_id are rows of
-    their own; a null doc_id counts only where its component has no other. Extra columns are ignored.
+    Texts of equal sets are one class. Classes that share a key are a bucket. First each class is tried with
+    one other: of the members that share most keys over all in its buckets the one that it meets most often.
+    Then count-vector R-trees search each bucket for pairs of classes in unlike components: of each row the
+    nearest of each other component, and then all that are still apart. The count bound decides on every pair,
+    and what it leaves is verified on the whole sets (64 bits a shingle). So no link between components is lost,
+    and a group of copies gives no more rows than it has members. A null or empty text has no shingle and is
+    linked with nothing; rows of one doc_id are rows of their own; a null doc_id counts only where its component
+    has no other. Extra columns are ignored.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def key_counts(batches):
         for _, s in _sets(batches, words):
-            keys, n = np.unique(s.keys(s.distinct(), percent)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(np.minimum(n, 2).astype(np.int8))], ["key", "n"])
-
-    shared = presence(rows.select("text").mapInArrow(key_counts, "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "key")
+            _, keys, odd = s.keys(s.distinct(), percent)
+            keys, n = np.unique(keys, return_counts=True)
+            kinds = [(keys, np.minimum(n, 2))]
+            if len(odd):  # counted apart
+                keys = np.unique(s.least(odd, percent)[1])
+                kinds.append((keys, np.zeros(len(keys), np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([k for k, _ in kinds]))), pa.array(np.concatenate([c for _, c in kinds]).astype(np.int8))], ["key", "n"])
+
+    counts = rows.select("text").mapInArrow(key_counts, "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where("n <> 1")
+    counts = scratch.table(counts, "counts")
+    shared = presence(counts.where("n > 1"), "key", None)
+    odd = counts.where("n = 0")
+    odd = None if odd.isEmpty() else presence(odd, "key", None)
 
     def signatures(batches):
         for part, s in _sets(batches, words):
-            none = pa.nulls(len(part), pa.int64())
+            none, own = pa.nulls(len(part), pa.int64()), s.distinct()
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.n, pa.int64()), pa.array(signed(s.sig)), none], ["doc_id", "n", "sig", "key"])
-            owner, keys = s.keys(s.distinct(), percent)
+            owner, keys, _ = s.keys(own, percent)
             at = present(shared.value, keys)
             owner, keys = owner[at], keys[at]
+            if odd is not None and len(own):
+                few, more = s.least(own, percent)
+                at = present(odd.value, more)
+                owner, keys = np.concatenate([owner, few[at]]), np.concatenate([keys, more[at]])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(s.n[owner], pa.int64()), pa.array(signed(s.sig[owner])), pa.array(signed(keys))], ["doc_id", "n", "sig", "key"])
 
-    scratch.drop()  # the counts' shuffle
     told = scratch.table(rows.mapInArrow(signatures, "doc_id long, n long, sig long, key long"), "signatures")
-    members = told.where("key is not null").select("key", "sig").distinct()
-    sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = scratch.table(members.join(sizes, "key"), "members")
-    scratch.drop()
-    weight = members.groupBy("sig").agg(F.sum("size").alias("weight"))
-    weighed = members.join(weight, "sig").select("key", "sig", "weight")
-    centre = weighed.groupBy("key").agg(F.max(F.struct("weight", "sig")).alias("centre")).select("key", F.col("centre.sig").alias("b"))
-    stars = members.join(centre, "key").where("sig <> b").groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("n"))
+    scratch.drop(counts)
+    everyone = scratch.table(told.where("key is not null").select("key", "sig", "n").distinct(), "members")
+    sizes = scratch.table(everyone.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    members = scratch.table(everyone.join(sizes, "key"), "members")
+    scratch.drop(everyone, sizes)
+    weight = scratch.table(members.groupBy("sig").agg(F.sum("size").alias("weight")), "weight")
+    centre = members.join(weight, "sig").groupBy("key").agg(F.max(F.struct("weight", "sig", "n")).alias("centre")).select("key", F.col("centre.sig").alias("b"), F.col("centre.n").alias("b_n"))
+    centre = scratch.table(centre, "centre")
+    fits = 100 * F.least("n", "b_n") >= percent * F.greatest("n", "b_n")
+    stars = members.join(centre, "key").where((F.col("sig") != F.col("b")) & fits).groupBy(F.col("sig").alias("a"), "b").agg(F.count("*").alias("n"))
     stars = scratch.table(stars.groupBy("a").agg(F.max(F.struct("n", "b")).alias("best")).select("a", F.col("best.b").alias("b")), "stars")
-    scratch.drop()
+    scratch.drop(centre)
     # of rows with equal sets one is enough; rows of one doc_id and those that the bitmap lets pass are told apart by sig
     firsts = told.where("key is null and n > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")).join(weight, "sig", "left_semi")
-    wanted = presence(firsts.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("key")), "key")
-
-    def token_sets(batches):
-        for part, s in _sets(batches, words):
-            mine = np.flatnonzero(s.n)
-            ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
-            mine = mine[present(wanted.value, s.sig[mine] ^ (ids[mine] << np.uint64(40)))]
-            if not len(mine):
-                continue
-            parts = [s.hash[s.first[i] : s.first[i] + s.n[i]] for i in mine]
-            counts = [np.bincount((p >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).clip(max=65535).astype(np.uint16).tobytes() for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([packed(p) for p in parts], pa.binary()), pa.array(counts, pa.binary())], ["sig", "tokens", "counts"])
-
-    sets = rows.mapInArrow(token_sets, "sig long, tokens binary, counts binary").dropDuplicates(["sig"])
-    sets = scratch.table(sets.join(stars.select(F.col("a").alias("sig"), "b"), "sig", "left"), "sets")  # dealt by sig once
-    scratch.drop()
-    centres = among(sets.select("sig", "tokens"), stars.select(F.col("b").alias("sig"))).select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens"))
-    spokes = sets.where("b is not null").select(F.col("sig").alias("a"), "b", F.col("tokens").alias("a_tokens"))
-    edges = scratch.table(overlapping(spokes, centres, percent), "edges")
-    scratch.drop()
+    firsts = scratch.table(firsts, "firsts")
+
+    def fetch(sigs: DataFrame, whole: bool) -> DataFrame:
+        """sig and its count vector, or its whole set as tokens, of the given sigs and some others."""
+        told_by = firsts.join(sigs, "sig", "left_semi") if whole else firsts
+        wanted = presence(scratch.table(told_by.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("key")), "wanted"), "key", None)
+
+        def run(batches):
+            for part, s in _sets(batches, words):
+                mine = np.flatnonzero(s.n)
+                ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
+                mine = mine[present(wanted.value, s.sig[mine] ^ (ids[mine] << np.uint64(40)))]
+                parts = [s.hash[s.first[i] : s.first[i] + s.n[i]] for i in mine]
+                if not whole:
+                    parts = [np.bincount((p >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.uint32) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([p.tobytes() for p in parts], pa.binary())], ["sig", "content"])
+
+        return rows.mapInArrow(run, "sig long, content binary").dropDuplicates(["sig"]).select("sig", F.col("content").alias("tokens" if whole else "counts"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, a table; a in one pair each, or in few."""
+        both = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        sets = scratch.table(fetch(both, True).join(pairs.select(F.col("a").alias("sig"), "b"), "sig", "left"), "sets")  # dealt by sig once
+        spokes = sets.where("b is not null").select(F.col("sig").alias("a"), "b", F.col("tokens").alias("a_tokens"))
+        centres = among(sets.select("sig", "tokens"), pairs.select(F.col("b").alias("sig"))).dropDuplicates(["sig"]).select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens"))
+        found = scratch.table(overlapping(spokes, centres, percent), "edges")
+        scratch.drop(sets)
+        return found
+
+    vectors = scratch.table(fetch(firsts, False), "vectors")
+    edges = verified(scratch.table(bounded(stars, vectors, percent), "near"))
 
     def labelled(edges):
-        return scratch.table(components(scratch, edges).withColumnRenamed("node", "sig"), "labels")
-
-    labels = labelled(edges)
-    placed = members.join(labels, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    placed = scratch.table(placed.select("key", "sig", "size", "component"), "placed")
-    apart = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    mixed = placed.join(apart, "key", "left_semi").join(sets.select("sig", "counts"), "sig")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mixed = mixed.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    mixed = mixed.withColumn("with_", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "sig", "component", "counts", "part", F.least("part", "with_").alias("left_"), F.greatest("part", "with_").alias("right_"))
-    pairs = bucket_pairs(mixed, percent).groupBy("a", "b").agg(F.max("near").alias("near"))
-    pairs = scratch.table(pairs, "pairs")
-    scratch.drop()
-    if not pairs.isEmpty():
-        def still_apart(pairs, labels):
-            one, other = (labels.select(F.col("sig").alias(c), F.col("component").alias(f"{c}_in")) for c in "ab")
-            return pairs.join(one, "a", "left").join(other, "b", "left").withColumns({"a_in": F.coalesce("a_in", "a"), "b_in": F.coalesce("b_in", "b")}).where("a_in <> b_in")
-
-        # of a pair of components the nearest texts first; nearer pairs mostly spare the farther ones
-        nearest = Window.partitionBy("lo", "hi").orderBy(F.desc("near"), "a", "b")
-        ranked = still_apart(pairs, labels).select("a", "b", "near", F.least("a_in", "b_in").alias("lo"), F.greatest("a_in", "b_in").alias("hi"))
-        ranked = scratch.table(ranked.withColumn("place", F.row_number().over(nearest)).select("a", "b", "place"), "ranked")
-        for low, high in ((1, 4), (5, 64), (65, None)):
-            some = ranked.where(F.col("place") >= low) if high is None else ranked.where(F.col("place").between(low, high))
-            if some.isEmpty():
-                break
-            if low > 1:
-                labels = labelled(edges)
-                some = still_apart(some, labels)
-            edges = edges.union(scratch.table(linked(some.select("a", "b"), sets, percent), "edges"))
+        return components(scratch, edges).withColumnRenamed("node", "sig")
+
+    def apart(labels: DataFrame, nearest: bool) -> DataFrame:
+        """a, b, near of classes that share a bucket and no component, as far as the bound leaves them."""
+        placed = scratch.table(members.join(labels, "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("component")), "placed")
+        parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("main.n < size")
+        mixed = scratch.table(parts.select("key", F.col("main.component").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int").alias("blocks")), "mixed")
+        own = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+        looking = placed.join(mixed, "key").withColumn("own", own).join(vectors, "sig")
+        looking = looking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "sig", "component", "counts", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("looks"))
+        pairs = scratch.table(bucket_pairs(looking, percent, nearest).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
+        scratch.drop(placed, mixed)
+        return pairs
+
+    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for nearest in (True, False):
         labels = labelled(edges)
-    scratch.drop(sets, members, placed, pairs)
+        pairs = apart(labels, nearest)
+        new = scratch.table(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
+        if pairs.isEmpty():
+            break
+        edges, tried = edges.union(verified(new)), tried.union(new)
+    labels = labelled(edges)
+    scratch.drop(members, vectors)
     texts = told.where("key is null").select("doc_id", "n", "sig")
     texts = texts.join(labels, "sig", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "sig")))
-    return scratch.table(texts, "texts")
+    texts = scratch.table(texts, "texts")
+    scratch.drop(told)
+    return texts
 
 
 def link_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; see _linked."""
-    texts = _linked(docs, words, percent)
-    least = texts.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"))
+    texts, scratch = _linked(docs, words, percent), Scratch(docs.sparkSession, "least")
+    least = scratch.table(texts.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     out = texts.where("n > 0").join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
     return out.union(texts.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
@@ -375,14 +417,19 @@ def keep_one(docs: DataFrame, words: int = WORDS + 1, percent: int = 80) -> Data
     that doc_id the one with the smallest set signature, and any one of those with the same set. Rows are told
     apart by doc_id and signature, so a row never goes for the sake of another row of its doc_id.
     """
-    texts = _linked(docs, words, percent).where("n > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id_"), F.col("doc_id").isNull().alias("no_id"), F.col("sig").alias("sig_"), "component").distinct()
-    stays = texts.groupBy("component").agg(F.min(F.struct("no_id", "id_", "sig_")).alias("stays"))
-    gone = texts.join(stays, "component").where((F.col("id_") != F.col("stays.id_")) | (F.col("sig_") != F.col("stays.sig_"))).select("id_", "sig_")
+    scratch = Scratch(docs.sparkSession, "keep")
+    id_, sig_, row_ = fresh(docs, "id", "sig", "row")
+    texts = _linked(docs.select("doc_id", "text"), words, percent).where("n > 0").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "sig", "component").distinct()
+    texts = scratch.table(texts, "texts")
+    stays = scratch.table(texts.groupBy("component").agg(F.min(F.struct("no_id", "id", "sig")).alias("stays"), F.count("*").alias("n")).where("n > 1"), "stays")
+    gone = texts.join(stays, "component").where((F.col("id") != F.col("stays.id")) | (F.col("sig") != F.col("stays.sig"))).select(F.col("id").alias(id_), F.col("sig").alias(sig_))
 
     def marked(batches):
-        for part, s in _sets(batches, words):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(s.sig), mask=s.n == 0)], [*part.schema.names, "sig_"])
-
-    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField("sig_", T.LongType())]))
-    keyed = keyed.withColumns({"id_": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "row_": F.when(F.col("sig_").isNull(), F.monotonically_increasing_id())})
-    return keyed.join(gone.hint("merge"), ["id_", "sig_"], "left_anti").dropDuplicates(["id_", "sig_", "row_"]).select(*docs.columns)
+        for part, s in _sets(batches, words, text):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(s.sig), mask=s.n == 0)], [*part.schema.names, sig_])
+
+    text = next(c for c in docs.columns if c.lower() == "text")
+    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(sig_, T.LongType())]))
+    keyed = keyed.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), row_: F.when(F.col(sig_).isNull(), F.monotonically_increasing_id())})
+    kept = keyed.join(gone.hint("shuffle_hash"), [id_, sig_], "left_anti").dropDuplicates([id_, sig_, row_])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
