@@ -54,11 +54,15 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
             out.append((line, 0 if closed else 2 if within else 1))
         text.clear()
 
-    found = _TOKEN.search(source)
+    end_of_tags = source.rfind(">") + 1  # beyond it nothing is a tag, and no tag need be looked for
+    found = _TOKEN.search(source, 0, end_of_tags)
     while found:
         if found.start() > at:
             text.append(html.unescape(source[at : found.start()]))
         at = found.end()
+        if found[0].startswith("<!--") and not found[0].endswith("-->"):  # never closed
+            at = len(source)
+            break
         tag = (found[2] or found[5] or "").lower()
         if tag:
             ending, attributes = found[1] or found[4], found[3] or found[6] or ""
@@ -85,8 +89,8 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
                     closed, depth = tag, 1
                 elif tag in ("article", "main"):
                     within.append(tag)
-        found = _TOKEN.search(source, at)
-    text.append(html.unescape(source[at:]))
+        found = _TOKEN.search(source, at, end_of_tags)
+    text.append(html.unescape(source[at:].partition("<!--")[0]))
     flush()
     return out
 

@@ -277,7 +277,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose text isn't predicted toxic."""
+    """The rows of docs, all columns, whose text isn't predicted toxic. Rows with equal texts share a fate; a null text counts as empty; without a label of each kind nothing is learnt and every row stays."""
     model = spark_broadcast(docs, fit(docs, labels))
     at = docs.columns.index("text")
 

@@ -145,3 +145,15 @@ def test_stages_keep_columns(spark, odd, tmp_path):
     left = jaccard.keep_one(docs)
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["0", "1", "2", "3", "3", "4", "5", "6", "7", "None", "None"])
     assert decontamination.keep_clean(docs, docs.select(F.lit(1).alias("item_id"), "text").where("doc_id = 0")).where("doc_id = 0").count() == 0
+
+
+def test_broken_markup_takes_linear_time():
+    """Quotes and comments that never close, with and without a last bracket."""
+    import time
+
+    began = time.time()
+    for page in ('<a "' * 250_000, '<a "' * 250_000 + ">", "<!-- " * 200_000, "<p>a" + "<b '" * 200_000 + "<p>", "<" * 500_000):
+        extraction.page_lines(page)
+    assert time.time() - began < 30
+    assert [t for t, _ in extraction.page_lines("<p>one<!-- never closed <p")] == ["one"] == [t for t, _ in extraction.page_lines("<p>one<!-- a > never closed")]
+    assert [t for t, _ in extraction.page_lines("<p>one <!-- > <b>two</b> --> three")] == ["one three"]
