@@ -1,4 +1,9 @@
-"""The corpus pipeline: toxicity, fuzzy line dedup, n-gram Jaccard join, benchmark decontamination, packing."""
+"""The corpus pipeline: toxicity, fuzzy line dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Every stage but the last returns the columns that it got. Null and empty texts pass all of them; a null doc_id
+is a document like any other; rows of one doc_id are told apart by their texts, and of fully equal rows the
+near-copy stage keeps one; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 
