@@ -53,14 +53,18 @@ def surface_forms(spark, sf_dir):
     return G.surface_forms(_terms(spark, sf_dir)).select("lookup", "match_key", "key", "words")
 
 
-#: The scan as a regular expression: boundaries take a sign each, so every gap stands doubled.
-_MET = f"""{_FORMS}, pattern AS (SELECT '(?i)(?:^|[^\\p{{L}}\\p{{N}}_-])(' || string_agg(DISTINCT regexp_replace(lower(lookup), '([^\\p{{L}}\\p{{N}}_-])', '\\1\\1', 'g'), '|' ORDER BY -length(lookup), lower(lookup)) || ')(?:$|[^\\p{{L}}\\p{{N}}_-])' AS p FROM forms),""".replace("string_agg(DISTINCT regexp_replace(lower(lookup), '([^\\p{L}\\p{N}_-])', '\\1\\1', 'g'), '|' ORDER BY -length(lookup), lower(lookup))", "(SELECT string_agg(f, '|' ORDER BY -length(f), f) FROM (SELECT DISTINCT regexp_replace(lower(lookup), '([^\\p{L}\\p{N}_-])', '\\1\\1', 'g') AS f FROM forms))").replace(" AS p FROM forms),", " AS p),") + """
-scan AS (SELECT doc_id, block, unnest(m) AS surface, generate_subscripts(m, 1) AS nth FROM (SELECT doc_id, block, regexp_extract_all(regexp_replace(text, '([^\\p{L}\\p{N}_-])', '\\1\\1', 'g'), (SELECT p FROM pattern), 1) AS m FROM blocks)),
-bare AS (SELECT doc_id, block, nth, regexp_replace(surface, '([^\\p{L}\\p{N}_-])[^\\p{L}\\p{N}_-]', '\\1', 'g') AS surface FROM scan),
-met AS (SELECT doc_id, block, coalesce(e.key, f.key) AS key, min(nth) AS nth FROM bare b LEFT JOIN forms e ON e.lookup = b.surface LEFT JOIN forms f ON f.lookup = lower(b.surface) WHERE coalesce(e.key, f.key) IS NOT NULL GROUP BY ALL)"""
-
-
-@query(f"WITH {{BLOCKS}}, {_MET} SELECT doc_id, block, key, CAST(row_number() OVER (PARTITION BY doc_id, block ORDER BY nth) AS INT) AS nth FROM met")
+#: The scan from word to word: of each start the longest form (of three words at most), each match pointing to the next start after its end.
+_WORD = "[\\p{L}\\p{N}_-]"
+_MET = f"""{_FORMS}, pc AS (SELECT doc_id, block, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, block, regexp_extract_all(text, '{_WORD}+[^{_WORD[1:]}*') AS p FROM blocks)),
+ld AS (SELECT doc_id, block, i, piece, lead(piece, 1) OVER w AS p2, lead(piece, 2) OVER w AS p3 FROM pc WINDOW w AS (PARTITION BY doc_id, block ORDER BY i)),
+sp AS (SELECT doc_id, block, i, n, regexp_replace(s, '[^{_WORD[1:]}+$', '') AS span FROM (SELECT doc_id, block, i, 1 AS n, piece AS s FROM ld UNION ALL SELECT doc_id, block, i, 2, piece || p2 FROM ld WHERE p2 IS NOT NULL UNION ALL SELECT doc_id, block, i, 3, piece || p2 || p3 FROM ld WHERE p3 IS NOT NULL)),
+c1 AS (SELECT doc_id, block, i, max(n) AS n, arg_max(span, n) AS surface FROM sp WHERE lower(span) IN (SELECT lower(lookup) FROM forms) GROUP BY ALL),
+nx AS (SELECT a.doc_id, a.block, a.i, a.surface, b.i AS following FROM c1 a ASOF LEFT JOIN c1 b ON a.doc_id = b.doc_id AND a.block = b.block AND a.i + a.n <= b.i),
+taken AS (SELECT * FROM (SELECT * FROM nx QUALIFY i = min(i) OVER (PARTITION BY doc_id, block)) UNION ALL SELECT nx.* FROM taken w JOIN nx ON nx.doc_id = w.doc_id AND nx.block = w.block AND nx.i = w.following),
+met AS (SELECT doc_id, block, coalesce(e.key, f.key) AS key, min(i) AS nth FROM taken t LEFT JOIN forms e ON e.lookup = t.surface LEFT JOIN forms f ON f.lookup = lower(t.surface) WHERE coalesce(e.key, f.key) IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"WITH RECURSIVE {{BLOCKS}}, {_MET} SELECT doc_id, block, key, CAST(row_number() OVER (PARTITION BY doc_id, block ORDER BY nth) AS INT) AS nth FROM met")
 def term_match(spark, sf_dir):
     ship(spark)
     forms = G.surface_forms(_terms(spark, sf_dir))
@@ -68,7 +72,7 @@ def term_match(spark, sf_dir):
     return G.match_terms(_blocks(spark, sf_dir).select("doc_id", "block", "text"), forms, ["doc_id", "block"]).select("doc_id", "block", "key", nth.alias("nth"))
 
 
-@query(f"""WITH {{BLOCKS}}, {_MET}, e AS (SELECT doc_id, block, kind, sum(CASE WHEN level BETWEEN 1 AND 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block) AS epoch FROM blocks)
+@query(f"""WITH RECURSIVE {{BLOCKS}}, {_MET}, e AS (SELECT doc_id, block, kind, sum(CASE WHEN level BETWEEN 1 AND 2 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY block) AS epoch FROM blocks)
 SELECT doc_id, block, key AS term, NOT ambiguous AND max(CASE WHEN kind <> 'label' AND NOT ambiguous THEN 1 END) OVER (PARTITION BY doc_id, epoch, key ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) IS NULL AS "first" FROM met JOIN e USING (doc_id, block) JOIN terms USING (key)""")
 def bilingual_terms(spark, sf_dir):
     ship(spark)
