@@ -14,6 +14,8 @@ from .toxicity import learnable
 BUCKETS, SMOOTH, SWITCH, BLOCK = 1 << 15, 0.5, 12.0, 64
 #: Code points a step handles at once.
 STEP = 1 << 21
+#: Moves between labels that Viterbi holds at once (a byte each).
+CELLS = 1 << 25
 #: A script is a language's if so large a share of its training letters is in it.
 SCRIPT_SHARE = 0.001
 #: First code point of each script range, and the script that starts there.
@@ -80,16 +82,10 @@ def viterbi(scores: np.ndarray, row: np.ndarray, switch: float = SWITCH) -> np.n
     total = int(per.sum())
     table = np.zeros((BLOCK, total, k), np.float32)  # words past a row's end score 0 for all labels: nothing changes there
     table[inrow % BLOCK, block] = scores
-    value = np.full((total, k, k), -1e30, np.float32)  # from label, now label
-    value[:, np.arange(k), np.arange(k)] = 0
-    moved = np.empty((BLOCK, total, k, k), bool)
-    source = np.empty((BLOCK, total, k), np.int8)
-    for t in range(BLOCK):
-        best = value.argmax(2)
-        top = np.take_along_axis(value, best[:, :, None], 2) - np.float32(switch)
-        moved[t] = top > value
-        source[t] = best
-        value = np.maximum(value, top) + table[t][:, None, :]
+    chunk = max(1, CELLS // (BLOCK * k * k))  # blocks whose moves are held at once; of more the moves are found again on the way back
+    value, held = np.empty((total, k, k), np.float32), None
+    for at in range(0, total, chunk):
+        value[at : at + chunk], *held = _forward(table[:, at : at + chunk], switch)
     begin, end = np.empty(total, np.int64), np.empty(total, np.int64)
     comes = np.empty((total, k), np.int64)  # best label before the block for each label at its end
     reached = np.zeros((len(first), k), np.float32)
@@ -108,13 +104,31 @@ def viterbi(scores: np.ndarray, row: np.ndarray, switch: float = SWITCH) -> np.n
         begin[b] = comes[b, last[rows]]
         last[rows] = begin[b]
     labels = np.empty((BLOCK, total), np.int64)
-    now, all_ = end.copy(), np.arange(total)
-    for t in reversed(range(BLOCK)):
-        labels[t] = now
-        now = np.where(moved[t, all_, begin, now], source[t, all_, begin], now)
+    for at in range(0, total, chunk):
+        part = slice(at, at + chunk)
+        moved, source = held if total <= chunk else _forward(table[:, part], switch)[1:]
+        now, first_label = end[part].copy(), begin[part]
+        every = np.arange(len(now))
+        for t in reversed(range(BLOCK)):
+            labels[t, part] = now
+            now = np.where(moved[t, every, first_label, now], source[t, every, first_label], now)
     return labels[inrow % BLOCK, block]
 
 
+def _forward(table: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of blocks side by side, from each label that they could begin with: values at the end by label, whether a label was entered by a switch at each step, and from where."""
+    _, total, k = table.shape
+    value = np.full((total, k, k), -1e30, np.float32)  # from label, now label
+    value[:, np.arange(k), np.arange(k)] = 0
+    moved, source = np.empty((BLOCK, total, k, k), bool), np.empty((BLOCK, total, k), np.int16)
+    for t in range(BLOCK):
+        best = value.argmax(2)
+        top = np.take_along_axis(value, best[:, :, None], 2) - np.float32(switch)
+        moved[t], source[t] = top > value, best
+        value = np.maximum(value, top) + table[t][:, None, :]
+    return value, moved, source
+
+
 @dataclass
 class Model:
     languages: list[str]

@@ -157,3 +157,39 @@ def test_broken_markup_takes_linear_time():
     assert time.time() - began < 30
     assert [t for t, _ in extraction.page_lines("<p>one<!-- never closed <p")] == ["one"] == [t for t, _ in extraction.page_lines("<p>one<!-- a > never closed")]
     assert [t for t, _ in extraction.page_lines("<p>one <!-- > <b>two</b> --> three")] == ["one three"]
+
+
+def test_viterbi_in_chunks(monkeypatch):
+    """However few moves are held at once, the path is the same."""
+    import numpy as np
+
+    scores = np.random.default_rng(2).normal(size=(900, 4)).astype(np.float32)
+    row = np.repeat([0, 1, 2, 5], [500, 3, 1, 396])
+    want = language.viterbi(scores, row, 0.8)
+    for cells in (1, 3000, 9000):
+        monkeypatch.setattr(language, "CELLS", cells)
+        assert language.viterbi(scores, row, 0.8).tolist() == want.tolist()
+
+
+def test_language_on_held_out_rows(spark):
+    """Two invented languages of shared letters: nine in ten held-out texts, mixed ones by their larger part."""
+    syllables = {"aa": ["tho", "ing", "er", "wha", "ble"], "bb": ["ção", "mente", "os", "que", "rr"]}
+    word = lambda lang: "".join(R.choice(syllables[lang]) for _ in range(R.randint(1, 3)))
+    rows = []
+    for i in range(400):
+        lang = "aa" if i % 2 else "bb"
+        other = "bb" if lang == "aa" else "aa"
+        rows.append((i, " ".join([word(lang) for _ in range(40)] + [word(other) for _ in range(8 if i % 3 == 0 else 0)]), lang))
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    right = [r.lang_pred == ("aa" if r.doc_id % 2 else "bb") for r in got]
+    assert len(right) > 60 and sum(right) >= 0.9 * len(right)
+    assert all(r.n_spans >= 2 for r in got if r.doc_id % 3 == 0)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Held-out documents with marked words are scored above clean ones."""
+    marked = ["grubble", "flonk", "snerd", "vexit"]
+    rows = [(i, prose(40) + (f" {R.choice(marked)} {R.choice(marked)}" if i % 4 == 0 else "")) for i in range(500)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], LABELS)
+    got = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("held_out").collect()
+    assert len(got) > 80 and sum(r.predicted == int(r.doc_id % 4 == 0) for r in got) >= 0.95 * len(got)
