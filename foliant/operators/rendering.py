@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -144,11 +147,15 @@ def outline_of(toc: DataFrame, pages: DataFrame, interleave: bool = False) -> Da
 
 def cut_places(text: str, weights: list[float]) -> list[int]:
     """Places of the spaces nearest to each cumulative share of a text, each after the one before; the text's end once none is left."""
-    spaces, whole, share, cuts = [i for i, c in enumerate(text) if c == " "], sum(weights) or 1, 0.0, []
-    for w in weights[:-1]:
-        share += w
-        free = [s for s in spaces if not cuts or s > cuts[-1]]
-        cuts.append(min(free, key=lambda s: abs(s - len(text) * share / whole)) if free else len(text))
+    spaces, whole = [i for i, c in enumerate(text) if c == " "], sum(weights) or 1
+    cuts, unused = [], 0  # spaces before the unused ones can't be cut at any more
+    for share in accumulate(weights[:-1]):
+        goal = len(text) * share / whole
+        right = max(unused, min(bisect_left(spaces, goal), len(spaces) - 1))
+        if unused < right and goal - spaces[right - 1] <= spaces[right] - goal:
+            right -= 1
+        cuts.append(spaces[right] if unused < len(spaces) else len(text))
+        unused = right + 1
     return cuts
 
 

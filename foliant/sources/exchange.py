@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -53,7 +55,5 @@ def free_name(spark: SparkSession, folder: str, stem: str, endings: tuple[str, .
     """A path in the folder that doesn't exist yet with any ending: the stem, then "stem (2)", "stem (3)" and so on."""
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    name, n = f"{folder}/{stem}", 2
-    while any(files.exists(path(name + e)) for e in endings):
-        name, n = f"{folder}/{stem} ({n})", n + 1
-    return name
+    names = chain([stem], (f"{stem} ({n})" for n in count(2)))
+    return next(f"{folder}/{x}" for x in names if not any(files.exists(path(f"{folder}/{x}{e}")) for e in endings))

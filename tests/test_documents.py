@@ -53,17 +53,12 @@ def test_glossary_files(spark, tmp_path):
 
 
 def plain_closure(boxes):
-    boxes, merged = [list(b) for b in boxes], True
-    while merged:
-        merged = False
-        for i, j in itertools.combinations(range(len(boxes)), 2):
-            a, b = boxes[i], boxes[j]
-            if a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]:
-                boxes[i] = [min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])]
-                boxes.pop(j)
-                merged = True
-                break
-    return sorted(boxes, key=lambda b: (b[1], b[0]))
+    """Unites any two that meet, until no two do."""
+    boxes = {tuple([*b, n]) for n, b in enumerate(boxes)}
+    while pair := next(((a, b) for a, b in itertools.combinations(boxes, 2) if max(a[0], b[0]) < min(a[2], b[2]) and max(a[1], b[1]) < min(a[3], b[3])), None):
+        low, high = zip(*(x[:2] for x in pair), strict=True), zip(*(x[2:4] for x in pair), strict=True)
+        boxes = (boxes - set(pair)) | {(*map(min, low), *map(max, high), pair[0][4])}
+    return sorted(([*b[:4]] for b in boxes), key=lambda b: (b[1], b[0]))
 
 
 def test_closure():
@@ -91,12 +86,13 @@ def test_classify(spark):
 
 
 def plain_split(text, weights):
-    cuts, spaces, acc = [], [i for i, c in enumerate(text) if c == " "], 0
-    for w in weights[:-1]:
-        acc += w
-        best = [s for s in spaces if s > (cuts[-1] if cuts else -1)]
-        cuts.append(min(best, key=lambda s: abs(s - len(text) * acc / (sum(weights) or 1))) if best else len(text))
-    return [text[a:z].strip() for a, z in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    """Every space ranked by its distance to a share; the best one past the cut before."""
+    places = [0]
+    for k in range(1, len(weights)):
+        goal = len(text) * sum(weights[:k]) / (sum(weights) or 1)
+        ranked = sorted((abs(i - goal), i) for i, c in enumerate(text) if c == " ")
+        places.append(next((i for _, i in ranked if i > places[-1] or k == 1), len(text)))
+    return [text[a:z].strip() for a, z in itertools.pairwise([*places, len(text)])]
 
 
 def test_split_by_weights(spark):
@@ -234,16 +230,18 @@ def plain_extract(raws, media, body, sizes, repeated):
     out = []
     for page in sorted({r["page"] for r in [*raws, *media]}):
         here = [r for r in raws if r["page"] == page]
-        wide = [r for r in here if r["width"] > 330 or r["x0"] < 290 and r["x1"] > 310]
-        narrow = sorted((r for r in here if r not in wide), key=lambda r: (r["y0"], r["block"]))
-        if any(r["x0"] >= 300 for r in narrow):
-            ordered = []
-            for w in [*sorted(wide, key=lambda r: (r["y0"], r["block"])), None]:
-                band = [r for r in narrow if not w or r["y0"] < w["y0"]]
-                ordered += [r for r in band if r["x0"] < 300] + [r for r in band if r["x0"] >= 300] + ([w] if w else [])
-                narrow = [r for r in narrow if r not in band]
-        else:
-            ordered = sorted(here, key=lambda r: (r["y0"], r["x0"], r["block"]))
+        wide = sorted((r["y0"], r["block"]) for r in here if r["width"] > 330 or r["x0"] < 290 and r["x1"] > 310)
+        across = {block for _, block in wide}
+        columns = any(r["x0"] >= 300 for r in here if r["block"] not in across)
+
+        def spot(r):
+            if not columns:
+                return r["y0"], r["x0"], r["block"]
+            if r["block"] in across:
+                return wide.index((r["y0"], r["block"])), 1, 0, r["y0"], r["block"]
+            return sum(y <= r["y0"] for y, _ in wide), 0, r["x0"] >= 300, r["y0"], r["block"]
+
+        ordered = sorted(here, key=spot)
         texts = []
         for r in ordered:
             edge = r["y0"] < 64 or r["y1"] > 736
