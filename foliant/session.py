@@ -12,8 +12,14 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker: texts can be long, and a worker holds a batch in several forms.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, once an application, wherever they start."""
+    """Let Python workers import this package, once an application, wherever they start; batches for them stay small."""
+    for name, most in BATCH.items():
+        spark.conf.set(name, str(most))
     context = spark.sparkContext
     if context.applicationId in _sent:
         return
