@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, fresh, mix, prefix_sums, presence, present, signed, span_hash
+from .common import Scratch, fresh, frugal, mix, prefix_sums, presence, present, signed, span_hash
 from .tokens import Tokens, runs, tag
 
 #: Words of a template window, and the share of an item's windows that a document must hold.
@@ -103,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][t.tokens.doc[t.at[every]]]), *t.rows(every)], ["item_id", "window", "at", "slots"])
 
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null").distinct()
-    items = scratch.table(items.mapInArrow(item_windows, "item_id long, window long, at int, slots array<long>"), "items")
+    items = scratch.table(items.mapInArrow(frugal(item_windows), "item_id long, window long, at int, slots array<long>"), "items")
     known = presence(items.select("window").distinct(), "window")
 
     def doc_windows(batches):
@@ -119,7 +119,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(tags[doc]), *t.rows(which)], ["id", "tag", "window", "doc_at", "doc_slots"])
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text").where("text is not null")
-    found = rows.mapInArrow(doc_windows, "id long, tag long, window long, doc_at int, doc_slots array<long>").distinct()
+    found = rows.mapInArrow(frugal(doc_windows), "id long, tag long, window long, doc_at int, doc_slots array<long>").distinct()
     totals = items.groupBy("item_id").agg(F.count_distinct("at").alias("windows"))
     pairs = F.transform(F.arrays_zip(F.col("slots").alias("i"), F.col("doc_slots").alias("d")), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
     met = F.collect_set(F.struct("at", pairs.alias("pairs")))  # at most an item's windows, two ways each

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import neighbour_partitions, ranges
+from .common import frugal, neighbour_partitions, ranges
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -192,4 +192,4 @@ def main_text(pages: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), columns, strict=True)], [n for n, _ in columns])
 
-    return dealt.select("page_id", "url", "html", "key_", "role_").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_lines int, n_shared int")
+    return dealt.select("page_id", "url", "html", "key_", "role_").mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long, n_lines int, n_shared int")

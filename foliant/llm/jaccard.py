@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, components, fresh, mix, prefix_sums, presence, present, signed, slices, span_hash, utf8
+from .common import Scratch, components, fresh, frugal, mix, prefix_sums, presence, present, signed, slices, span_hash, utf8
 
 WORDS, PERCENT = 4, 85
 _NO_ID = -(1 << 63)
@@ -233,7 +233,7 @@ def bucket_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield done(held)
 
     dealt = members.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(run, "a long, b long, near long")
+    return dealt.mapInArrow(frugal(run), "a long, b long, near long")
 
 
 def among(sets: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def among(sets: DataFrame, sigs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(present(wanted.value, b.column("sig").to_numpy(zero_copy_only=False).view(np.uint64))))
 
-    return sets.mapInArrow(run, sets.schema)
+    return sets.mapInArrow(frugal(run), sets.schema)
 
 
 def _arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
@@ -260,7 +260,7 @@ def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(np.minimum(one, other).sum(1) >= least_overlap(one.sum(1), other.sum(1), percent)))
 
     one, other = (vectors.select(F.col("sig").alias(c), F.col("counts").alias(v)) for c, v in ("ax", "by"))
-    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
 def overlapping(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
@@ -276,7 +276,7 @@ def overlapping(one: DataFrame, other: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * common >= percent * (len(whole) - common)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return one.join(other.hint("merge"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long")
+    return one.join(other.hint("merge"), "b").select("a", "b", "a_tokens", "b_tokens").mapInArrow(frugal(run), "a long, b long")
 
 
 def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 kinds.append((keys, np.zeros(len(keys), np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([k for k, _ in kinds]))), pa.array(np.concatenate([c for _, c in kinds]).astype(np.int8))], ["key", "n"])
 
-    counts = rows.select("text").mapInArrow(key_counts, "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where("n <> 1")
+    counts = rows.select("text").mapInArrow(frugal(key_counts), "key long, n byte").groupBy("key").agg(F.sum("n").alias("n")).where("n <> 1")
     counts = scratch.table(counts, "counts")
     shared = presence(counts.where("n > 1"), "key", None)
     odd = counts.where("n = 0")
@@ -323,7 +323,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 owner, keys = np.concatenate([owner, few[at]]), np.concatenate([keys, more[at]])
             yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(s.n[owner], pa.int64()), pa.array(signed(s.sig[owner])), pa.array(signed(keys))], ["doc_id", "n", "sig", "key"])
 
-    told = scratch.table(rows.mapInArrow(signatures, "doc_id long, n long, sig long, key long"), "signatures")
+    told = scratch.table(rows.mapInArrow(frugal(signatures), "doc_id long, n long, sig long, key long"), "signatures")
     scratch.drop(counts)
     everyone = scratch.table(told.where("key is not null").select("key", "sig", "n").distinct(), "members")
     sizes = scratch.table(everyone.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
@@ -355,7 +355,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     parts = [np.bincount((p >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.uint32) for p in parts]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([p.tobytes() for p in parts], pa.binary())], ["sig", "content"])
 
-        return rows.mapInArrow(run, "sig long, content binary").dropDuplicates(["sig"]).select("sig", F.col("content").alias("tokens" if whole else "counts"))
+        return rows.mapInArrow(frugal(run), "sig long, content binary").dropDuplicates(["sig"]).select("sig", F.col("content").alias("tokens" if whole else "counts"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, a table; a in one pair each, or in few."""
@@ -429,7 +429,7 @@ def keep_one(docs: DataFrame, words: int = WORDS + 1, percent: int = 80) -> Data
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(s.sig), mask=s.n == 0)], [*part.schema.names, sig_])
 
     text = next(c for c in docs.columns if c.lower() == "text")
-    keyed = docs.mapInArrow(marked, T.StructType([*docs.schema.fields, T.StructField(sig_, T.LongType())]))
+    keyed = docs.mapInArrow(frugal(marked), T.StructType([*docs.schema.fields, T.StructField(sig_, T.LongType())]))
     keyed = keyed.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), row_: F.when(F.col(sig_).isNull(), F.monotonically_increasing_id())})
     kept = keyed.join(gone.hint("shuffle_hash"), [id_, sig_], "left_anti").dropDuplicates([id_, sig_, row_])
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

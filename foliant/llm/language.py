@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import frugal
+
 from .toxicity import learnable
 
 #: Hashed letter trigrams, smoothing, the cost of changing language between words, words a Viterbi block.
@@ -191,7 +193,7 @@ def fit(docs: DataFrame) -> Model:
                 at = np.flatnonzero(s)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at], pa.int64())], ["lang", "slot", "n"])
 
-    got = rows.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
+    got = rows.mapInArrow(frugal(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique())
     table = np.zeros((BUCKETS + len(SCRIPTS), max(1, len(languages))))
     if languages:
@@ -218,4 +220,4 @@ def identify(docs: DataFrame) -> DataFrame:
                     whole += part
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64())], ["doc_id", "held_out", "lang_pred", "score", "n_spans"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, lang_pred string, score double, n_spans long")

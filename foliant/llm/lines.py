@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, components, fresh, mix, powers, presence, present, ranges, signed
+from .common import Scratch, components, fresh, frugal, mix, powers, presence, present, ranges, signed
 from .tokens import Tokens, runs, tag
 
 #: Words that a line must have to count; edit similarity of duplicates.
@@ -324,7 +324,7 @@ def _shared(classes: DataFrame) -> DataFrame:
             held = keys[np.concatenate([[True], ~again])] if len(keys) else keys
         yield pa.RecordBatch.from_arrays([pa.array(signed(seen))], ["key"])
 
-    return classes.select("sim", *_PACKED).mapInArrow(packed, "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(run, "key long")
+    return classes.select("sim", *_PACKED).mapInArrow(frugal(packed), "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(frugal(run), "key long")
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
@@ -388,7 +388,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
 
     names = ["id", "tag", "number", "line", "slot", "size", "sim", "more", *_PACKED]
     kinds = ", ".join(f"{n} int" if n == "number" else f"{n} long" for n in names)
-    found = scratch.table(rows.mapInArrow(signed_lines, kinds), "found")
+    found = scratch.table(rows.mapInArrow(frugal(signed_lines), kinds), "found")
     classes = found.groupBy("line").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("slot", "size", "sim", "more", *_PACKED)))
     classes = scratch.table(classes, "classes")
     shared = presence(scratch.table(_shared(classes), "shared"), "key", None)
@@ -400,7 +400,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             rows = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(b.column(c).take(rows) for c in ("line", "size", "sim", "more"))], ["key", "line", "size", "sim", "more"])
 
-    members = scratch.table(classes.select("line", "size", "sim", "more", *_PACKED).mapInArrow(sharing, "key long, line long, size long, sim long, more long"), "members")
+    members = scratch.table(classes.select("line", "size", "sim", "more", *_PACKED).mapInArrow(frugal(sharing), "key long, line long, size long, sim long, more long"), "members")
     buckets = scratch.table(members.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
     leaders = members.join(buckets.hint("shuffle_hash"), "key")
     crowded = scratch.table(leaders.where("n > 2").select("key", "line", "size", "sim", "more", "first"), "crowded")
@@ -427,7 +427,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
                 t = x.tokens
                 yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array([t.text(t.line_start[k], t.line_end[k]) for k in x.line], pa.string())], ["line", "words"])
 
-    words = scratch.table(rows.mapInArrow(spoken, "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
+    words = scratch.table(rows.mapInArrow(frugal(spoken), "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
 
     def verified(batches):
         for b in batches:
@@ -441,9 +441,9 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             for b in batches:
                 yield b.filter(pa.array(present(told.value, b.column("line").to_numpy(zero_copy_only=False).view(np.uint64))))
 
-        spoke = words.mapInArrow(needed, words.schema)
+        spoke = words.mapInArrow(frugal(needed), words.schema)
         one, other = (spoke.select(F.col("line").alias(c), F.col("words").alias(w)) for c, w in ("ap", "bq"))
-        return scratch.table(near.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(verified, "a long, b long"), "edges")
+        return scratch.table(near.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(frugal(verified), "a long, b long"), "edges")
 
     edges = alike_pairs(near)
     for nearest in (True, False):

@@ -9,6 +9,8 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import frugal
+
 #: Tokens of a sequence; room in a full bin below which it is padded rather than topped up; the id that ends a document.
 CAPACITY, LEAST_ROOM, END_ID = 1024, 16, 0
 #: Where pieces between single spaces aren't the pre-tokenizer's own pieces.
@@ -161,4 +163,4 @@ def pack(docs: DataFrame, vocabulary: str, pattern: str, specials: dict[str, int
         bins.close()
         yield done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in _COLUMNS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), ", ".join(f"{n} {t}" for n, t, _ in _COLUMNS))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BITMAP_BITS, INVERSE, MULTIPLIER, Scratch, bit_set, mix, powers, presence, present, signed, slices, span_hash, utf8, window_minima
+from .common import BITMAP_BITS, INVERSE, MULTIPLIER, Scratch, bit_set, frugal, mix, powers, presence, present, signed, slices, span_hash, utf8, window_minima
 
 #: Length of strings that count as repeats, and of the rolling hash that cuts phrases.
 LENGTH, TRIGGER = 100, 32
@@ -174,7 +174,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Da
                 grams, n = np.unique(p.gram, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(grams)), pa.array(np.minimum(n, 2).astype(np.int8))], ["gram", "n"])
 
-    seen = rows.mapInArrow(triggers, "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
+    seen = rows.mapInArrow(frugal(triggers), "gram long, n byte").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1").select("gram")
     marks = [presence(scratch.table(seen, "seen"), "gram", None)]
     out = None
     for level in range(3):
@@ -191,7 +191,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> Da
                 if len(u.doc):
                     yield p.rows(u)
 
-        found = scratch.table(rows.mapInArrow(units, _ROWS), "units")
+        found = scratch.table(rows.mapInArrow(frugal(units), _ROWS), "units")
         units_ = ["group", "unit", "check"]
         firsts = found.where("unit is not null").groupBy(*units_).agg(F.min(F.struct("id", "tag", "first")).alias("one"), F.count("*").alias("n"))
         firsts = scratch.table(firsts, "firsts")
@@ -241,4 +241,4 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER)
                 out.append((doc, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(frugal(strip), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

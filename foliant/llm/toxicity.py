@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, present, presence
+from .common import Scratch, frugal, presence, present
 
 #: Labelled rows that the label model and the classifier are fitted on at most, those of the smallest hashed doc_id.
 FIT_ROWS = 20_000
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             yield b.filter(pa.array(present(marked.value, b.column("key").to_numpy(zero_copy_only=False).view(np.uint64)))).select(["doc_id", "text"])
 
-    known = rows.mapInArrow(labelled, "doc_id long, text string").join(marks.hint("merge"), "doc_id")
+    known = rows.mapInArrow(frugal(labelled), "doc_id long, text string").join(marks.hint("merge"), "doc_id")
 
     def count(batches):
         for b in batches:
@@ -212,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(all_)), pa.array([one[k] for k in all_], pa.int64()), pa.array(list(all_.values()), pa.int64())], ["entry", "ones", "n"])
 
     known = scratch.table(known.select("doc_id", "text", "toxic"), "known")
-    found = known.select("text", "toxic").distinct().mapInArrow(count, "entry string, ones long, n long").groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
+    found = known.select("text", "toxic").distinct().mapInArrow(frugal(count), "entry string, ones long, n long").groupBy("entry").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n"))
     total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("ones")).first()
     if not total.n or not total.ones or total.ones == total.n:
         scratch.drop(known)
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 got = [blank.votes(t) for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.int32()), pa.array([g[2] for g in got], pa.int32())], ["toxic", "hits", "matched", "words"])
 
-        return sample.mapInArrow(vote, "toxic int, hits array<int>, matched int, words int").collect()
+        return sample.mapInArrow(frugal(vote), "toxic int, hits array<int>, matched int, words int").collect()
 
     names = [r.entry for r in picked]
     chosen = cover(collected({e: k for k, e in enumerate(names)}), len(names))
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array([m.score(t or "") for t in b.column("text").to_pylist()], pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(~learnable(), F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return rows.mapInArrow(frugal(run), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def spark_broadcast(df: DataFrame, value):
@@ -285,4 +285,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([model.value.score(t or "") < THRESHOLD for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

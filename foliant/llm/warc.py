@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: An archive is closed once its payloads reach this; it bounds a normaliser's task.
@@ -130,7 +130,7 @@ def write_archives(pages: DataFrame, base: str, roll: int = ROLL_BYTES) -> DataF
         if out is not None:
             close()
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, sha string, n_bytes long, archive string, ordinal long, part long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(frugal(run), "page_id long, sha string, n_bytes long, archive string, ordinal long, part long")
 
 
 def revisits(written: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -170,7 +170,7 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
                 done.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["archive"])
 
-    return archives.mapInArrow(run, "archive string")
+    return archives.mapInArrow(frugal(run), "archive string")
 
 
 def read_archives(archives: DataFrame, base: str) -> DataFrame:
@@ -198,7 +198,7 @@ def read_archives(archives: DataFrame, base: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), columns, strict=True)], [c for c, _ in columns])
 
-    return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long")
+    return archives.mapInArrow(frugal(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, record_offset long")
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, roll: int = ROLL_BYTES) -> DataFrame:

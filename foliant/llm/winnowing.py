@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, neighbour_partitions, powers, ranges, window_minima
+from .common import frugal, mix, neighbour_partitions, powers, ranges, window_minima
 
 #: A run of GRAM + WINDOW - 1 equal letters and digits always shares a fingerprint. A text with fewer grams than a
 #: window is one window.
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
             got = [winnow(t, gram, window) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g[0].view(np.int64) for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["doc_id", "hashes", "positions"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, hashes array<long>, positions array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id long, hashes array<long>, positions array<long>")
 
 
 def neighbour_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -149,7 +149,7 @@ def neighbour_report(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
         if out:
             yield _batch(out)
 
-    return dealt.select("doc_id", "text", "key_", "role_").mapInArrow(run, ", ".join(f"{n} {t}" for n, t, _ in _COLUMNS))
+    return dealt.select("doc_id", "text", "key_", "role_").mapInArrow(frugal(run), ", ".join(f"{n} {t}" for n, t, _ in _COLUMNS))
 
 
 _COLUMNS = [("doc_id", "long", pa.int64()), ("n_chars", "long", pa.int64()), ("edited_sha256", "string", pa.string()), ("fingerprint", "string", pa.string()), ("edited_fingerprint", "string", pa.string()), ("near_edited", "double", pa.float64()), ("near_next", "double", pa.float64())]
