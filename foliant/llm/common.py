@@ -125,6 +125,19 @@ def frugal(run: Callable) -> Callable:
     return kept_small
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches laid together up to so many bytes, for work that is done side by side."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def slices(column: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most so many bytes, one row at least."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, components, fresh, frugal, mix, powers, presence, present, ranges, signed
+from .common import Scratch, components, fresh, frugal, gathered, mix, powers, presence, present, ranges, signed
 from .tokens import Tokens, runs, tag
 
 #: Words that a line must have to count; edit similarity of duplicates.
@@ -236,6 +236,8 @@ def alike_rows(p: list[str], q: list[str], least: float = SIMILARITY) -> np.ndar
 
 #: Characters of a chunk of pairs, and words of its table of places.
 _CELLS, _MASKS = 1 << 20, 1 << 21
+#: Bytes of pairs that are verified together.
+_TOGETHER = 16 << 20
 
 
 def _within(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
@@ -430,7 +432,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     words = scratch.table(rows.mapInArrow(frugal(spoken), "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
 
     def verified(batches):
-        for b in batches:
+        for b in gathered(batches, _TOGETHER):
             ok = alike_rows(b.column("p").to_pylist(), b.column("q").to_pylist(), similarity)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
