@@ -418,18 +418,29 @@ def keep_one(docs: DataFrame, words: int = WORDS + 1, percent: int = 80) -> Data
     apart by doc_id and signature, so a row never goes for the sake of another row of its doc_id.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    id_, sig_, row_ = fresh(docs, "id", "sig", "row")
-    texts = _linked(docs.select("doc_id", "text"), words, percent).where("n > 0").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "sig", "component").distinct()
+    id_, sig_ = fresh(docs, "id", "sig")
+    texts = _linked(docs.select("doc_id", "text"), words, percent).where("n > 0")
+    texts = texts.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("doc_id").isNull().alias("no_id"), "sig", "component").agg(F.count("*").alias("rows"))
     texts = scratch.table(texts, "texts")
     stays = scratch.table(texts.groupBy("component").agg(F.min(F.struct("no_id", "id", "sig")).alias("stays"), F.count("*").alias("n")).where("n > 1"), "stays")
-    gone = texts.join(stays, "component").where((F.col("id") != F.col("stays.id")) | (F.col("sig") != F.col("stays.sig"))).select(F.col("id").alias(id_), F.col("sig").alias(sig_))
-
-    def marked(batches):
-        for part, s in _sets(batches, words, text):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(signed(s.sig), mask=s.n == 0)], [*part.schema.names, sig_])
-
-    text = next(c for c in docs.columns if c.lower() == "text")
-    keyed = docs.mapInArrow(frugal(marked), T.StructType([*docs.schema.fields, T.StructField(sig_, T.LongType())]))
-    keyed = keyed.withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), row_: F.when(F.col(sig_).isNull(), F.monotonically_increasing_id())})
-    kept = keyed.join(gone.hint("shuffle_hash"), [id_, sig_], "left_anti").dropDuplicates([id_, sig_, row_])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = texts.join(stays, "component").where((F.col("id") != F.col("stays.id")) | (F.col("sig") != F.col("stays.sig"))).select("id", "sig")
+    gone = scratch.table(gone, "gone")
+    # only rows that may go or stand more than once are dealt out; the others stay where they are
+    doubtful = gone.union(texts.where("rows > 1").select("id", "sig")).select(F.col("sig").bitwiseXOR(F.shiftleft("id", 40)).alias("key"))
+    doubt = presence(scratch.table(doubtful, "doubtful"), "key", None)
+    text, key = (next(c for c in docs.columns if c.lower() == name) for name in ("text", "doc_id"))
+
+    def marked(doubted: bool):
+        def run(batches):
+            for part, s in _sets(batches, words, text):
+                ids = pc.fill_null(part.column(key).cast(pa.int64()), _NO_ID).to_numpy(zero_copy_only=False).view(np.uint64)
+                mine = pa.array(np.flatnonzero(((s.n > 0) & present(doubt.value, s.sig ^ (ids << np.uint64(40)))) == doubted))
+                kept = part.take(mine)
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(signed(s.sig)).take(mine)], [*part.schema.names, sig_])
+
+        return docs.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, T.StructField(sig_, T.LongType())]))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    looked_at = marked(True).withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    kept = looked_at.join(gone.select(F.col("id").alias(id_), F.col("sig").alias(sig_)).hint("shuffle_hash"), [id_, sig_], "left_anti").dropDuplicates([id_, sig_])
+    return marked(False).select(*columns).unionAll(kept.select(*columns))
