@@ -124,6 +124,28 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, text: str = "text") ->
             yield part, Sets(part.column(text), words)
 
 
+def pack(hashes: np.ndarray) -> bytes:
+    """The count vector of a set: half a byte a coordinate, where a count needs more one byte, else four."""
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES)
+    most = counts.max()
+    if most < 16:
+        return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
+    return counts.astype(np.uint8 if most < 256 else np.uint32).tobytes()
+
+
+def unpack(column: pa.Array) -> np.ndarray:
+    """The count vectors of pack(), a row each."""
+    packed = column.to_pylist()
+    size, out = np.array([len(x) for x in packed], np.int64), np.zeros((len(packed), COORDINATES), np.int64)
+    for width, kind in ((COORDINATES // 2, np.uint8), (COORDINATES, np.uint8), (4 * COORDINATES, np.uint32)):
+        at = np.flatnonzero(size == width)
+        some = np.frombuffer(b"".join(packed[i] for i in at), kind)
+        if width < COORDINATES:
+            some = np.column_stack([some & 15, some >> 4])
+        out[at] = some.reshape(-1, COORDINATES)
+    return out
+
+
 def least_overlap(a, b, percent: int):
     """Least intersection of linked sets of these sizes: 100 i >= percent (a + b - i)."""
     return -(-percent * (a + b) // (100 + percent))
@@ -194,7 +216,8 @@ def bucket_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """a, b, near for pairs of a bucket in unlike components that the count bound leaves; members: key, block, looks, sig, component, counts.
 
     A bucket's rows that look for partners are dealt into blocks of BLOCK; each block meets all of its bucket.
-    nearest: of the pairs of a row with a component only the one with the greatest bound.
+    nearest: of the pairs of a row with a component only the one with the greatest bound; a block that held more
+    also gives a row with its key alone.
     """
 
     def run(batches):
@@ -212,15 +235,19 @@ def bucket_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
                 part = slice(first, first + n)
                 got += [(i + first, j + first) for i, j in block_pairs(points[part], looks[part], component[part], percent)]
             i, j = (np.concatenate([g[c] for g in got]).astype(np.int64) if got else np.zeros(0, np.int64) for c in range(2))
-            near = np.minimum(points[i], points[j]).sum(1)
+            near, left = np.minimum(points[i], points[j]).sum(1), key[:0]
             if nearest and len(i):
                 keep = nearest_pairs(i, j, near, component)
+                out = np.ones(len(i), bool)
+                out[keep] = False
+                left = np.unique(key[i[out]])
                 i, j, near = i[keep], j[keep], near[keep]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(sig[i], sig[j])), pa.array(np.maximum(sig[i], sig[j])), pa.array(near.astype(np.int64))], ["a", "b", "near"])
+            ends, none = [np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), near.astype(np.int64)], pa.nulls(len(left), pa.int64())
+            return pa.RecordBatch.from_arrays([*(pa.concat_arrays([pa.array(c), none]) for c in ends), pa.concat_arrays([pa.nulls(len(i), pa.int64()), pa.array(left)])], ["a", "b", "near", "key"])
 
         for b in batches:
             now = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "sig", "component", "looks")]
-            now.append(np.frombuffer(b"".join(b.column("counts").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64))
+            now.append(unpack(b.column("counts")))
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if not len(held[0]):
                 continue
@@ -233,7 +260,7 @@ def bucket_pairs(members: DataFrame, percent: int, nearest: bool) -> DataFrame:
             yield done(held)
 
     dealt = members.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(frugal(run), "a long, b long, near long")
+    return dealt.mapInArrow(frugal(run), "a long, b long, near long, key long")
 
 
 def among(sets: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -256,7 +283,7 @@ def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.int64) for c in ("x", "y"))
+            one, other = (unpack(batch.column(c)) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array(np.minimum(one, other).sum(1) >= least_overlap(one.sum(1), other.sum(1), percent)))
 
     one, other = (vectors.select(F.col("sig").alias(c), F.col("counts").alias(v)) for c, v in ("ax", "by"))
@@ -312,8 +339,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def signatures(batches):
         for part, s in _sets(batches, words):
-            none, own = pa.nulls(len(part), pa.int64()), s.distinct()
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.n, pa.int64()), pa.array(signed(s.sig)), none], ["doc_id", "n", "sig", "key"])
+            own = s.distinct()
             owner, keys, _ = s.keys(own, percent)
             at = present(shared.value, keys)
             owner, keys = owner[at], keys[at]
@@ -321,9 +347,15 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 few, more = s.least(own, percent)
                 at = present(odd.value, more)
                 owner, keys = np.concatenate([owner, few[at]]), np.concatenate([keys, more[at]])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(s.n[owner], pa.int64()), pa.array(signed(s.sig[owner])), pa.array(signed(keys))], ["doc_id", "n", "sig", "key"])
-
-    told = scratch.table(rows.mapInArrow(frugal(signatures), "doc_id long, n long, sig long, key long"), "signatures")
+            counts = [None] * len(part)
+            for i in np.unique(owner).tolist():
+                counts[i] = pack(s.hash[s.first[i] : s.first[i] + s.n[i]])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s.n, pa.int64()), pa.array(signed(s.sig)), pa.nulls(len(part), pa.int64()), pa.array(counts, pa.binary())], names)
+            none = [pa.nulls(len(keys), kind) for kind in (pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([none[0], pa.array(s.n[owner], pa.int64()), pa.array(signed(s.sig[owner])), pa.array(signed(keys)), none[1]], names)
+
+    names = ["doc_id", "n", "sig", "key", "counts"]
+    told = scratch.table(rows.mapInArrow(frugal(signatures), "doc_id long, n long, sig long, key long, counts binary"), "signatures")
     scratch.drop(counts)
     everyone = scratch.table(told.where("key is not null").select("key", "sig", "n").distinct(), "members")
     sizes = scratch.table(everyone.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
@@ -340,9 +372,9 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     firsts = told.where("key is null and n > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")).join(weight, "sig", "left_semi")
     firsts = scratch.table(firsts, "firsts")
 
-    def fetch(sigs: DataFrame, whole: bool) -> DataFrame:
-        """sig and its count vector, or its whole set as tokens, of the given sigs and some others."""
-        told_by = firsts.join(sigs, "sig", "left_semi") if whole else firsts
+    def fetch(sigs: DataFrame) -> DataFrame:
+        """sig and its whole set as tokens, of the given sigs and some others."""
+        told_by = firsts.join(sigs, "sig", "left_semi")
         wanted = presence(scratch.table(told_by.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("key")), "wanted"), "key", None)
 
         def run(batches):
@@ -350,49 +382,52 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 mine = np.flatnonzero(s.n)
                 ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
                 mine = mine[present(wanted.value, s.sig[mine] ^ (ids[mine] << np.uint64(40)))]
-                parts = [s.hash[s.first[i] : s.first[i] + s.n[i]] for i in mine]
-                if not whole:
-                    parts = [np.bincount((p >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES).astype(np.uint32) for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([p.tobytes() for p in parts], pa.binary())], ["sig", "content"])
+                parts = [s.hash[s.first[i] : s.first[i] + s.n[i]].tobytes() for i in mine]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array(parts, pa.binary())], ["sig", "tokens"])
 
-        return rows.mapInArrow(frugal(run), "sig long, content binary").dropDuplicates(["sig"]).select("sig", F.col("content").alias("tokens" if whole else "counts"))
+        return rows.mapInArrow(frugal(run), "sig long, tokens binary").dropDuplicates(["sig"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link, a table; a in one pair each, or in few."""
         both = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        sets = scratch.table(fetch(both, True).join(pairs.select(F.col("a").alias("sig"), "b"), "sig", "left"), "sets")  # dealt by sig once
+        sets = scratch.table(fetch(both).join(pairs.select(F.col("a").alias("sig"), "b"), "sig", "left"), "sets")  # dealt by sig once
         spokes = sets.where("b is not null").select(F.col("sig").alias("a"), "b", F.col("tokens").alias("a_tokens"))
         centres = among(sets.select("sig", "tokens"), pairs.select(F.col("b").alias("sig"))).dropDuplicates(["sig"]).select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens"))
         found = scratch.table(overlapping(spokes, centres, percent), "edges")
         scratch.drop(sets)
         return found
 
-    vectors = scratch.table(fetch(firsts, False), "vectors")
+    vectors = told.where("counts is not null").select("sig", "counts").dropDuplicates(["sig"]).join(weight, "sig", "left_semi")
+    vectors = scratch.table(vectors, "vectors")
     edges = verified(scratch.table(bounded(stars, vectors, percent), "near"))
 
     def labelled(edges):
         return components(scratch, edges).withColumnRenamed("node", "sig")
 
-    def apart(labels: DataFrame, nearest: bool) -> DataFrame:
-        """a, b, near of classes that share a bucket and no component, as far as the bound leaves them."""
+    def apart(members: DataFrame, labels: DataFrame, nearest: bool) -> DataFrame:
+        """a, b, near of classes that share a bucket and no component, as far as the bound leaves them, and the keys of buckets that held more."""
         placed = scratch.table(members.join(labels, "sig", "left").select("key", "sig", F.coalesce("component", "sig").alias("component")), "placed")
         parts = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("main.n < size")
         mixed = scratch.table(parts.select("key", F.col("main.component").alias("main"), F.ceil((F.col("size") - F.col("main.n")) / BLOCK).cast("int").alias("blocks")), "mixed")
         own = F.when(F.col("component") != F.col("main"), F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
         looking = placed.join(mixed, "key").withColumn("own", own).join(vectors, "sig")
         looking = looking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", "block", "sig", "component", "counts", F.coalesce(F.col("own") == F.col("block"), F.lit(False)).alias("looks"))
-        pairs = scratch.table(bucket_pairs(looking, percent, nearest).groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
+        pairs = scratch.table(bucket_pairs(looking, percent, nearest).groupBy("a", "b", "key").agg(F.max("near").alias("near")), "pairs")
         scratch.drop(placed, mixed)
         return pairs
 
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    searched = members
     for nearest in (True, False):
-        labels = labelled(edges)
-        pairs = apart(labels, nearest)
-        new = scratch.table(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
-        if pairs.isEmpty():
+        pairs = apart(searched, labelled(edges), nearest)
+        new = scratch.table(pairs.where("key is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            edges, tried = edges.union(verified(new)), tried.union(new)
+        # a bucket that gave all of its pairs has nothing left to find, as components only grow
+        left = pairs.where("key is not null").select("key").distinct()
+        if left.isEmpty():
             break
-        edges, tried = edges.union(verified(new)), tried.union(new)
+        searched = members.join(left, "key", "left_semi")
     labels = labelled(edges)
     scratch.drop(members, vectors)
     texts = told.where("key is null").select("doc_id", "n", "sig")

@@ -5,6 +5,8 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -319,3 +321,25 @@ def test_pipeline(spark, tmp_path):
     assert {0, 4, 5} <= left and not left & {1, 2, 3, 12, 16}
     assert all(i in left for i in range(10, 210) if i % 4)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} >= left
+
+
+def test_count_vectors_pack():
+    """Small sets take half a byte a coordinate, larger counts one byte or four, and all come back."""
+    rng = np.random.default_rng(5)
+    sets = [rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (1, 300, 9000)] + [np.full(70000, 1 << 20, np.uint64)]
+    packed = [jaccard.pack(s) for s in sets]
+    assert [len(p) for p in packed] == [64, 64, 128, 512]
+    want = [np.bincount((s >> np.uint64(20)).astype(np.int64) % jaccard.COORDINATES, minlength=jaccard.COORDINATES) for s in sets]
+    assert (jaccard.unpack(pa.array(packed)) == np.array(want)).all()
+    assert jaccard.unpack(pa.array([], pa.binary())).shape == (0, jaccard.COORDINATES)
+
+
+def test_only_buckets_that_held_more_are_searched_again(spark):
+    """Bucket 1 has one pair, which is told; bucket 2 has four, of which one is the nearest of neither row."""
+    base = np.arange(1, 101, dtype=np.uint64) << np.uint64(20)
+    full, less, other = (bytearray(jaccard.pack(x)) for x in (base, base[:95], base[5:]))
+    rows = [(1, 0, 1, 1, full, False), (1, 0, 2, 2, full, True), (2, 0, 3, 3, full, False), (2, 0, 4, 3, less, False), (2, 0, 5, 5, full, True), (2, 0, 6, 5, other, True)]
+    members = spark.createDataFrame(rows, "key long, block int, sig long, component long, counts binary, looks boolean")
+    told = {(1, 2, None), (3, 5, None), (3, 6, None), (4, 5, None)}
+    assert {(r.a, r.b, r.key) for r in jaccard.bucket_pairs(members, 85, True).collect()} == told | {(None, None, 2)}
+    assert {(r.a, r.b, r.key) for r in jaccard.bucket_pairs(members, 85, False).collect()} == told | {(4, 6, None)}
