@@ -15,6 +15,8 @@ WORDS, PERCENT = 4, 85
 _NO_ID = -(1 << 63)
 #: Bytes handled at once; coordinates of a count vector; children of a tree node; members of a bucket that look for partners together.
 STEP, COORDINATES, FANOUT, BLOCK = 1 << 18, 128, 16, 1024
+#: Coordinates that bound pairs of large sets once more before whole sets are sent for each pair; pairs bounded at once.
+FINE, AT_ONCE = 4096, 256
 #: Sets smaller than 2**SINGLES have a group for each token; larger ones SPREAD groups for each of the size class's greatest size.
 SINGLES, SPREAD = 4, 0.3
 
@@ -124,25 +126,25 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int, text: str = "text") ->
             yield part, Sets(part.column(text), words)
 
 
-def pack(hashes: np.ndarray) -> bytes:
+def pack(hashes: np.ndarray, coordinates: int = COORDINATES) -> bytes:
     """The count vector of a set: half a byte a coordinate, where a count needs more one byte, else four."""
-    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % COORDINATES, minlength=COORDINATES)
+    counts = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % coordinates, minlength=coordinates)
     most = counts.max()
     if most < 16:
         return (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
     return counts.astype(np.uint8 if most < 256 else np.uint32).tobytes()
 
 
-def unpack(column: pa.Array) -> np.ndarray:
+def unpack(column: pa.Array, coordinates: int = COORDINATES) -> np.ndarray:
     """The count vectors of pack(), a row each."""
     packed = column.to_pylist()
-    size, out = np.array([len(x) for x in packed], np.int64), np.zeros((len(packed), COORDINATES), np.int64)
-    for width, kind in ((COORDINATES // 2, np.uint8), (COORDINATES, np.uint8), (4 * COORDINATES, np.uint32)):
+    size, out = np.array([len(x) for x in packed], np.int64), np.zeros((len(packed), coordinates), np.int64)
+    for width, kind in ((coordinates // 2, np.uint8), (coordinates, np.uint8), (4 * coordinates, np.uint32)):
         at = np.flatnonzero(size == width)
         some = np.frombuffer(b"".join(packed[i] for i in at), kind)
-        if width < COORDINATES:
+        if width < coordinates:
             some = np.column_stack([some & 15, some >> 4])
-        out[at] = some.reshape(-1, COORDINATES)
+        out[at] = some.reshape(-1, coordinates)
     return out
 
 
@@ -278,12 +280,12 @@ def _arrays(column: pa.Array, kind: type) -> list[np.ndarray]:
     return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
-def bounded(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+def bounded(pairs: DataFrame, vectors: DataFrame, percent: int, coordinates: int = COORDINATES) -> DataFrame:
     """The pairs a, b whose count vectors' summed minima reach the least overlap."""
 
     def run(batches):
-        for batch in batches:
-            one, other = (unpack(batch.column(c)) for c in ("x", "y"))
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, len(b), AT_ONCE)):
+            one, other = (unpack(batch.column(c), coordinates) for c in ("x", "y"))
             yield batch.select(["a", "b"]).filter(pa.array(np.minimum(one, other).sum(1) >= least_overlap(one.sum(1), other.sum(1), percent)))
 
     one, other = (vectors.select(F.col("sig").alias(c), F.col("counts").alias(v)) for c, v in ("ax", "by"))
@@ -372,8 +374,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     firsts = told.where("key is null and n > 0").groupBy("sig").agg(F.coalesce(F.min("doc_id"), F.lit(0)).alias("doc_id")).join(weight, "sig", "left_semi")
     firsts = scratch.table(firsts, "firsts")
 
-    def fetch(sigs: DataFrame) -> DataFrame:
-        """sig and its whole set as tokens, of the given sigs and some others."""
+    def fetch(sigs: DataFrame, fine: bool) -> DataFrame:
+        """sig and its whole set as tokens, if fine also its count vector of FINE coordinates, of the given sigs and some others."""
         told_by = firsts.join(sigs, "sig", "left_semi")
         wanted = presence(scratch.table(told_by.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("key")), "wanted"), "key", None)
 
@@ -382,15 +384,24 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 mine = np.flatnonzero(s.n)
                 ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
                 mine = mine[present(wanted.value, s.sig[mine] ^ (ids[mine] << np.uint64(40)))]
-                parts = [s.hash[s.first[i] : s.first[i] + s.n[i]].tobytes() for i in mine]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array(parts, pa.binary())], ["sig", "tokens"])
+                parts = [s.hash[s.first[i] : s.first[i] + s.n[i]] for i in mine]
+                counts = [pack(p, FINE) if fine else None for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(counts, pa.binary())], ["sig", "tokens", "counts"])
 
-        return rows.mapInArrow(frugal(run), "sig long, tokens binary").dropDuplicates(["sig"])
+        return rows.mapInArrow(frugal(run), "sig long, tokens binary, counts binary").dropDuplicates(["sig"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, a table; a in one pair each, or in few."""
+    def verified(pairs: DataFrame, many: bool) -> DataFrame:
+        """The pairs that link, a table; a in one pair each, or in many: then finer vectors bound the pairs before whole sets go with each."""
         both = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        sets = scratch.table(fetch(both).join(pairs.select(F.col("a").alias("sig"), "b"), "sig", "left"), "sets")  # dealt by sig once
+        fetched = fetch(both, many)
+        if many:
+            whole = scratch.table(fetched, "whole")
+            pairs = scratch.table(bounded(pairs, whole.select("sig", "counts"), percent, FINE), "close")
+            fetched = among(whole.select("sig", "tokens"), pairs.select(F.explode(F.array("a", "b")).alias("sig")))
+        sets = fetched.select("sig", "tokens").join(pairs.select(F.col("a").alias("sig"), "b"), "sig", "left")
+        sets = scratch.table(sets, "sets")  # dealt by sig once
+        if many:
+            scratch.drop(whole)
         spokes = sets.where("b is not null").select(F.col("sig").alias("a"), "b", F.col("tokens").alias("a_tokens"))
         centres = among(sets.select("sig", "tokens"), pairs.select(F.col("b").alias("sig"))).dropDuplicates(["sig"]).select(F.col("sig").alias("b"), F.col("tokens").alias("b_tokens"))
         found = scratch.table(overlapping(spokes, centres, percent), "edges")
@@ -399,7 +410,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     vectors = told.where("counts is not null").select("sig", "counts").dropDuplicates(["sig"]).join(weight, "sig", "left_semi")
     vectors = scratch.table(vectors, "vectors")
-    edges = verified(scratch.table(bounded(stars, vectors, percent), "near"))
+    edges = verified(scratch.table(bounded(stars, vectors, percent), "near"), False)
 
     def labelled(edges):
         return components(scratch, edges).withColumnRenamed("node", "sig")
@@ -422,7 +433,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         pairs = apart(searched, labelled(edges), nearest)
         new = scratch.table(pairs.where("key is null").select("a", "b").join(tried, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():
-            edges, tried = edges.union(verified(new)), tried.union(new)
+            edges, tried = edges.union(verified(new, True)), tried.union(new)
         # a bucket that gave all of its pairs has nothing left to find, as components only grow
         left = pairs.where("key is not null").select("key").distinct()
         if left.isEmpty():

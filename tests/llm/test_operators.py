@@ -343,3 +343,17 @@ def test_only_buckets_that_held_more_are_searched_again(spark):
     told = {(1, 2, None), (3, 5, None), (3, 6, None), (4, 5, None)}
     assert {(r.a, r.b, r.key) for r in jaccard.bucket_pairs(members, 85, True).collect()} == told | {(None, None, 2)}
     assert {(r.a, r.b, r.key) for r in jaccard.bucket_pairs(members, 85, False).collect()} == told | {(4, 6, None)}
+
+
+def test_finer_vectors_bound_large_unlike_sets():
+    """The bound of FINE coordinates rules out large unlike sets far more clearly than that of few; a set that links always passes."""
+    rng = np.random.default_rng(6)
+    one, other = (rng.integers(0, 1 << 63, 3000).astype(np.uint64) for _ in range(2))
+    like = np.concatenate([one[:2800], other[:200]])
+
+    def bound(a, b, n):
+        return np.minimum(*jaccard.unpack(pa.array([jaccard.pack(a, n), jaccard.pack(b, n)]), n)).sum()
+
+    least = jaccard.least_overlap(3000, 3000, 80)
+    assert bound(one, other, jaccard.FINE) < least / 2 and bound(one, like, jaccard.FINE) >= 2800 >= least
+    assert bound(one, other, jaccard.FINE) < bound(one, other, jaccard.COORDINATES) / 1.5
