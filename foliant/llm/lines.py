@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch, components, fresh, frugal, gathered, mix, powers, presence, present, ranges, signed
+from .jaccard import nearest_pairs
 from .tokens import Tokens, runs, tag
 
 #: Words that a line must have to count; edit similarity of duplicates.
@@ -28,6 +29,8 @@ BANDS, WIDTH = 14, 6
 FEW = 6
 #: Words that a walk over two lines looks ahead; characters beyond which q-grams are counted before edits.
 REACH, LONG = 6, 4000
+#: Lines of a group of a bucket; two groups meet in a tile.
+TILE = 256
 #: Columns after which it is seen whether an edit distance can still be small enough.
 LOOK = 32
 #: Bytes of a key when shared keys are found; keys that agree in so many only let more lines pass.
@@ -217,83 +220,108 @@ def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     return distance(a, b, most) <= most
 
 
-def alike_rows(p: list[str], q: list[str], least: float = SIMILARITY) -> np.ndarray:
-    """alike() of many pairs: edit distances side by side, a bit-parallel column of all pairs of a chunk at a time; pairs that can't be alike any more are left out."""
+def alike_rows(p: list[str], q: list[str], least: float = SIMILARITY, walked: bool = True) -> np.ndarray:
+    """alike() of many pairs; walked: a walk over the words comes first, which spares most alike pairs the rest.
+
+    Pairs of like length go side by side, a bit-parallel column of them all at a time; where there are few, one by one.
+    """
     out, sizes = np.zeros(len(p), bool), np.array([[len(x) for x in p], [len(x) for x in q]], np.int64).reshape(2, -1)
     longer = sizes.max(0, initial=0)
     most = longer - np.ceil(least * longer - 1e-9).astype(np.int64)
-    fits = longer - sizes.min(0, initial=1 << 40) <= most
-    for i in np.flatnonzero(fits & (longer > LONG)):
+    left = longer - sizes.min(0, initial=1 << 40) <= most
+    for i in np.flatnonzero(left & (longer > LONG)):
         out[i] = alike(p[i], q[i], least)
-    order = np.flatnonzero(fits & (longer <= LONG))
-    order = order[np.argsort(longer[order], kind="stable")]
-    while len(order):  # the longest pairs first, as many as _CELLS allows
-        n = int(max(1, min(len(order), _CELLS // (longer[order[-1]] + 64))))
-        at, order = order[-n:], order[:-n]
-        out[at] = _within([p[i] for i in at], [q[i] for i in at], most[at])
+    left &= longer <= LONG
+    if walked:
+        for i in np.flatnonzero(left):
+            out[i] = walk(p[i].split(" "), q[i].split(" "), int(most[i]))
+        left &= ~out
+    words = np.maximum(1, (sizes[0] + 63) >> 6)
+    words = np.where(words > 8, -(-words // 4) * 4, words)
+    order = np.flatnonzero(left)
+    order = order[np.lexsort((longer[order], words[order]))]
+    for same in np.split(order, np.flatnonzero(np.diff(words[order])) + 1):
+        for k in range(0, len(same), _ASIDE):
+            at = same[k : k + _ASIDE]
+            if len(at) < _FEWER + 8 * words[at[0]]:
+                out[at] = [distance(p[i], q[i], int(most[i])) <= most[i] for i in at]
+            else:
+                out[at] = _within([p[i] for i in at], [q[i] for i in at], most[at])
     return out
 
 
-#: Characters of a chunk of pairs, and words of its table of places.
-_CELLS, _MASKS = 1 << 20, 1 << 21
+#: Pairs that are verified side by side, at most and at least.
+_ASIDE, _FEWER = 1024, 48
 #: Bytes of pairs that are verified together.
 _TOGETHER = 16 << 20
 
 
 def _within(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
-    """Whether the edit distance of each pair is at most so many."""
+    """Whether the edit distance of each pair is at most so many.
+
+    Each p is filled up to whole words of 64 rows. Only the words within most of the diagonal are kept: those above count as
+    growing by one a column, those below by one a row, which changes no distance of at most most. A pair is left out as
+    soon as no row of its column allows so few edits.
+    """
     n, size, width = len(p), np.array([len(x) for x in p]), np.array([len(x) for x in q])
+    ok, reach = np.zeros(n, bool), int(most.max(initial=0))
     points = np.frombuffer("".join([*p, *q]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    signs, codes = np.unique(points, return_inverse=True)
-    split, words = int(size.sum()), (int(size.max(initial=0)) + 63) // 64
-    ok = np.maximum(size, width) <= most
-    live = np.flatnonzero((size > 0) & (width > 0) & ~ok)
-    ok[(size == 0) | (width == 0)] = (np.maximum(size, width) <= most)[(size == 0) | (width == 0)]
-    if not len(live):
-        return ok
-    if n > 1 and n * (len(signs) + 1) * words > _MASKS:
-        half = n // 2
-        return np.concatenate([_within(p[:half], q[:half], most[:half]), _within(p[half:], q[half:], most[half:])])
+    signs = np.flatnonzero(np.bincount(points))
+    codes = np.searchsorted(signs, points)
+    split, words = int(size.sum()), max(1, (int(size.max(initial=0)) + 63) >> 6)
     row = np.repeat(np.arange(n), size)
     place = np.arange(split) - np.repeat(np.cumsum(size) - size, size)
-    bits = np.uint64(1) << (place & 63).astype(np.uint64)
-    key = (row * (len(signs) + 1) + codes[:split]) * words + (place >> 6)  # a sign's places in a text, 64 a word; the last sign stands nowhere
-    used, slot = np.unique(key, return_inverse=True)
-    by = np.argsort(slot, kind="stable")
-    masks = np.zeros(n * (len(signs) + 1) * words, np.uint64)
-    masks[used] = np.bitwise_or.reduceat(bits[by], np.searchsorted(slot[by], np.arange(len(used))))
-    text = np.full((int(width.max()), n), len(signs), np.int64)
+    # a sign's places in a text, 64 a word; the last sign stands nowhere
+    key = ((place >> 6) * n + row) * (len(signs) + 1) + codes[:split]
+    masks = np.zeros(words * n * (len(signs) + 1), np.uint64)
+    np.bitwise_or.at(masks, key, np.uint64(1) << (place & 63).astype(np.uint64))
+    masks = masks.reshape(words, -1)
+    text = np.full((int(width.max(initial=0)) + 1, n), len(signs), np.int64)
     column = np.arange(len(points) - split) - np.repeat(np.cumsum(width) - width, width)
     text[column, np.repeat(np.arange(n), width)] = codes[split:]
-    ones, one, high = ~np.uint64(0), np.uint64(1), np.uint64(63)
-    plus, minus = np.full((words, len(live)), ones), np.zeros((words, len(live)), np.uint64)
-    score, last, bit = size[live].copy(), (size[live] - 1) >> 6, ((size[live] - 1) & 63).astype(np.uint64)
-    ends = np.bincount(width[live], minlength=len(text) + 1) > 0
+    text += np.arange(n) * (len(signs) + 1)
+    one, high = np.uint64(1), np.uint64(63)
+    live, low, top = np.arange(n), 0, min(words, (reach >> 6) + 1)  # words low to top - 1 are kept
+    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    score = np.full(n, 64 * top)  # of the last row kept
+    ends = np.bincount(width, minlength=len(text)) > 0
     for j in range(len(text)):
-        ended = ends[j]
-        if j % LOOK == 0 or ended:
-            ended = width[live] == j
-            ok[live[ended]] = score[ended] <= most[live[ended]]
-            keep = ~(ended | (score - (width[live] - j) > most[live]))
-            live, score, last, bit = live[keep], score[keep], last[keep], bit[keep]
-            plus, minus = plus[:, keep], minus[:, keep]
-            if not len(live):
-                return ok
-        base = (live * (len(signs) + 1) + text[j, live]) * words
-        up, down, least = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64), int(last.min())
-        for w in range(int(last.max()) + 1):
-            hit = masks[base + w]
-            vertical = hit | minus[w]
+        if ends[j] or j and j % LOOK == 0:
+            done = np.flatnonzero(width[live] == j)
+            steps = lambda at: np.unpackbits(np.ascontiguousarray(at.T).view(np.uint8), axis=1, bitorder="little")
+            if len(done):
+                beyond = np.arange(64 * low, 64 * top) >= size[live[done], None]
+                at = [(steps(x[low:top, done]) * beyond).sum(1, dtype=np.int64) for x in (plus, minus)]
+                ok[live[done]] = score[done] - at[0] + at[1] <= most[live[done]]
+            if j % LOOK == 0 or len(done) == len(live):
+                # after every eight rows the distance, less what the rows between may save
+                up, down = (np.bitwise_count(np.ascontiguousarray(x[low:top].T).view(np.uint8)).astype(np.int32) for x in (plus, minus))
+                fall = np.cumsum((up - down)[:, ::-1], axis=1)[:, ::-1]
+                at = np.arange(64 * low, 64 * top, 8)
+                bound = score[:, None] - fall + np.maximum(np.abs(size[live, None] - at - (width[live] - j)[:, None]) - 16, -16)
+                last = score + np.maximum(np.abs(size[live] - 64 * top - (width[live] - j)) - 16, -16)
+                keep = np.flatnonzero((width[live] > j) & (np.minimum(bound.min(1), last) <= most[live]))
+                if len(keep) < len(live):
+                    live, score, plus, minus = live[keep], score[keep], plus[:, keep], minus[:, keep]
+                if not len(live):
+                    return ok
+        while top < words and 64 * top <= j + 1 + reach:
+            score += 64
+            top += 1
+        low = max(0, min(top - 1, (j - reach) >> 6))
+        signs_at = text[j, live]
+        up, down = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
+        for w in range(low, top):
+            hit = masks[w][signs_at]
+            v, m = plus[w], minus[w]
+            vertical = hit | m
             hit |= down
-            across = (((hit & plus[w]) + plus[w]) ^ plus[w]) | hit
-            rise, fall = minus[w] | ~(across | plus[w]), plus[w] & across
-            if w >= least:
-                end = last == w
-                score[end] += ((rise[end] >> bit[end]) & one).astype(np.int64) - ((fall[end] >> bit[end]) & one).astype(np.int64)
+            across = (((hit & v) + v) ^ v) | hit
+            rise, fall = m | ~(across | v), v & across
             shifted, sunk = (rise << one) | up, (fall << one) | down
             up, down = rise >> high, fall >> high
             plus[w], minus[w] = sunk | ~(vertical | shifted), shifted & vertical
-    ok[live] = score <= most[live]
+        score += up.astype(np.int64) - down.astype(np.int64)
     return ok
 
 
@@ -343,23 +371,136 @@ def _far(a: str, b: str) -> Column:
     return F.bit_count(F.col(f"{a}_sim").bitwiseXOR(F.col(f"{b}_sim"))) + F.bit_count(F.col(f"{a}_more").bitwiseXOR(F.col(f"{b}_more")))
 
 
-def _others(crowded: DataFrame, labels: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """a, b: lines of one bucket and unlike components, of like length: all, or for each line the nearest by SimHash of each component.
+def _tiles(crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, lo, hi, own, line, component: the members of buckets of more than one component, dealt into tiles.
 
     crowded: members of buckets of three or more, with the bucket's first line, which has met all others. Only
-    lines outside its component look for partners. So a bucket that is one component costs nothing, and a hot
-    bucket meets a join that Spark can split.
+    lines outside its component look for partners. The lines that look and the others are dealt into groups of
+    about TILE, and each group of those that look meets every group in a tile of its own: no task holds more of
+    a hot bucket than two groups. A bucket of up to TILE lines is one tile.
     """
     mains = labels.select(F.col("line").alias("first"), F.col("component").alias("main"))
-    placed = crowded.join(labels.hint("shuffle_hash"), "line", "left").join(mains.hint("shuffle_hash"), "first", "left")
-    placed = placed.where("line <> first").select("key", "line", "size", "sim", "more", F.coalesce("component", "line").alias("component"), F.coalesce("main", "first").alias("main"))
-    one = placed.where("component <> main").select("key", "line", "size", "sim", "more", "component").toDF("key", "a", "a_size", "a_sim", "a_more", "a_in")
-    two = placed.select("key", "main", "line", "size", "sim", "more", "component").toDF("key", "main", "b", "b_size", "b_sim", "b_more", "b_in")
-    # two lines that both look meet once
-    met = two.join(one.hint("shuffle_hash"), "key").where((F.col("a_in") != F.col("b_in")) & ((F.col("b_in") == F.col("main")) | (F.col("a") < F.col("b"))) & _fits("a_size", "b_size", similarity) & _near("a", "b"))
-    if nearest:
-        met = met.groupBy("a", "b_in").agg(F.min(F.struct(_far("a", "b").alias("far"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    placed = crowded.select("key", "line", "first").join(labels.hint("shuffle_hash"), "line", "left").join(mains.hint("shuffle_hash"), "first", "left")
+    placed = placed.where("line <> first").select("key", "line", F.coalesce("component", "line").alias("component"), F.coalesce("main", "first").alias("main"))
+    looks, groups = F.col("component") != F.col("main"), lambda n: F.ceil(n / TILE).cast("int")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n"), F.count_if(looks).alias("looking")).where("looking > 0 and n > 1")
+    whole = F.col("n") <= TILE
+    sizes = sizes.select("key", F.when(whole, 1).otherwise(groups(F.col("looking"))).alias("low"), F.when(whole, 0).otherwise(groups(F.col("n") - F.col("looking"))).alias("rest"))
+    deal = lambda n: F.pmod(F.xxhash64("line"), F.greatest(n, F.lit(1))).cast("int")
+    dealt = placed.join(sizes, "key").withColumn("own", F.when(looks | (F.col("rest") == 0), deal(F.col("low"))).otherwise(F.col("low") + deal(F.col("rest"))))
+    last = F.when(F.col("own") < F.col("low"), F.col("low") + F.col("rest")).otherwise(F.col("low")) - 1
+    dealt = dealt.withColumn("met", F.explode(F.sequence(F.lit(0), last)))
+    return dealt.select("key", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"), "own", "line", "component")
+
+
+def _met(bucket: np.ndarray, fits) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within a tile (ascending numbers) that fits(i, j) leaves."""
+    start = np.flatnonzero(np.diff(bucket, prepend=-1))
+    size = np.diff(np.append(start, len(bucket)))
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def offsets(rows, most):
+        for k in range(1, most):
+            i, j = rows[:-k], rows[k:]
+            same = bucket[i] == bucket[j]
+            i, j = i[same], j[same]
+            ok = fits(i, j)
+            got.append((i[ok], j[ok]))
+
+    small = np.repeat(size <= _SMALL, size)
+    offsets(np.flatnonzero(small), min(_SMALL, len(bucket)))
+    for first, n in zip(start[size > _SMALL], size[size > _SMALL], strict=True):
+        offsets(np.arange(first, first + n), n)
+    return np.concatenate([i for i, _ in got]), np.concatenate([j for _, j in got])
+
+
+#: Lines of a tile up to which tiles are searched together.
+_SMALL = 32
+
+
+def _tile_edges(tiles: DataFrame, similarity: float) -> DataFrame:
+    """a, b: alike lines of one tile and unlike components, as many as join all components that alike lines of the tile join.
+
+    A pair is tried in the least of the buckets that both are in: first of each line the nearest by SimHash of each other
+    component, then all still apart. Pairs are made and verified where the tile is, so only links leave it.
+    """
+
+    def run(batches):
+        def done(t):
+            key, lo, hi, own, line, component, size, sim, more = (t.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "line", "component", "size", "sim", "more"))
+            new = (np.diff(key, prepend=key[0]) != 0) | (np.diff(lo, prepend=lo[0]) != 0) | (np.diff(hi, prepend=hi[0]) != 0)
+            sim, more, short = sim.view(np.uint64), more.view(np.uint64), size < SHORT
+
+            def far(i, j):
+                return np.bitwise_count(sim[i] ^ sim[j]).astype(np.int64) + np.bitwise_count(more[i] ^ more[j])
+
+            def fits(i, j):
+                ok = (component[i] != component[j]) & ((lo[i] == hi[i]) | (own[i] != own[j])) & (np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]))
+                at = np.flatnonzero(ok)
+                ok[at] = short[i[at]] | short[j[at]] | (far(i[at], j[at]) <= FAR)
+                return ok
+
+            i, j = _met(np.cumsum(new), fits)
+            keys, words = t.column("keys").combine_chunks(), t.column("words").combine_chunks()
+            sets = {k: frozenset(keys[k].as_py()) for k in np.union1d(i, j).tolist()}
+            least = np.array([min(sets[x] & sets[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+            i, j = i[least == key[i]], j[least == key[i]]
+            _, where = np.unique(np.column_stack([np.minimum(line[i], line[j]), np.maximum(line[i], line[j])]), axis=0, return_index=True)
+            i, j = i[where], j[where]
+            _, at = np.unique(component, return_inverse=True)
+            edges = []
+            for nearest in (True, False):
+                now = nearest_pairs(i, j, -far(i, j), at) if nearest else np.arange(len(i))
+                for part in np.split(now, range(_PAIRS, len(now), _PAIRS)):
+                    a, b = i[part], j[part]
+                    ok = alike_rows(words.take(pa.array(a)).to_pylist(), words.take(pa.array(b)).to_pylist(), similarity, False)
+                    edges.append((line[a[ok]], line[b[ok]]))
+                    at = _joined(at, a[ok], b[ok])
+                if nearest:
+                    left = np.ones(len(i), bool)
+                    left[now] = False
+                    left &= at[i] != at[j]
+                    i, j = i[left], j[left]
+            a, b = (np.concatenate([e[k] for e in edges]) for k in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        held = None
+        for b in gathered(batches, _TOGETHER):
+            now = pa.Table.from_batches([b])
+            held = now if held is None else pa.concat_tables([held, now])
+            last = np.ones(len(held), bool)
+            for c in ("key", "lo", "hi"):
+                at = held.column(c).to_numpy()
+                last &= at == at[-1]
+            cut = 0 if last.all() else len(last) - int(np.argmin(last[::-1]))
+            if cut:  # the last tile may go on
+                yield done(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield done(held)
+
+    return tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(frugal(run), "a long, b long")
+
+
+#: Pairs of texts that are taken together.
+_PAIRS = 1 << 13
+
+
+def _joined(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (numbers from 0) of rows, those of the rows a and b made one pair by pair."""
+    to = np.arange(labels.max(initial=-1) + 1)
+
+    def root(x):
+        while to[x] != x:
+            to[x] = x = to[to[x]]
+        return x
+
+    for x, y in zip(labels[a].tolist(), labels[b].tolist(), strict=True):
+        x, y = root(x), root(y)
+        to[max(x, y)] = min(x, y)
+    while (to[to] != to).any():
+        to = to[to]
+    return to[labels]
 
 
 def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -367,8 +508,8 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
 
     Connected lines are a group; its earliest line by doc_id, tag and number stays. Lines that share a key are
     a bucket. Every line of a bucket is verified against its first line, so a group of near copies gives a
-    pair a line; then each line against the nearest of each other component of its bucket; and then all that
-    are still apart. Lines of unlike length, and longer ones whose signatures are over FAR bits apart, aren't tried.
+    pair a line; then each line against the nearest of each other component of its bucket, and then all that
+    are still apart, tile by tile of a bucket. Lines of unlike length, and longer ones whose signatures are over FAR bits apart, aren't tried.
     So any two lines that share a key, are that near and alike end in one group.
     """
     scratch = Scratch(docs.sparkSession, "lines")
@@ -448,12 +589,12 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
         return scratch.table(near.join(one, "a").join(other, "b").select("a", "b", "p", "q").mapInArrow(frugal(verified), "a long, b long"), "edges")
 
     edges = alike_pairs(near)
-    for nearest in (True, False):
-        labels = components(scratch, edges).withColumnRenamed("node", "line")
-        tried, near = near, _others(crowded, labels, similarity, nearest)
-        near = scratch.table(near if nearest else near.join(tried, ["a", "b"], "left_anti"), "near")
-        edges = edges.union(alike_pairs(near))
-    scratch.drop(words, crowded)
+    labels = components(scratch, edges).withColumnRenamed("node", "line")
+    told = crowded.groupBy("line").agg(F.collect_set("key").alias("keys"), *(F.first(c).alias(c) for c in ("size", "sim", "more")))  # at most a line's keys
+    tiles = scratch.table(_tiles(crowded, labels), "tiles")
+    told = told.join(tiles.select("line").distinct().hint("shuffle_hash"), "line", "left_semi").join(words.hint("shuffle_hash"), "line")
+    edges = edges.union(scratch.table(_tile_edges(tiles.join(told.hint("shuffle_hash"), "line"), similarity), "edges"))
+    scratch.drop(words, crowded, tiles)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
     place, own = F.struct("id", "tag", "number"), F.coalesce("component", "line").alias("component")
     earliest = found.select("id", "tag", "number", "line").groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))

@@ -157,3 +157,41 @@ def test_whole_rows(spark):
     by = {r.doc_id: r.text for r in out.collect()}
     assert by[9] == "" and len(by[8]) > 0.98 * len(long)
     assert lines.report(docs.limit(0)).count() == 0
+
+
+def test_side_by_side():
+    """Edit distances of many pairs at once, about the edges of words of 64 rows and of the band."""
+    for size in (1, 20, 63, 64, 65, 129, 400):
+        p, q = [], []
+        for _ in range(60):
+            a = "".join(R.choice("abc d") for _ in range(max(0, size + R.randint(-size // 3, size // 3))))
+            rate = R.choice((0, 0.05, 0.15, 0.2, 0.3, 0.8))
+            p.append(a)
+            q.append("".join(c if R.random() > rate else R.choice(("", "x", c + "y")) for c in a))
+        most = np.array([R.choice((1, 2, 3)) * max(len(a), len(b)) // 10 for a, b in zip(p, q, strict=True)])
+        want = [lines.distance(a, b) <= m for a, b, m in zip(p, q, most, strict=True)]
+        assert lines._within(p, q, most).tolist() == want
+        alike = [lines.alike(a, b) for a, b in zip(p, q, strict=True)]
+        assert lines.alike_rows(p, q).tolist() == lines.alike_rows(p, q, walked=False).tolist() == alike
+
+
+def test_common_passage(spark, monkeypatch):
+    """Lines that share a passage and are unlike otherwise: one bucket of many components. No table grows with its pairs, and links within it are found."""
+    passage, rows = prose(30), []
+    for i in range(330):
+        rows.append((i, f"{prose(17)} {passage}"))
+    for i in range(330, 360):  # like one of them, edited in other words
+        words = rows[R.randrange(330)][1].split()
+        words[R.randrange(17)] = R.choice(WORDS)
+        rows.append((i, " ".join(words)))
+    counts, table = [], lines.Scratch.table
+
+    def counted(self, df, name="t"):
+        out = table(self, df, name)
+        counts.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "table", counted)
+    want, got = brute(rows), removed(spark, rows)
+    assert got == want and len(want) >= 30
+    assert max(counts)[0] < 60 * len(rows)
