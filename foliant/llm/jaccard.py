@@ -15,8 +15,9 @@ WORDS, PERCENT = 4, 85
 _NO_ID = -(1 << 63)
 #: Bytes handled at once; coordinates of a count vector; children of a tree node; members of a bucket that look for partners together.
 STEP, COORDINATES, FANOUT, BLOCK = 1 << 18, 128, 16, 1024
-#: Coordinates that bound pairs of large sets once more before whole sets are sent for each pair; pairs bounded at once.
-FINE, AT_ONCE = 4096, 256
+#: Coordinates that bound pairs twice more before whole sets are sent for each pair: the few first, as a pair takes its vectors along;
+#: pairs bounded at once.
+MIDDLE, FINE, AT_ONCE = 512, 4096, 256
 #: Sets smaller than 2**SINGLES have a group for each token; larger ones SPREAD groups for each of the size class's greatest size.
 SINGLES, SPREAD = 4, 0.3
 
@@ -375,7 +376,7 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     firsts = scratch.table(firsts, "firsts")
 
     def fetch(sigs: DataFrame, fine: bool) -> DataFrame:
-        """sig and its whole set as tokens, if fine also its count vector of FINE coordinates, of the given sigs and some others."""
+        """sig and its whole set as tokens, if fine also its count vectors of MIDDLE and FINE coordinates, of the given sigs and some others."""
         told_by = firsts.join(sigs, "sig", "left_semi")
         wanted = presence(scratch.table(told_by.select(F.col("sig").bitwiseXOR(F.shiftleft("doc_id", 40)).alias("key")), "wanted"), "key", None)
 
@@ -385,10 +386,14 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ids = pc.fill_null(part.column("doc_id"), 0).to_numpy(zero_copy_only=False).view(np.uint64)
                 mine = mine[present(wanted.value, s.sig[mine] ^ (ids[mine] << np.uint64(40)))]
                 parts = [s.hash[s.first[i] : s.first[i] + s.n[i]] for i in mine]
-                counts = [pack(p, FINE) if fine else None for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(counts, pa.binary())], ["sig", "tokens", "counts"])
+                counts = [pa.array([pack(p, c) if fine else None for p in parts], pa.binary()) for c in (MIDDLE, FINE)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(s.sig[mine])), pa.array([p.tobytes() for p in parts], pa.binary()), *counts], ["sig", "tokens", "middle", "fine"])
 
-        return rows.mapInArrow(frugal(run), "sig long, tokens binary, counts binary").dropDuplicates(["sig"])
+        return rows.mapInArrow(frugal(run), "sig long, tokens binary, middle binary, fine binary").dropDuplicates(["sig"])
+
+    def whole_vectors(whole: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """sig, counts of the sets in pairs: only what is left goes on to longer vectors."""
+        return among(whole.select("sig", F.col(name).alias("counts")), pairs.select(F.explode(F.array("a", "b")).alias("sig")))
 
     def verified(pairs: DataFrame, many: bool) -> DataFrame:
         """The pairs that link, a table; a in one pair each, or in many: then finer vectors bound the pairs before whole sets go with each."""
@@ -396,7 +401,8 @@ def _linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
         fetched = fetch(both, many)
         if many:
             whole = scratch.table(fetched, "whole")
-            pairs = scratch.table(bounded(pairs, whole.select("sig", "counts"), percent, FINE), "close")
+            for name, coordinates in (("middle", MIDDLE), ("fine", FINE)):
+                pairs = scratch.table(bounded(pairs, whole_vectors(whole, pairs, name), percent, coordinates), "close")
             fetched = among(whole.select("sig", "tokens"), pairs.select(F.explode(F.array("a", "b")).alias("sig")))
         sets = fetched.select("sig", "tokens").join(pairs.select(F.col("a").alias("sig"), "b"), "sig", "left")
         sets = scratch.table(sets, "sets")  # dealt by sig once
