@@ -31,7 +31,7 @@ FEW = 6
 REACH, LONG = 6, 4000
 #: Lines of a group of a bucket; two groups meet in a tile.
 TILE = 256
-#: Columns after which it is seen whether an edit distance can still be small enough.
+#: Columns after which it is seen whether an edit distance can still be small enough; more, where a column is long.
 LOOK = 32
 #: Bytes of a key when shared keys are found; keys that agree in so many only let more lines pass.
 KEY_BYTES = 5
@@ -45,7 +45,7 @@ _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np
 class Lines:
     """Countable lines of a run of texts: hash and length of the normalised line, and if signed its SimHash (two words) and sketches.
 
-    Lines of equal hash within the run are signed once: at holds the places of the first of each.
+    Lines of equal hash within the run are signed once: at holds the places of the first of each, count how many they are.
     """
 
     def __init__(self, texts: list[str], least_words: int = LEAST_WORDS, sign: bool = True):
@@ -54,7 +54,7 @@ class Lines:
         self.line = np.flatnonzero(count >= max(1, least_words))
         mine = count[t.line] >= max(1, least_words)
         word, owner = t.word[mine], t.line[mine]
-        self.hash, self.sim, self.more = np.zeros(len(self.line), np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.hash, self.sim, self.more, self.count = np.zeros(len(self.line), np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.size, self.at, self.bands = np.zeros(len(self.line), np.int64), np.zeros(0, np.int64), np.zeros((0, BANDS), np.uint64)
         if not len(self.line):
             return
@@ -66,10 +66,11 @@ class Lines:
             return
         length = (t.end - t.start)[mine]
         self.size = np.add.reduceat(length + 1, first) - 1
-        _, self.at = np.unique(self.hash, return_index=True)
-        one = np.zeros(len(first), bool)
-        one[self.at] = True
+        _, at, count = np.unique(self.hash, return_index=True, return_counts=True)
+        one = np.zeros(len(first), np.int64)
+        one[at] = count
         self.at = np.flatnonzero(one)
+        self.count, one = one[self.at], one > 0
         keep = np.repeat(one, size)
         word, length, size, place = word[keep], length[keep], size[one], place[keep]
         first = np.cumsum(size) - size
@@ -87,8 +88,15 @@ def _pairs(word: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _simhash(word: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
     part = np.flatnonzero(place % _LANE == 0)
-    counts = np.add.reduceat(_SPREAD[word.view(np.uint8).reshape(-1, 8)], part, axis=0).view(np.uint8).astype(np.int32)
-    ones = np.add.reduceat(counts, np.searchsorted(part, first), axis=0)
+    lanes, sums, counts = word.view(np.uint8).reshape(-1, 8), np.zeros(len(word) + 1, np.uint64), np.empty((len(part), 8), np.uint64)
+    at, spread = np.empty(len(word), np.intp), np.empty(len(word), np.uint64)
+    for k in range(8):  # lanes overflow in a sum over all words, but the difference of two sums is that of the words between
+        at[:] = lanes[:, k]
+        np.cumsum(_SPREAD.take(at, out=spread, mode="clip"), out=sums[1:])
+        counts[:, k] = np.diff(sums[np.append(part, len(word))])
+    ones = counts.view(np.uint8).astype(np.int32)
+    if len(part) > len(first):
+        ones = np.add.reduceat(ones, np.searchsorted(part, first), axis=0)
     return np.packbits(2 * ones > size[:, None], axis=1).view(np.uint64).ravel()
 
 
@@ -97,16 +105,23 @@ def _sketches(word: np.ndarray, length: np.ndarray, first: np.ndarray, size: np.
     line, inverse = np.repeat(np.arange(len(first)), size), (1 / length.astype(np.float32) ** 2).astype(np.float32)
     low, high = word.astype(np.uint32), (word >> np.uint64(32)).astype(np.uint32)
     out = np.empty((len(first), BANDS), np.uint64)
+    u, v, value, same = np.empty_like(low), np.empty_like(low), np.empty_like(inverse), np.empty(len(low), bool)
+    bits, none = value.view(np.int32), np.float32(np.inf).view(np.int32)  # positive floats are in the order of their bits
     for k in range(BANDS):
-        u = (low ^ np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-        u = ((u ^ (u >> np.uint32(15))) + high * np.uint32(2 * k + 1)) * np.uint32(0xC2B2AE35)
-        value = ((u ^ (u >> np.uint32(16))) | np.uint32(1)).astype(np.float32) * inverse
+        np.bitwise_xor(low, np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF), out=u)
+        u *= np.uint32(0x85EBCA6B)
+        u ^= np.right_shift(u, np.uint32(15), out=v)
+        u += np.multiply(high, np.uint32(2 * k + 1), out=v)
+        u *= np.uint32(0xC2B2AE35)
+        u ^= np.right_shift(u, np.uint32(16), out=v)
+        u |= np.uint32(1)
+        np.multiply(u.astype(np.float32), inverse, out=value)
         key = np.full(len(first), k, np.uint64)
         for r in range(3):
-            least = np.minimum.reduceat(value, first)
+            least = np.minimum.reduceat(bits, first)
             key = mix(key * np.uint64(31) + least.view(np.uint32).astype(np.uint64))
             if r < 2:
-                value[value == least[line]] = np.inf
+                np.copyto(bits, none, where=np.equal(bits, np.repeat(least, size), out=same))
         out[:, k] = key
     short = np.flatnonzero(size <= FEW)
     if len(short):  # as sums of word hashes, so that a word left out and a word replaced agree
@@ -127,26 +142,42 @@ def block_keys(sim: np.ndarray, bands: np.ndarray) -> np.ndarray:
     return np.column_stack([*pairs, mix(bands.ravel() & np.uint64((1 << 8 * WIDTH) - 1)).reshape(bands.shape)])
 
 
-#: Columns that hold the low WIDTH bytes of each sketch.
-_PACKED = [f"b{i}" for i in range(-(-BANDS * WIDTH // 8))]
+#: A signed line as it travels, many in one binary value: hash, a place, length, SimHash, the low WIDTH bytes of each sketch, and whether
+#: its run of texts holds it more than once.
+_SIGNED = np.dtype([("line", "<i8"), ("slot", "<i8"), ("size", "<i8"), ("sim", "<u8"), ("more", "<u8"), ("bands", "u1", (BANDS, WIDTH)), ("again", "?")])
 
 
-def _pack(bands: np.ndarray) -> np.ndarray:
-    """The low WIDTH bytes of each sketch, a row of 64-bit words a line."""
-    out = np.zeros((len(bands), 8 * len(_PACKED)), np.uint8)
-    out[:, : BANDS * WIDTH] = np.ascontiguousarray(bands).view(np.uint8).reshape(len(bands), -1, 8)[:, :, :WIDTH].reshape(len(bands), -1)
-    return out.view(np.int64)
+def _records(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), _SIGNED)
 
 
-def _unpack(batch: pa.RecordBatch) -> np.ndarray:
-    words = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in _PACKED])
-    out = np.zeros((len(words), BANDS, 8), np.uint8)
-    out[:, :, :WIDTH] = words.view(np.uint8)[:, : BANDS * WIDTH].reshape(-1, BANDS, WIDTH)
-    return out.view(np.uint64).reshape(len(words), BANDS)
+def _keys(records: np.ndarray) -> np.ndarray:
+    bands = np.zeros((len(records), BANDS, 8), np.uint8)
+    bands[:, :, :WIDTH] = records["bands"]
+    return block_keys(np.ascontiguousarray(records["sim"]), bands.view(np.uint64).reshape(len(records), BANDS))
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    return block_keys(batch.column("sim").to_numpy(zero_copy_only=False).view(np.uint64), _unpack(batch))
+def _parts(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The range, of n equal ones, that each hash is in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _classes(found: DataFrame) -> DataFrame:
+    """signs, again: every line once, as records; and the hashes of lines that stand more than once."""
+    n_parts = ranges(found.sparkSession)
+
+    def run(batches):
+        held = np.zeros(0, np.int64)  # a range's lines, as many as its share of them
+        for b in batches:
+            records = _records(b.column("signs"))
+            line, at, n = np.unique(records["line"], return_index=True, return_counts=True)
+            place = np.searchsorted(held, line)
+            known = held[np.minimum(place, len(held) - 1)] == line if len(held) else np.zeros(len(line), bool)
+            again = np.union1d(line[known | (n > 1)], records["line"][records["again"]])
+            held = np.insert(held, place[~known], line[~known])
+            yield pa.RecordBatch.from_arrays([pa.array([records[at[~known]].tobytes()], pa.binary()), pa.array([again.tobytes()], pa.binary())], ["signs", "again"])
+
+    return found.where("part is not null").select("part", "signs").repartitionById(n_parts, "part").mapInArrow(frugal(run), "signs binary, again binary")
 
 
 def distance(a: str, b: str, most: int | None = None) -> int:
@@ -165,9 +196,9 @@ def distance(a: str, b: str, most: int | None = None) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    plus, minus, score = full, 0, len(a)
+    plus, minus, score, look = full, 0, len(a), max(LOOK, len(a) >> 5)
     for done, c in enumerate(b):
-        if most is not None and done and done % LOOK == 0 and _least(plus, minus, len(a), done, len(b)) > most:
+        if most is not None and done and done % look == 0 and _least(plus, minus, len(a), done, len(b)) > most:
             return most + 1
         hit = where.get(c, 0)
         vertical = hit | minus
@@ -192,12 +223,16 @@ def _least(plus: int, minus: int, height: int, done: int, width: int) -> int:
 def walk(p: list[str], q: list[str], most: int) -> bool:
     """Whether one pass over the words of two lines finds an edit script of at most so many characters. False proves nothing."""
     i = j = cost = 0
-    while i < len(p) and j < len(q):
+    m, n = len(p), len(q)
+    while i < m and j < n:
         if p[i] == q[j]:
             i, j = i + 1, j + 1
             continue
-        near = ((d, s - d) for s in range(1, 2 * REACH + 1) for d in range(max(0, s - REACH), min(s, REACH) + 1))
-        d, e = next(((d, e) for d, e in near if i + d < len(p) and p[i + d : i + d + 2] == q[j + e : j + e + 2]), (len(p) - i, len(q) - j))
+        for d, e in _AHEAD:
+            if i + d < m and j + e < n and p[i + d] == q[j + e] and p[i + d + 1 : i + d + 2] == q[j + e + 1 : j + e + 2]:
+                break
+        else:
+            d, e = m - i, n - j
         cost += max(sum(map(len, p[i : i + d])) + d, sum(map(len, q[j : j + e])) + e)
         if cost > most:
             return False
@@ -205,6 +240,10 @@ def walk(p: list[str], q: list[str], most: int) -> bool:
     return cost + max(sum(map(len, p[i:])) + len(p) - i, sum(map(len, q[j:])) + len(q) - j) <= most
 
 
+#: Words left out of both lines, few first.
+_AHEAD = [(d, s - d) for s in range(1, 2 * REACH + 1) for d in range(max(0, s - REACH), min(s, REACH) + 1)]
+
+
 def alike(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether at most 1 - least of the longer text is edited. Cheap bounds decide most pairs: length, a walk over the words, q-grams of long lines."""
     longer = max(len(a), len(b))
@@ -237,13 +276,14 @@ def alike_rows(p: list[str], q: list[str], least: float = SIMILARITY, walked: bo
             out[i] = walk(p[i].split(" "), q[i].split(" "), int(most[i]))
         left &= ~out
     words = np.maximum(1, (sizes[0] + 63) >> 6)
-    words = np.where(words > 8, -(-words // 4) * 4, words)
+    step = np.left_shift(1, np.maximum(0, np.frexp(words - 1)[1] - 2))  # 1 to 4, then two sizes to each doubling
+    words = -(-words // step) * step
     order = np.flatnonzero(left)
     order = order[np.lexsort((longer[order], words[order]))]
     for same in np.split(order, np.flatnonzero(np.diff(words[order])) + 1):
         for k in range(0, len(same), _ASIDE):
             at = same[k : k + _ASIDE]
-            if len(at) < _FEWER + 8 * words[at[0]]:
+            if len(at) < _FEWER:
                 out[at] = [distance(p[i], q[i], int(most[i])) <= most[i] for i in at]
             else:
                 out[at] = _within([p[i] for i in at], [q[i] for i in at], most[at])
@@ -251,7 +291,7 @@ def alike_rows(p: list[str], q: list[str], least: float = SIMILARITY, walked: bo
 
 
 #: Pairs that are verified side by side, at most and at least.
-_ASIDE, _FEWER = 1024, 48
+_ASIDE, _FEWER = 1024, 12
 #: Bytes of pairs that are verified together.
 _TOGETHER = 16 << 20
 
@@ -259,12 +299,13 @@ _TOGETHER = 16 << 20
 def _within(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
     """Whether the edit distance of each pair is at most so many.
 
-    Each p is filled up to whole words of 64 rows. Only the words within most of the diagonal are kept: those above count as
-    growing by one a column, those below by one a row, which changes no distance of at most most. A pair is left out as
-    soon as no row of its column allows so few edits.
+    Each p is filled up to whole words of 64 rows. A word is one column behind the word above, so that all words of all pairs
+    take a step at once. Only the words within most of the diagonal are kept: those above count as growing by one a column,
+    those below by one a row, which changes no distance of at most most. A pair is left out as soon as no row of its
+    columns allows so few edits.
     """
-    n, size, width = len(p), np.array([len(x) for x in p]), np.array([len(x) for x in q])
-    ok, reach = np.zeros(n, bool), int(most.max(initial=0))
+    n, size, width = len(p), np.array([len(x) for x in p], np.int64), np.array([len(x) for x in q], np.int64)
+    ok, reach = (width == 0) & (size <= most), int(most.max(initial=0))
     points = np.frombuffer("".join([*p, *q]).encode("utf-32-le", "surrogatepass"), np.uint32)
     signs = np.flatnonzero(np.bincount(points))
     codes = np.searchsorted(signs, points)
@@ -275,53 +316,68 @@ def _within(p: list[str], q: list[str], most: np.ndarray) -> np.ndarray:
     key = ((place >> 6) * n + row) * (len(signs) + 1) + codes[:split]
     masks = np.zeros(words * n * (len(signs) + 1), np.uint64)
     np.bitwise_or.at(masks, key, np.uint64(1) << (place & 63).astype(np.uint64))
-    masks = masks.reshape(words, -1)
-    text = np.full((int(width.max(initial=0)) + 1, n), len(signs), np.int64)
+    text = np.full((int(width.max(initial=0)) + words, n), len(signs), np.int64)
     column = np.arange(len(points) - split) - np.repeat(np.cumsum(width) - width, width)
     text[column, np.repeat(np.arange(n), width)] = codes[split:]
     text += np.arange(n) * (len(signs) + 1)
-    one, high = np.uint64(1), np.uint64(63)
-    live, low, top = np.arange(n), 0, min(words, (reach >> 6) + 1)  # words low to top - 1 are kept
-    plus, minus = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
-    score = np.full(n, 64 * top)  # of the last row kept
-    ends = np.bincount(width, minlength=len(text)) > 0
-    for j in range(len(text)):
-        if ends[j] or j and j % LOOK == 0:
-            done = np.flatnonzero(width[live] == j)
-            steps = lambda at: np.unpackbits(np.ascontiguousarray(at.T).view(np.uint8), axis=1, bitorder="little")
-            if len(done):
-                beyond = np.arange(64 * low, 64 * top) >= size[live[done], None]
-                at = [(steps(x[low:top, done]) * beyond).sum(1, dtype=np.int64) for x in (plus, minus)]
-                ok[live[done]] = score[done] - at[0] + at[1] <= most[live[done]]
-            if j % LOOK == 0 or len(done) == len(live):
-                # after every eight rows the distance, less what the rows between may save
-                up, down = (np.bitwise_count(np.ascontiguousarray(x[low:top].T).view(np.uint8)).astype(np.int32) for x in (plus, minus))
-                fall = np.cumsum((up - down)[:, ::-1], axis=1)[:, ::-1]
-                at = np.arange(64 * low, 64 * top, 8)
-                bound = score[:, None] - fall + np.maximum(np.abs(size[live, None] - at - (width[live] - j)[:, None]) - 16, -16)
-                last = score + np.maximum(np.abs(size[live] - 64 * top - (width[live] - j)) - 16, -16)
-                keep = np.flatnonzero((width[live] > j) & (np.minimum(bound.min(1), last) <= most[live]))
-                if len(keep) < len(live):
-                    live, score, plus, minus = live[keep], score[keep], plus[:, keep], minus[:, keep]
-                if not len(live):
-                    return ok
-        while top < words and 64 * top <= j + 1 + reach:
-            score += 64
+    base = (np.arange(words) * (n * (len(signs) + 1)))[:, None]
+    final = np.maximum(0, size - 1) >> 6  # the word of the last row, and the step that ends its last column
+    finish = width + final - 1
+    live = np.flatnonzero((width > 0) & (np.abs(size - width) <= most))
+    ends = np.bincount(finish[live], minlength=len(text)) > 0
+    one, high, low, top = np.uint64(1), np.uint64(63), 0, 0  # words low to top - 1 are kept
+    text, plus, minus = text[:, live], np.full((words, len(live)), ~np.uint64(0)), np.zeros((words, len(live)), np.uint64)
+    score = np.zeros((words, len(live)), np.int64)  # of the last row of each word
+    up, down = (np.zeros((words + 1, len(live)), np.uint64) for _ in range(2))  # from the word above, a step ago
+    for t in range(int(finish[live].max(initial=-1)) + 1):
+        while top < words and t - top >= max(0, 64 * top - reach - 1):
+            score[top] = 64 if top == 0 else score[top - 1] - up[top].astype(np.int64) + down[top].astype(np.int64) + 64
             top += 1
-        low = max(0, min(top - 1, (j - reach) >> 6))
-        signs_at = text[j, live]
-        up, down = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)
-        for w in range(low, top):
-            hit = masks[w][signs_at]
-            v, m = plus[w], minus[w]
-            vertical = hit | m
-            hit |= down
-            across = (((hit & v) + v) ^ v) | hit
-            rise, fall = m | ~(across | v), v & across
-            shifted, sunk = (rise << one) | up, (fall << one) | down
-            up, down = rise >> high, fall >> high
-            plus[w], minus[w] = sunk | ~(vertical | shifted), shifted & vertical
-        score += up.astype(np.int64) - down.astype(np.int64)
+        while low < top - 1 and (t - low - reach) >> 6 > low:
+            low += 1
+        up[low], down[low] = one, 0
+        hit = masks.take(text[t - top + 1 : t - low + 1][::-1] + base[low:top])
+        v, m, over, under = plus[low:top], minus[low:top], up[low:top], down[low:top]
+        vertical = hit | m
+        hit |= under
+        across = hit & v
+        across += v
+        across ^= v
+        across |= hit
+        rise = across | v
+        np.invert(rise, out=rise)
+        rise |= m
+        fall = np.bitwise_and(across, v, out=across)
+        shifted, sunk = rise << one, fall << one
+        shifted |= over
+        sunk |= under
+        np.bitwise_and(shifted, vertical, out=m)
+        vertical |= shifted
+        np.invert(vertical, out=vertical)
+        np.bitwise_or(sunk, vertical, out=v)
+        rise >>= high
+        fall >>= high
+        up[low + 1 : top + 1], down[low + 1 : top + 1] = rise, fall
+        score[low:top] += (rise - fall).view(np.int64)
+        if ends[t]:
+            done = np.flatnonzero(finish[live] == t)
+            last = final[live[done]]
+            beyond = 64 * last[:, None] + np.arange(64) >= size[live[done], None]
+            steps = [(np.unpackbits(x[last, done][:, None].view(np.uint8), axis=1, bitorder="little") * beyond).sum(1, dtype=np.int64) for x in (plus, minus)]
+            ok[live[done]] = score[last, done] - steps[0] + steps[1] <= most[live[done]]
+        if (t + 1) % LOOK == 0:
+            # after every eight rows the distance, less what the rows between, and one column more or less, may save
+            rises, falls = (np.bitwise_count(x[low:top, :, None].view(np.uint8)).astype(np.int32) for x in (plus, minus))
+            below = np.cumsum((rises - falls)[:, :, ::-1], axis=2)[:, :, ::-1]
+            word = np.arange(low, top)
+            ahead = size[live] - width[live] + (t + 1 - word - 64 * word)[:, None]  # rows left less columns left
+            bound = np.minimum((score[low:top, :, None] - below + np.abs(ahead[:, :, None] - np.arange(0, 64, 8))).min((0, 2)), score[top - 1] + np.abs(ahead[-1] - 64))
+            keep = np.flatnonzero((finish[live] > t) & (bound - 18 <= most[live]))
+            if not len(keep):
+                return ok
+            if len(keep) < 0.9 * len(live):
+                live, text = live[keep], text[:, keep]
+                plus, minus, score, up, down = (x[:, keep] for x in (plus, minus, score, up, down))
     return ok
 
 
@@ -330,13 +386,23 @@ def _slots(ids: np.ndarray, tags: np.ndarray, numbers: np.ndarray) -> np.ndarray
     return mix(mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) ^ mix(tags.astype(np.uint64) << np.uint64(32) | numbers.astype(np.uint64)))
 
 
+def _repeated(classes: DataFrame) -> DataFrame:
+    """line: the lines that stand more than once; some are told several times."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column("again").to_pylist()), np.int64))], ["line"])
+
+    return classes.select("again").mapInArrow(frugal(run), "line long")
+
+
 def _shared(classes: DataFrame) -> DataFrame:
     """key: the leading bytes of keys that two lines have. Keys travel packed, a range of keys to a task."""
     n_parts = ranges(classes.sparkSession)
 
     def packed(batches):
         for b in batches:
-            keys = np.sort(_keys(b), axis=None)
+            keys = np.sort(_keys(_records(b.column("signs"))), axis=None)
             cuts = np.searchsorted((keys >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32), np.arange(n_parts + 1))
             lead = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
             held = np.flatnonzero(np.diff(cuts))
@@ -354,7 +420,7 @@ def _shared(classes: DataFrame) -> DataFrame:
             held = keys[np.concatenate([[True], ~again])] if len(keys) else keys
         yield pa.RecordBatch.from_arrays([pa.array(signed(seen))], ["key"])
 
-    return classes.select("sim", *_PACKED).mapInArrow(frugal(packed), "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(frugal(run), "key long")
+    return classes.select("signs").mapInArrow(frugal(packed), "part int, keys binary").repartitionById(n_parts, "part").mapInArrow(frugal(run), "key long")
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
@@ -522,39 +588,51 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
                 x = Lines(texts[i:j], least_words)
                 tags, doc = np.array([tag(s) for s in texts[i:j]], np.int64), x.tokens.line_doc[x.line]
                 number = x.tokens.line_number[x.line].astype(np.int32)
-                of = np.full(len(x.line), -1, np.int64)
-                of[x.at] = np.arange(len(x.at))
-                sign, packed = pa.array(of, mask=of < 0), _pack(x.bands)
-                slots = _slots(ids[i:j][doc], tags[doc], number)
-                own = [pa.array(ids[i:j][doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), pa.array(signed(slots)), pa.array(x.size)]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(c).take(sign) for c in (signed(x.sim), signed(x.more), *np.ascontiguousarray(packed.T)))], names)
-
-    names = ["id", "tag", "number", "line", "slot", "size", "sim", "more", *_PACKED]
-    kinds = ", ".join(f"{n} int" if n == "number" else f"{n} long" for n in names)
-    found = scratch.table(rows.mapInArrow(frugal(signed_lines), kinds), "found")
-    classes = found.groupBy("line").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("slot", "size", "sim", "more", *_PACKED)))
-    classes = scratch.table(classes, "classes")
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][doc]), pa.array(tags[doc]), pa.array(number), pa.array(signed(x.hash)), *(pa.nulls(len(doc), t) for t in (pa.int32(), pa.binary()))], names)
+                at, n = x.at, len(x.at)
+                records = np.empty(n, _SIGNED)
+                records["line"], records["slot"], records["size"] = signed(x.hash[at]), signed(_slots(ids[i:j][doc[at]], tags[doc[at]], number[at])), x.size[at]
+                records["sim"], records["more"], records["again"] = x.sim, x.more, x.count > 1
+                records["bands"] = np.ascontiguousarray(x.bands).view(np.uint8).reshape(n, BANDS, 8)[:, :, :WIDTH]
+                part = _parts(x.hash[at], n_parts)
+                order = np.argsort(part, kind="stable")
+                records, cuts = records[order], np.searchsorted(part[order], np.arange(n_parts + 1))
+                held = np.flatnonzero(np.diff(cuts))
+                blobs = pa.array([records[cuts[k] : cuts[k + 1]].tobytes() for k in held], pa.binary())
+                nulls = (pa.nulls(len(held), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*nulls, pa.array(held.astype(np.int32)), blobs], names)
+
+    names, n_parts = ["id", "tag", "number", "line", "part", "signs"], ranges(docs.sparkSession)
+    both = scratch.table(rows.mapInArrow(frugal(signed_lines), "id long, tag long, number int, line long, part int, signs binary"), "found")
+    found = both.where("part is null").select("id", "tag", "number", "line")
+    classes = scratch.table(_classes(both), "classes")
     shared = presence(scratch.table(_shared(classes), "shared"), "key", None)
 
     def sharing(batches):
         for b in batches:
-            keys = _keys(b)
+            records = _records(b.column("signs"))
+            keys = _keys(records)
             at, k = np.nonzero(present(shared.value, keys.ravel()).reshape(keys.shape))
-            rows = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(b.column(c).take(rows) for c in ("line", "size", "sim", "more"))], ["key", "line", "size", "sim", "more"])
+            own = (np.ascontiguousarray(records[c][at]).view(np.int64) for c in ("line", "size", "sim", "more"))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[at, k])), *(pa.array(c) for c in own)], ["key", "line", "size", "sim", "more"])
 
-    members = scratch.table(classes.select("line", "size", "sim", "more", *_PACKED).mapInArrow(frugal(sharing), "key long, line long, size long, sim long, more long"), "members")
+    members = scratch.table(classes.select("signs").mapInArrow(frugal(sharing), "key long, line long, size long, sim long, more long"), "members")
     buckets = scratch.table(members.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
     leaders = members.join(buckets.hint("shuffle_hash"), "key")
     crowded = scratch.table(leaders.where("n > 2").select("key", "line", "size", "sim", "more", "first"), "crowded")
     star = leaders.where("line <> first").select("line", "first", F.col("size").alias("a_size"), F.col("sim").alias("a_sim"), F.col("more").alias("a_more")).distinct()
-    firsts = classes.select(F.col("line").alias("first"), *(F.col(c).alias(f"b_{c}") for c in ("size", "sim", "more")))
+    firsts = leaders.where("line = first").select("first", *(F.col(c).alias(f"b_{c}") for c in ("size", "sim", "more"))).dropDuplicates(["first"])
     star = star.join(firsts.hint("shuffle_hash"), "first").where(_fits("a_size", "b_size", similarity) & _near("a", "b"))
     near = scratch.table(star.select(F.least("line", "first").alias("a"), F.greatest("line", "first").alias("b")).distinct(), "near")
     scratch.drop(members)
-    speaking = near.select(F.col("a").alias("line")).union(near.select("b")).union(crowded.select("line")).distinct()
-    wanted = presence(scratch.table(classes.select("line", "slot").join(speaking.hint("shuffle_hash"), "line", "left_semi").select("slot"), "places"), "slot", None)
-    scratch.drop(classes)
+    speaking = presence(near.select(F.col("a").alias("line")).union(near.select("b")).union(crowded.select("line")), "line", None)
+
+    def placing(batches):
+        for b in batches:
+            records = _records(b.column("signs"))
+            yield pa.RecordBatch.from_arrays([pa.array(records["slot"][present(speaking.value, records["line"].view(np.uint64))])], ["slot"])
+
+    wanted = presence(scratch.table(classes.select("signs").mapInArrow(frugal(placing), "slot long"), "places"), "slot", None)
 
     def spoken(batches):
         for b in batches:
@@ -567,8 +645,8 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
                 tags = np.array([tag(s) for s in texts[i:j]], np.int64)
                 at = np.flatnonzero(present(wanted.value, _slots(ids[i:j][doc], tags[doc], number)))
                 x = Lines([split[d][k] for d, k in zip(doc[at].tolist(), number[at].tolist(), strict=True)], least_words, False)
-                t = x.tokens
-                yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array([t.text(t.line_start[k], t.line_end[k]) for k in x.line], pa.string())], ["line", "words"])
+                folded = x.tokens.line_texts()
+                yield pa.RecordBatch.from_arrays([pa.array(signed(x.hash)), pa.array([folded[k] for k in x.line], pa.string())], ["line", "words"])
 
     words = scratch.table(rows.mapInArrow(frugal(spoken), "line long, words string").groupBy("line").agg(F.first("words").alias("words")), "words")
 
@@ -596,14 +674,23 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     edges = edges.union(scratch.table(_tile_edges(tiles.join(told.hint("shuffle_hash"), "line"), similarity), "edges"))
     scratch.drop(words, crowded, tiles)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
+    linked = scratch.table(_repeated(classes).union(labels.select(F.explode(F.array("line", "component")))), "linked")
+    grouping = presence(linked, "line", None)
+
+    def needed_places(batches):
+        for b in batches:
+            yield b.filter(pa.array(present(grouping.value, b.column("line").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    found = scratch.table(found.mapInArrow(frugal(needed_places), found.schema), "places")  # all lines of groups of two or more, and some others
+    scratch.drop(both, classes, linked)
     place, own = F.struct("id", "tag", "number"), F.coalesce("component", "line").alias("component")
-    earliest = found.select("id", "tag", "number", "line").groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    earliest = found.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     grouped = scratch.table(earliest.join(labels.hint("shuffle_hash"), "line", "left").select("line", own, "id", "n"), "grouped")
     least = grouped.groupBy("component").agg(F.min("id").alias("least"), F.sum("n").alias("lines")).where("lines > 1")
     least = scratch.table(least, "least")
     stays = scratch.table(grouped.select("line", "component").join(least.hint("shuffle_hash"), "component").select("line", "component", "least"), "stays")
     scratch.drop(grouped, least)
-    placed = found.select("id", "tag", "number", "line").join(stays.hint("shuffle_hash"), "line")
+    placed = found.join(stays.hint("shuffle_hash"), "line")
     first = scratch.table(placed.where("id = least").groupBy("component").agg(F.min(place).alias("stays")), "first")  # of the least doc_id the first line
     later = placed.join(first.hint("shuffle_hash"), "component").where(place != F.col("stays"))
     later = scratch.table(later.select("id", "tag", "number"), "later")

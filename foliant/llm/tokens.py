@@ -54,6 +54,12 @@ class Tokens:
         part = np.where(self.folded[start:end] > 0, self.folded[start:end], 32).astype(np.uint32)
         return " ".join(part.tobytes().decode("utf-32-le", "surrogatepass").split())
 
+    def line_texts(self) -> list[str]:
+        """text() of every line."""
+        whole = np.where(self.folded > 0, self.folded, 32).astype(np.uint32)
+        whole[self.line_end] = 10
+        return [" ".join(s.split()) for s in whole.tobytes().decode("utf-32-le", "surrogatepass").split("\n")[:-1]]
+
 
 def tag(text: str) -> int:
     """Tells unlike texts of one doc_id apart; crc32() in SQL gives the same."""

@@ -195,3 +195,30 @@ def test_common_passage(spark, monkeypatch):
     want, got = brute(rows), removed(spark, rows)
     assert got == want and len(want) >= 30
     assert max(counts)[0] < 60 * len(rows)
+
+
+def test_few_long_pairs_side_by_side(monkeypatch):
+    """Sixty pairs of lines of some 1500 characters are verified together, not one by one; the answers are those of one by one."""
+    p = [prose(240) for _ in range(60)]
+    q = ["".join(c if R.random() > 0.3 * i / 60 else "x" for c in a) for i, a in enumerate(p)]
+    want = [lines.distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in zip(p, q, strict=True)]
+    calls, one = [], lines.distance
+    monkeypatch.setattr(lines, "distance", lambda *a: calls.append(a) or one(*a))
+    assert lines.alike_rows(p, q, walked=False).tolist() == want and 5 < sum(want) < 55
+    assert len(calls) < 15
+
+
+def test_signed_lines_travel_packed(spark, monkeypatch):
+    """No table of signed lines has a row a line; lines told twice in one text, or in two, go."""
+    told = [prose(8) for _ in range(400)]
+    rows = [(1, "\n".join(told + told[:5])), (2, "\n".join([told[7], prose(9)]))]
+    counts, table = {}, lines.Scratch.table
+
+    def counted(self, df, name="t"):
+        out = table(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lines.Scratch, "table", counted)
+    assert removed(spark, rows) == {(1, 400 + k) for k in range(5)} | {(2, 0)}
+    assert counts["classes"] < 200
