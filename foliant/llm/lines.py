@@ -606,6 +606,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     both = scratch.table(rows.mapInArrow(frugal(signed_lines), "id long, tag long, number int, line long, part int, signs binary"), "found")
     found = both.where("part is null").select("id", "tag", "number", "line")
     classes = scratch.table(_classes(both), "classes")
+    told_again = scratch.table(_repeated(classes), "again")
     shared = presence(scratch.table(_shared(classes), "shared"), "key", None)
 
     def sharing(batches):
@@ -633,6 +634,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             yield pa.RecordBatch.from_arrays([pa.array(records["slot"][present(speaking.value, records["line"].view(np.uint64))])], ["slot"])
 
     wanted = presence(scratch.table(classes.select("signs").mapInArrow(frugal(placing), "slot long"), "places"), "slot", None)
+    scratch.drop(classes)
 
     def spoken(batches):
         for b in batches:
@@ -674,7 +676,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
     edges = edges.union(scratch.table(_tile_edges(tiles.join(told.hint("shuffle_hash"), "line"), similarity), "edges"))
     scratch.drop(words, crowded, tiles)
     labels = components(scratch, edges).withColumnRenamed("node", "line")
-    linked = scratch.table(_repeated(classes).union(labels.select(F.explode(F.array("line", "component")))), "linked")
+    linked = scratch.table(told_again.union(labels.select(F.explode(F.array("line", "component")))), "linked")
     grouping = presence(linked, "line", None)
 
     def needed_places(batches):
@@ -682,7 +684,7 @@ def duplicate_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity:
             yield b.filter(pa.array(present(grouping.value, b.column("line").to_numpy(zero_copy_only=False).view(np.uint64))))
 
     found = scratch.table(found.mapInArrow(frugal(needed_places), found.schema), "places")  # all lines of groups of two or more, and some others
-    scratch.drop(both, classes, linked)
+    scratch.drop(both, told_again, linked)
     place, own = F.struct("id", "tag", "number"), F.coalesce("component", "line").alias("component")
     earliest = found.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     grouped = scratch.table(earliest.join(labels.hint("shuffle_hash"), "line", "left").select("line", own, "id", "n"), "grouped")
@@ -714,7 +716,7 @@ def strip_lines(docs: DataFrame, least_words: int = LEAST_WORDS, similarity: flo
     joined = docs.withColumns({id_: key, tag_: crc}).join(drops.hint("shuffle_hash"), [id_, tag_], "left")
     lines = F.split("text", "\n")
     kept = F.when(F.col(numbers_).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(numbers_, i)), "\n"))
-    more = [] if counts is None else [F.coalesce(F.size(lines), F.lit(0)).alias(counts[0]), F.coalesce(F.size(numbers_), F.lit(0)).alias(counts[1])]
+    more = [] if counts is None else [F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias(counts[0]), F.coalesce(F.size(numbers_), F.lit(0)).alias(counts[1])]
     return joined.select(*(kept.alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns), *more)
 
 

@@ -37,8 +37,10 @@ class Tokens:
         if len(high):
             folded[high] = [p if chr(p).isalnum() else 0 for p in self.points[high].tolist()]
         self.folded = folded
-        edge = np.diff((folded > 0).astype(np.int8), prepend=0, append=0)
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        letter = np.zeros(len(folded) + 2, bool)
+        np.greater(folded, 0, out=letter[1:-1])
+        edge = np.flatnonzero(letter[1:] != letter[:-1])
+        self.start, self.end = edge[::2], edge[1::2]
         self.word = span_hash(prefix_sums(folded), self.start, self.end)
         self.doc = np.searchsorted(self.bounds, self.start, side="right") - 1
         feeds = np.flatnonzero(self.points == 10)
